@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import written
+
 #: Verdict, host, path; a rule fits its host and all subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Standard deviations below the posterior mean at which the bound lies, and the bad rate from which it blocks.
@@ -58,7 +60,8 @@ def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFram
 
     Counts are gathered by host before anything else; a hot host costs one row per task. The strengths are one-row results.
     """
-    counts = with_levels(outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")))
+    by_host = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    counts = with_levels(written(by_host, "host-counts"))
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     above = counts.select("suffix").distinct().withColumn("up", F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)))
     for level in LEVELS:
