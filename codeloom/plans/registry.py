@@ -2,10 +2,404 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions.paths import filter_paths, listing_with_dirs, normalize_path, resolve_imports
+from codeloom.operators import incremental, lookup, neighbors, overview, store, traverse
+from codeloom.plans import corpus
+from codeloom.schema import NODE_COLUMNS, Graph
+from codeloom.sources.tables import to_json_result
+from codeloom.sources.testgraph import PRELUDE, SNAPSHOTS, change_events, derived_graph, snapshots, table
+from codeloom.streaming import changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+N = ", ".join(NODE_COLUMNS)
+GLOBS, IGNORE = ["**/*.ts"], ["**/u_1*/**"]
+
+
+def query(sql: str | None = None, prelude: str = PRELUDE):
+    """Registers a query under its function's name."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = prelude + sql
+        return f
+
+    return keep
+
+
+def on_graph(sql: str, prelude: str = PRELUDE):
+    """Registers a query over the derived graph."""
+
+    def keep(f: Callable[[Graph], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(derived_graph(spark, sf_dir))
+
+        run.__name__ = f.__name__
+        return query(sql, prelude)(run)
+
+    return keep
+
+
+# --- overview ------------------------------------------------------------------------------------------------
+
+TOP = "SELECT n.id, n.name, n.kind, n.file_path, count(*) AS caller_count FROM edges e JOIN nodes n ON n.id = e.target_id WHERE relationship_type = 'CALLS' GROUP BY ALL"
+ENTRIES = "SELECT id, name, kind, file_path FROM nodes WHERE exported = 1 AND id NOT IN (SELECT target_id FROM edges WHERE relationship_type = 'CALLS')"
+on_graph("SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")(overview.overview_counts)
+on_graph("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")(overview.node_kinds)
+on_graph("SELECT relationship_type, count(*) AS n FROM edges GROUP BY 1")(overview.edge_types)
+on_graph(f"{TOP} ORDER BY caller_count DESC, id LIMIT 10")(overview.top_called)
+on_graph("SELECT n.file_path, count(*) AS importer_count FROM edges e JOIN nodes n ON n.id = e.target_id WHERE relationship_type = 'IMPORTS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(overview.top_imported)
+on_graph("SELECT path, count(*) AS importer_count FROM edges JOIN files ON target_id = path WHERE relationship_type = 'IMPORTS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(overview.top_imported_files)
+on_graph(f"{ENTRIES} ORDER BY file_path, name, id LIMIT 20")(overview.entry_points)
+
+PROJECT = "split_part(split_part({}, '/', 3), '_', 1)"
+
+
+@on_graph(f""", pn AS (SELECT *, {PROJECT.format("file_path")} AS project FROM nodes), pe AS (SELECT e.*, project FROM edges e JOIN pn ON source_id = id),
+tc AS (SELECT {PROJECT.format("file_path")} AS project, id AS key, caller_count AS n FROM ({TOP})), en AS (SELECT {PROJECT.format("file_path")} AS project, id AS key, file_path, name FROM ({ENTRIES}))
+SELECT project, 'nodes' AS item, '' AS key, count(*) AS n FROM pn GROUP BY 1 UNION ALL SELECT project, 'edges', '', count(*) FROM pe GROUP BY 1
+UNION ALL SELECT {PROJECT.format("path")}, 'files', '', count(*) FROM files GROUP BY 1
+UNION ALL SELECT project, 'kind', kind, count(*) FROM pn GROUP BY 1, 3 UNION ALL SELECT project, 'type', relationship_type, count(*) FROM pe GROUP BY 1, 3
+UNION ALL SELECT project, 'top_called', key, n FROM tc QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, key) <= 3
+UNION ALL SELECT project, 'entry_point', key, 1 FROM en QUALIFY row_number() OVER (PARTITION BY project ORDER BY file_path, name, key) <= 3""")
+def overview_by_project(g: Graph) -> DataFrame:
+    return overview.overview_by_project(g, F.split_part(F.split_part("file_path", F.lit("/"), F.lit(3)), F.lit("_"), F.lit(1)))
+
+
+# --- lookups -------------------------------------------------------------------------------------------------
+
+
+def name_requests(nodes: DataFrame) -> DataFrame:
+    """A request for each customer's and supplier's name; for every second one of a kind that may differ."""
+    rows = nodes.where("kind IN ('class', 'interface')")
+    return rows.select(F.col("id").alias("request"), "name", F.when(F.col("start_line") % 2 == 0, "class").alias("kind"))
+
+
+def prefix_requests(nodes: DataFrame) -> DataFrame:
+    """Prefixes of the nations' names in upper case, and one with a wildcard."""
+    rows = nodes.where("kind = 'namespace'").select(F.col("name").alias("request"), F.upper("name").alias("name"), F.lit(None).cast("string").alias("kind"))
+    return rows.unionByName(rows.where("request = 'nation_1'").select(F.lit("wild").alias("request"), F.lit("p%t\\__1").alias("name"), F.lit("function").alias("kind")))
+
+
+NAMED = ", req AS (SELECT id AS request, name AS rname, CASE WHEN start_line % 2 = 0 THEN 'class' END AS rkind FROM nodes WHERE kind IN ('class', 'interface'))"
+
+
+@on_graph(NAMED + f" SELECT request, {N} FROM req JOIN nodes ON name = rname AND (rkind IS NULL OR rkind = kind)")
+def find_symbol_exact(g: Graph) -> DataFrame:
+    return lookup.find_symbol(g.nodes, name_requests(g.nodes))
+
+
+@on_graph(f""", req AS (SELECT name AS request, upper(name) AS p, NULL AS k FROM nodes WHERE kind = 'namespace' UNION ALL SELECT 'wild', 'p%t\\\\__1', 'function' FROM nodes WHERE name = 'nation_1')
+SELECT request, {N} FROM req JOIN nodes ON name ILIKE p || '%' ESCAPE '\\' AND (k IS NULL OR k = kind)""")
+def find_symbol_prefix(g: Graph) -> DataFrame:
+    return lookup.find_symbol(g.nodes, prefix_requests(g.nodes), exact=False)
+
+
+@on_graph(""", r AS (SELECT id AS request, CASE WHEN start_line % 4 = 0 THEN id WHEN start_line % 4 = 1 THEN '' END AS node_id, CASE WHEN start_line % 3 = 0 THEN NULL WHEN start_line % 3 = 1 THEN name || '?' ELSE name END AS name, NULL AS kind FROM nodes WHERE kind = 'function'
+UNION ALL SELECT 'twice', NULL, 'two', NULL FROM nodes WHERE name = 'nation_1'),
+n2 AS (SELECT * FROM nodes UNION ALL SELECT sha256(id), 'two', kind, file_path, start_line, end_line, exported FROM nodes WHERE name IN ('nation_1', 'nation_2')),
+m AS (SELECT request, n2.* FROM r JOIN n2 ON r.node_id = n2.id WHERE r.node_id <> '' UNION ALL SELECT request, n2.* FROM r JOIN n2 ON r.name = n2.name WHERE coalesce(r.node_id, '') = ''),
+c AS (SELECT request, count(*) AS k, min(id) AS id, string_agg(name || ' (' || kind || ' in ' || file_path || ')', ', ' ORDER BY file_path, name, kind) AS listed FROM m GROUP BY 1)
+SELECT r.request, CASE WHEN coalesce(node_id, '') = '' AND coalesce(name, '') = '' THEN 'nothing_given' WHEN coalesce(k, 0) = 0 THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'ok' END AS status,
+CASE WHEN k = 1 THEN id END AS id, coalesce(k, 0) AS n_matches, CASE WHEN k > 1 THEN listed WHEN coalesce(k, 0) = 0 AND (coalesce(node_id, '') <> '' OR coalesce(name, '') <> '') THEN CASE WHEN coalesce(node_id, '') <> '' THEN node_id ELSE name END ELSE '' END AS message
+FROM r LEFT JOIN c ON r.request = c.request""")
+def resolve_node(g: Graph) -> DataFrame:
+    line, null = F.col("start_line"), F.lit(None).cast("string")
+    asked = g.nodes.where("kind = 'function'").select(F.col("id").alias("request"), F.when(line % 4 == 0, F.col("id")).when(line % 4 == 1, "").alias("node_id"), F.when(line % 3 == 0, null).when(line % 3 == 1, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"), null.alias("kind"))
+    pair = g.nodes.where("name IN ('nation_1', 'nation_2')")
+    asked = asked.unionByName(pair.where("name = 'nation_1'").select(F.lit("twice").alias("request"), null.alias("node_id"), F.lit("two").alias("name"), null.alias("kind")))
+    nodes = g.nodes.unionByName(pair.withColumn("id", F.sha2("id", 256)).withColumn("name", F.lit("two")))
+    return lookup.resolve_node(nodes, asked)
+
+
+LINES = ", t AS (SELECT doc_id, path, string_split(text, chr(10)) AS l, doc_id % 5 AS s, doc_id % 5 + doc_id % 3 AS e, doc_id % 2 AS p FROM docs), b AS (SELECT *, greatest(0, s - 1 - p) AS f, least(len(l) - 1, e - 1 + p) AS z FROM t)"
+
+
+@query(LINES + " SELECT doc_id AS request, path, f + 1 AS first, z + 1 AS last, array_to_string(list_slice(l, f + 1, z + 1), chr(10)) AS snippet FROM b", SNAPSHOTS)
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    k = F.col("doc_id")
+    return lookup.snippets(docs, docs.select(k.alias("request"), "path", (k % 5).alias("start_line"), (k % 5 + k % 3).alias("end_line"), (k % 2).alias("padding")))
+
+
+@on_graph(NAMED + f""", text AS (SELECT file_path AS path, string_split(string_agg(name, chr(10) ORDER BY name), chr(10)) AS l FROM nodes WHERE kind IN ('class', 'function') GROUP BY 1)
+SELECT request, {N}, array_to_string(list_slice(l, greatest(0, start_line - 2) + 1, least(len(l) - 1, end_line) + 1), chr(10)) AS snippet FROM (SELECT request, nodes.* FROM req JOIN nodes ON name = rname AND (rkind IS NULL OR rkind = kind)) LEFT JOIN text ON file_path = path""")
+def symbol_snippets(g: Graph) -> DataFrame:
+    text = g.nodes.where("kind IN ('class', 'function')").groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("name")), "\n").alias("content"))
+    return lookup.find_symbol_with_snippet(g.nodes, text, name_requests(g.nodes), padding=1)
+
+
+@on_graph(NAMED + ", f AS (SELECT request, name, kind FROM req JOIN nodes ON name = rname AND (rkind IS NULL OR rkind = kind)) SELECT request, '{\"summary\":\"' || count(*) || ' symbols\",\"symbols\":[' || string_agg('{\"kind\":\"' || kind || '\",\"name\":\"' || name || '\"}', ',' ORDER BY kind, name) || ']}' AS json FROM f GROUP BY 1")
+def to_json(g: Graph) -> DataFrame:
+    found = lookup.find_symbol(g.nodes, name_requests(g.nodes))
+    return to_json_result(found, "request", F.format_string("%d symbols", F.col("n")), ["kind", "name"], "symbols")
+
+
+# --- neighbours ----------------------------------------------------------------------------------------------
+
+SEEDS = ", seeds AS (SELECT id AS seed_id FROM nodes WHERE kind IN ('class', 'function', 'namespace'))"
+OUT = "SELECT seed_id, e.* FROM seeds JOIN edges e ON source_id = seed_id"
+IN = "SELECT seed_id, e.* FROM seeds JOIN edges e ON target_id = seed_id"
+
+
+def seeds_of(g: Graph) -> DataFrame:
+    return g.nodes.where("kind IN ('class', 'function', 'namespace')").select(F.col("id").alias("seed_id"))
+
+
+@on_graph(f"{SEEDS} {OUT}")
+def neighbors_out(g: Graph) -> DataFrame:
+    return neighbors.neighbor_edges(g.edges, seeds_of(g), "outgoing")
+
+
+@on_graph(f"{SEEDS} {IN} WHERE relationship_type IN ('CALLS', 'EXTENDS')")
+def neighbors_in(g: Graph) -> DataFrame:
+    return neighbors.neighbor_edges(g.edges, seeds_of(g), "incoming", ["CALLS", "EXTENDS"])
+
+
+@on_graph(f"{SEEDS} {OUT} UNION ALL {IN}")
+def neighbors_both(g: Graph) -> DataFrame:
+    return neighbors.neighbor_edges(g.edges, seeds_of(g), "both")
+
+
+@on_graph(f"{SEEDS}, b AS ({OUT} UNION ALL {IN}), x AS (SELECT seed_id, source_id AS k FROM b UNION SELECT seed_id, target_id FROM b) SELECT seed_id, {N} FROM x JOIN nodes ON id = k")
+def neighbor_nodes(g: Graph) -> DataFrame:
+    return neighbors.neighbor_nodes(g.nodes, neighbors.neighbor_edges(g.edges, seeds_of(g)))
+
+
+@on_graph(f"{SEEDS}, b AS ({OUT} UNION ALL {IN}) SELECT seed_id, sum((source_id = seed_id)::BIGINT)::BIGINT AS n_out, sum((target_id = seed_id)::BIGINT)::BIGINT AS n_in FROM b GROUP BY 1")
+def neighbor_summary(g: Graph) -> DataFrame:
+    return neighbors.neighbor_summary(neighbors.neighbor_edges(g.edges, seeds_of(g)))
+
+
+@on_graph(f"SELECT {N} FROM nodes")
+def file_symbols(g: Graph) -> DataFrame:
+    return neighbors.file_symbols(g.nodes, g.files)
+
+
+@on_graph("SELECT file_path, e.* FROM edges e JOIN nodes ON id = source_id")
+def file_edges_all(g: Graph) -> DataFrame:
+    return neighbors.file_edges(g.nodes, g.edges, g.files)
+
+
+@on_graph("SELECT a.file_path, e.* FROM edges e JOIN nodes a ON a.id = source_id LEFT JOIN nodes b ON b.id = target_id WHERE b.id IS NULL OR b.file_path <> a.file_path")
+def file_edges_cross(g: Graph) -> DataFrame:
+    return neighbors.file_edges(g.nodes, g.edges, g.files, include_internal=False)
+
+
+IMPORTERS = "SELECT DISTINCT target_id AS path, file_path AS importer FROM edges JOIN nodes ON id = source_id WHERE relationship_type = 'IMPORTS' AND target_id IN (SELECT path FROM files)"
+
+
+@on_graph(IMPORTERS)
+def importers_of(g: Graph) -> DataFrame:
+    return neighbors.importers_of(g.nodes, g.edges, g.files)
+
+
+# --- traversals ----------------------------------------------------------------------------------------------
+
+WALK = PRELUDE.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT id AS seed_id FROM pa WHERE k IN (1, 2, 3) UNION ALL SELECT id FROM su WHERE k = 1),
+e AS MATERIALIZED (SELECT * FROM edges),
+walk(seed_id, id, depth, path, via, type) AS (SELECT seed_id, seed_id, 0, [seed_id], NULL::VARCHAR, NULL::VARCHAR FROM seeds
+UNION ALL SELECT seed_id, source_id, depth + 1, list_append(path, source_id), id, relationship_type FROM walk JOIN e ON target_id = id WHERE depth < 3 AND NOT list_contains(path, source_id))
+"""
+WHY = "SELECT w.seed_id, w.id AS from_id, s.name AS from_name, s.kind AS from_kind, w.type AS relationship_type, w.via AS to_id, d.name AS to_name, d.kind AS to_kind, w.depth FROM walk w JOIN nodes s ON s.id = w.id JOIN nodes d ON d.id = w.via WHERE w.depth > 0"
+
+
+def few_seeds(g: Graph) -> DataFrame:
+    names = F.col("name").isin("part_1", "part_2", "part_3") & (F.col("kind") == "function")
+    return g.nodes.where(names | ((F.col("kind") == "interface") & (F.col("start_line") == 2))).select(F.col("id").alias("seed_id"))
+
+
+@on_graph(f" SELECT w.seed_id, {', '.join('n.' + c for c in NODE_COLUMNS)}, min(w.depth) AS depth FROM walk w JOIN nodes n ON n.id = w.id WHERE w.id <> w.seed_id GROUP BY ALL", WALK)
+def explain_impact(g: Graph) -> DataFrame:
+    return traverse.explain_impact(g, few_seeds(g), 3)
+
+
+@on_graph(" " + WHY, WALK)
+def why_is_this_used(g: Graph) -> DataFrame:
+    return traverse.why_is_this_used(g, few_seeds(g), 3)
+
+
+@on_graph(f" SELECT seeds.seed_id, (SELECT count(DISTINCT w.id) FROM walk w JOIN nodes n ON n.id = w.id WHERE w.seed_id = seeds.seed_id AND w.id <> w.seed_id) AS n_affected, (SELECT count(*) FROM ({WHY}) y WHERE y.seed_id = seeds.seed_id) AS n_path_rows FROM seeds", WALK)
+def impact_summary(g: Graph) -> DataFrame:
+    seeds = few_seeds(g)
+    return traverse.impact_summary(seeds, *traverse.impact_with_paths(g, seeds, 3))
+
+
+@query(PRELUDE.replace("WITH", "WITH RECURSIVE", 1) + """, s AS (SELECT id AS seed FROM pa WHERE k = 1), e AS MATERIALIZED (SELECT * FROM edges),
+walk(id, depth, path) AS (SELECT seed, 0, [seed] FROM s UNION ALL SELECT source_id, depth + 1, list_append(path, source_id) FROM walk JOIN e ON target_id = id WHERE depth < 3 AND NOT list_contains(path, source_id))
+SELECT n.*, min(depth) AS depth FROM walk w JOIN nodes n ON n.id = w.id WHERE w.id <> (SELECT seed FROM s) GROUP BY ALL""", "")
+def impact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived_graph(spark, sf_dir)
+    g.nodes.createOrReplaceTempView("nodes")
+    g.edges.createOrReplaceTempView("edges")
+    return spark.sql(traverse.impact_sql(g.nodes.where("name = 'part_1' and kind = 'function'").first()["id"], 3))
+
+
+@on_graph(""" , passing AS (SELECT DISTINCT source_id FROM edges WHERE relationship_type = 'EXPORTS'),
+h AS (SELECT DISTINCT target_id AS a, file_path AS b FROM edges JOIN nodes ON id = source_id WHERE relationship_type = 'IMPORTS' AND source_id IN (SELECT source_id FROM passing)),
+w(path, here, depth) AS (SELECT path, path, 0 FROM files UNION SELECT path, a, depth + 1 FROM w JOIN h ON b = here WHERE depth < 5)
+SELECT path, here AS origin, min(depth) AS depth FROM w WHERE here <> path GROUP BY 1, 2""", PRELUDE.replace("WITH", "WITH RECURSIVE", 1))
+def reexport_chain(g: Graph) -> DataFrame:
+    return traverse.reexport_chain(g, g.files)
+
+
+@on_graph("SELECT source_id, target_id, id, name, kind FROM edges JOIN nodes ON target_id = sha256(file_path || ':' || name || ':unknown') WHERE relationship_type = 'EXPORTS'")
+def resolve_reexports(g: Graph) -> DataFrame:
+    return traverse.resolve_reexports(g)
+
+
+# --- store ---------------------------------------------------------------------------------------------------
+
+
+@on_graph("SELECT e.*, CASE WHEN path IS NOT NULL THEN 'file' WHEN length(target_id) = 64 THEN 'symbol' ELSE 'module' END AS reason FROM edges e LEFT JOIN files ON target_id = path WHERE target_id NOT IN (SELECT id FROM nodes)")
+def dangling_edges(g: Graph) -> DataFrame:
+    return store.dangling_edges(g)
+
+
+@on_graph("SELECT unnest(['edge_without_source', 'node_without_file', 'repeated_id', 'unknown_kind', 'unknown_type']) AS rule, 0::BIGINT AS n")
+def check_integrity(g: Graph) -> DataFrame:
+    return store.check_integrity(g)
+
+
+GONE = ", gone AS (SELECT '/src/suppliers.ts' AS path UNION SELECT path FROM files WHERE path LIKE '%1.ts'), kept AS (SELECT * FROM nodes WHERE file_path NOT IN (SELECT path FROM gone)), kept_edges AS (SELECT * FROM edges WHERE source_id IN (SELECT id FROM kept))"
+
+
+def gone(g: Graph) -> DataFrame:
+    return g.files.where("path = '/src/suppliers.ts' OR path LIKE '%1.ts'").select("path")
+
+
+@on_graph(GONE + " SELECT 'files' AS item, path AS key FROM files WHERE path NOT IN (SELECT path FROM gone) UNION ALL SELECT 'nodes', id FROM kept UNION ALL SELECT 'edges', source_id || target_id || relationship_type FROM kept_edges")
+def delete_files(g: Graph) -> DataFrame:
+    out = store.delete_files(g, gone(g))
+    rows = out.files.select(F.lit("files").alias("item"), F.col("path").alias("key")).unionByName(out.nodes.select(F.lit("nodes").alias("item"), F.col("id").alias("key")))
+    return rows.unionByName(out.edges.select(F.lit("edges").alias("item"), F.concat("source_id", "target_id", "relationship_type").alias("key")))
+
+
+@on_graph(GONE + f" SELECT {N} FROM kept UNION ALL SELECT sha256(path || ':new:class'), 'new', 'class', path, 1, 2, 1 FROM gone")
+def replace_files(g: Graph) -> DataFrame:
+    paths = gone(g)
+    one = paths.select(F.sha2(F.concat_ws(":", "path", F.lit("new"), F.lit("class")), 256).alias("id"), F.lit("new").alias("name"), F.lit("class").alias("kind"), F.col("path").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(1).alias("exported"), F.lit(1).alias("ord"))
+    again = one.withColumn("start_line", F.lit(7)).withColumn("ord", F.lit(2))
+    files = paths.select("path", F.lit("h").alias("content_hash"), F.lit(1).cast("long").alias("indexed_at"))
+    return store.replace_files(g, files, one.unionByName(again), g.edges.limit(0)).nodes
+
+
+@on_graph(f"SELECT {N} FROM nodes UNION ALL SELECT sha256(id || 'x'), name, kind, file_path, start_line, end_line, exported FROM nodes WHERE kind = 'function'")
+def add_nodes(g: Graph) -> DataFrame:
+    new = g.nodes.where("kind = 'function'")
+    own = new.withColumn("id", F.sha2(F.concat("id", F.lit("x")), 256))
+    more = own.withColumn("ord", F.lit(1)).unionByName(own.withColumn("end_line", F.lit(-1)).withColumn("ord", F.lit(2))).unionByName(new.withColumn("name", F.lit("lost")).withColumn("ord", F.lit(0)))
+    return store.add_nodes(g.nodes, more)
+
+
+@on_graph("SELECT * FROM edges UNION SELECT target_id, source_id, relationship_type FROM edges WHERE relationship_type = 'CALLS'")
+def add_edges(g: Graph) -> DataFrame:
+    calls = g.edges.where("relationship_type = 'CALLS'")
+    return store.add_edges(g.edges, calls.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relationship_type").unionByName(calls))
+
+
+# --- incremental index ---------------------------------------------------------------------------------------
+
+
+@query("SELECT path, sha256(content) AS content_hash FROM scan", SNAPSHOTS)
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.content_hash(snapshots(spark, sf_dir)[1]).select("path", "content_hash")
+
+
+STATUS = "SELECT s.path, sha256(content) AS content_hash, CASE WHEN error THEN 'error' WHEN o.content_hash = sha256(content) THEN 'skipped' ELSE 'updated' END AS status FROM scan s LEFT JOIN old o ON s.path = o.path"
+
+
+@query(STATUS, SNAPSHOTS)
+def diff_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, scan = snapshots(spark, sf_dir)
+    return incremental.diff_snapshot(old, incremental.content_hash(scan))
+
+
+@query(f", st AS ({STATUS}) SELECT count(*) AS files_scanned, count(*) FILTER (status = 'updated') AS files_updated, count(*) FILTER (status = 'skipped') AS files_skipped, count(*) FILTER (status = 'error') AS files_errored FROM st", SNAPSHOTS)
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.index_stats(diff_snapshot(spark, sf_dir))
+
+
+@query("SELECT path FROM old WHERE path NOT IN (SELECT path FROM scan)", SNAPSHOTS)
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, scan = snapshots(spark, sf_dir)
+    return incremental.missing_files(old, scan)
+
+
+@query("SELECT path FROM docs WHERE path LIKE '/docs/src1/%.txt' OR path LIKE '/docs/src2/%.txt'", SNAPSHOTS)
+def select_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return filter_paths(docs, "/docs", ["src{1,2,3}/*.txt"], ["**/src3/**"])
+
+
+# --- paths ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, '/a/' || (p_partkey % 9) || '/' || p_partkey || '.ts' AS path FROM part", "")
+def normalized_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    relative = F.concat(F.lit("./../x/.././"), (F.col("p_partkey") % 9).cast("string"), F.lit("//./"), k, F.lit(".ts"))
+    return part.select("p_partkey", normalize_path(F.lit("/a/b"), relative).alias("path"))
+
+
+@query("SELECT DISTINCT '/docs' AS entry, TRUE AS is_dir FROM docs UNION SELECT DISTINCT '/docs/' || split_part(path, '/', 3), TRUE FROM docs UNION SELECT path, FALSE FROM docs", SNAPSHOTS)
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return listing_with_dirs(docs)
+
+
+@query("""SELECT p_partkey AS k, '/m/' || (p_partkey % 10) || '/f.ts' AS from_file,
+CASE p_partkey % 6 WHEN 0 THEN './p_' || p_partkey || '.js' WHEN 1 THEN '../t/p_' || p_partkey || '.js' WHEN 2 THEN '@lib/p_' || p_partkey WHEN 3 THEN '@lib/d_' || p_partkey WHEN 4 THEN 'react' ELSE '@lib/none' || p_partkey END AS specifier,
+CASE p_partkey % 6 WHEN 0 THEN '/m/' || (p_partkey % 10) || '/p_' || p_partkey || '.ts' WHEN 1 THEN '/m/t/p_' || p_partkey || '.js' WHEN 2 THEN '/lib/p_' || p_partkey || '.tsx' WHEN 3 THEN '/lib/d_' || p_partkey || '/index.ts' WHEN 4 THEN 'react' ELSE '/lib/none' || p_partkey END AS target FROM part""", "")
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part, s = table(spark, sf_dir, "part"), k.cast("string")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    folder, kind = text("/m/", (k % 10).cast("string")), k % 6
+    pick = lambda *x: F.coalesce(*(F.when(kind == n, v) for n, v in enumerate(x)))
+    imports = part.select(k.alias("k"), text(folder, "/f.ts").alias("from_file"), pick(text("./p_", s, ".js"), text("../t/p_", s, ".js"), text("@lib/p_", s), text("@lib/d_", s), F.lit("react"), text("@lib/none", s)).alias("specifier"))
+    there = part.select(pick(text(folder, "/p_", s, ".ts"), F.lit("/m/x.ts"), text("/lib/p_", s, ".tsx"), text("/lib/d_", s, "/index.ts"), F.lit("/m/x.ts"), F.lit("/m/x.ts")).alias("path"))
+    aliases = spark.createDataFrame([("/", 0, "@lib/*", "./lib/*"), ("/", 1, "@lib/none", "./never")], "base_dir string, ord int, pattern string, replacement string")
+    return resolve_imports(imports, listing_with_dirs(there), aliases)
+
+
+# --- change events -------------------------------------------------------------------------------------------
+
+EVENTS = "WITH ev AS (SELECT event_id, '/src/u_' || user_id || '.ts' AS path, CASE event_type WHEN 'error' THEN 'unlink' WHEN 'signup' THEN 'add' ELSE 'change' END AS op, ts AS event_ts FROM events)"
+
+
+@query(" SELECT * FROM ev WHERE NOT path LIKE '%/u_7.ts'", EVENTS)
+def filter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.filter_changes(change_events(spark, sf_dir), ["**/*.ts"], ["**/u_7.ts/**"])
+
+
+@query(""", g AS (SELECT *, CASE WHEN event_ts - lag(event_ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY event_ts, event_id)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY event_ts, event_id) AS burst FROM g)
+SELECT path, arg_max(op, (event_ts, event_id)) AS op, min(event_ts) AS first_ts, max(event_ts) AS last_ts, count(*) AS n_events FROM b GROUP BY path, burst""", EVENTS)
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.debounce(change_events(spark, sf_dir), "6 hours")
+
+
+@on_graph(f", i AS ({IMPORTERS}), c AS (SELECT path, count(*) AS n FROM i GROUP BY 1) SELECT DISTINCT importer FROM i JOIN c USING (path) WHERE n <= 25")
+def ripple_targets(g: Graph) -> DataFrame:
+    return changes.ripple_targets(g, g.files, 25)
+
+
+@on_graph(f", i AS ({IMPORTERS}) SELECT path, count(*) AS n_importers FROM i GROUP BY 1 HAVING count(*) > 20")
+def ripple_skipped(g: Graph) -> DataFrame:
+    return changes.ripple_skipped(g, g.files)
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES | corpus.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL | corpus.oracle_sql()
