@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import texts
+from codeloom.llm.common import same, texts, written
 
 ORDER = 4
 #: Labelled documents that a language's model learns from, at most; as many again calibrate the rejection.
 FIT_DOCS = 300
 #: Standard deviations beyond the calibration texts' mean at which a text is rejected.
 REJECT_SD = 6.0
+#: Ids of a sample up to which they are broadcast.
+BROADCAST_IDS = 500_000
 #: Characters an unseen character is one of.
 ALPHABET = 1 << 14
 SPACE = 32
@@ -188,11 +190,24 @@ def entropies(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def _sampled(docs: DataFrame, fit_docs: int) -> DataFrame:
-    """(lang, text, fits): up to ``fit_docs`` labelled documents of each language to fit and as many to calibrate, by hash of the id."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= 2 * fit_docs)
-    ids = ids.select(F.col("doc_id").alias("id_"), (F.col("rank") % 2 == 1).alias("fits"))
-    return docs.join(ids.dropDuplicates(["id_"]), F.col("doc_id") == F.col("id_")).where("lang is not null and text is not null").select("lang", "text", "fits")
+    """(lang, text, fits): up to ``fit_docs`` labelled documents of each language to fit and as many to calibrate, by hash of the id.
+
+    Rows per language are counted first, so that only rows with small hashes, some 8 * fit_docs of each language, are ranked; a
+    common language is not gathered in one task. The sample's ids are broadcast if they are few, as fit_docs and a sane number
+    of languages make them; else the join shuffles.
+    """
+    labelled = docs.where("lang is not null and doc_id is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return labelled.select("lang", "text", F.lit(True).alias("fits")).limit(0)
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 8 * fit_docs / n))))
+    small = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    ids = labelled.select("doc_id", "lang").where(small).withColumn("rank", rank).where(F.col("rank") <= 2 * fit_docs)
+    ids = written(ids.select(F.col("doc_id").alias("id_"), (F.col("rank") % 2 == 1).alias("fits")).dropDuplicates(["id_"]), "language-sample")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return labelled.join(side, F.col("doc_id") == F.col("id_")).select("lang", "text", "fits")
 
 
 def fit_language_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
@@ -294,8 +309,6 @@ def in_known_language(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id stay if one of them is accepted; of rows without doc_id likewise.
     """
-    from codeloom.llm.common import same
-
     judged = identify(docs, fit_language_model(docs.where(~held_out())))
     good = judged.groupBy("doc_id").agg(F.min("rejected").alias("bad")).where("not bad").select(F.col("doc_id").alias("good_"))
     return docs.join(good, same(docs["doc_id"], good["good_"]), "left_semi")
