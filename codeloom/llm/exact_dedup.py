@@ -69,7 +69,7 @@ class PatriciaTrie:
                 fork = Node(kid.label[:size], {kid.label[size]: kid})
                 kid.label = kid.label[size:]
                 node.kids[key[at]] = kid = fork
-                self._grow(0)
+                self.bytes += NODE_BYTES  # no spill before the string has its place
             node, at = kid, at + len(kid.label)
 
     def _grow(self, label: int) -> None:
