@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import written
@@ -33,13 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     seen = None
     current = None
-    for k in range(max_rounds):
-        watch = Observation(f"star-{k}")
-        step = _oriented(edges) if current is None else _star_round(current)
-        step = step.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h"))
-        current = written(step, "components")
-        now = (watch.get["n"], watch.get["h"])
-        if now == seen or not now[0]:
+    for _ in range(max_rounds):
+        current = written(_oriented(edges) if current is None else _star_round(current), "components")
+        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
+        if now == seen or not now["n"]:
             break
         seen = now
     else:
