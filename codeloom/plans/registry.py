@@ -203,7 +203,7 @@ def importers_of(g: Graph) -> DataFrame:
 
 # --- traversals ----------------------------------------------------------------------------------------------
 
-WALK = PRELUDE.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT id AS seed_id FROM pa WHERE k IN (1, 2, 3) UNION ALL SELECT id FROM su WHERE k = 1),
+WALK = PRELUDE.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT id AS seed_id FROM pa WHERE k % 100 = 0 UNION ALL SELECT id FROM su WHERE k % 100 = 0),
 e AS MATERIALIZED (SELECT * FROM edges),
 walk(seed_id, id, depth, path, via, type) AS (SELECT seed_id, seed_id, 0, [seed_id], NULL::VARCHAR, NULL::VARCHAR FROM seeds
 UNION ALL SELECT seed_id, source_id, depth + 1, list_append(path, source_id), id, relationship_type FROM walk JOIN e ON target_id = id WHERE depth < 3 AND NOT list_contains(path, source_id))
@@ -211,24 +211,24 @@ UNION ALL SELECT seed_id, source_id, depth + 1, list_append(path, source_id), id
 WHY = "SELECT w.seed_id, w.id AS from_id, s.name AS from_name, s.kind AS from_kind, w.type AS relationship_type, w.via AS to_id, d.name AS to_name, d.kind AS to_kind, w.depth FROM walk w JOIN nodes s ON s.id = w.id JOIN nodes d ON d.id = w.via WHERE w.depth > 0"
 
 
-def few_seeds(g: Graph) -> DataFrame:
-    names = F.col("name").isin("part_1", "part_2", "part_3") & (F.col("kind") == "function")
-    return g.nodes.where(names | ((F.col("kind") == "interface") & (F.col("start_line") == 2))).select(F.col("id").alias("seed_id"))
+def hundredths(g: Graph) -> DataFrame:
+    """The stated query set of the traversals, which walk the whole graph: parts and suppliers whose key is divisible by 100."""
+    return g.nodes.where("kind IN ('function', 'interface') AND (start_line - 1) % 100 = 0").select(F.col("id").alias("seed_id"))
 
 
 @on_graph(f" SELECT w.seed_id, {', '.join('n.' + c for c in NODE_COLUMNS)}, min(w.depth) AS depth FROM walk w JOIN nodes n ON n.id = w.id WHERE w.id <> w.seed_id GROUP BY ALL", WALK)
 def explain_impact(g: Graph) -> DataFrame:
-    return traverse.explain_impact(g, few_seeds(g), 3)
+    return traverse.explain_impact(g, hundredths(g), 3)
 
 
 @on_graph(" " + WHY, WALK)
 def why_is_this_used(g: Graph) -> DataFrame:
-    return traverse.why_is_this_used(g, few_seeds(g), 3)
+    return traverse.why_is_this_used(g, hundredths(g), 3)
 
 
 @on_graph(f" SELECT seeds.seed_id, (SELECT count(DISTINCT w.id) FROM walk w JOIN nodes n ON n.id = w.id WHERE w.seed_id = seeds.seed_id AND w.id <> w.seed_id) AS n_affected, (SELECT count(*) FROM ({WHY}) y WHERE y.seed_id = seeds.seed_id) AS n_path_rows FROM seeds", WALK)
 def impact_summary(g: Graph) -> DataFrame:
-    seeds = few_seeds(g)
+    seeds = hundredths(g)
     return traverse.impact_summary(seeds, *traverse.impact_with_paths(g, seeds, 3))
 
 
