@@ -142,6 +142,12 @@ def stored(file) -> Iterator[tuple[bytes, object]]:
             return
 
 
+def extended(a: list, b: list) -> list:
+    """``a`` with ``b`` behind it, in place: a text that many rows share costs each of them once."""
+    a.extend(b)
+    return a
+
+
 def _rank(doc_id, uid: int) -> tuple:
     """Order of the rows that hold a text: by doc_id, rows without one last, then by place in the table."""
     return (doc_id is None, 0 if doc_id is None else doc_id, uid)
@@ -154,7 +160,7 @@ def _gathered(docs: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "uid", "rep", "sha256", "copies", "n_bytes", "hash", "body"]
         kinds: list = []
-        trie = PatriciaTrie(lambda a, b: a + b, limit, spilling=False)
+        trie = PatriciaTrie(extended, limit, spilling=False)
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
@@ -194,7 +200,7 @@ def _owned(reps: DataFrame, limit: int) -> DataFrame:
     """Rep rows -> (rep, keep_id, keep_uid, group_size), by the tries of the partitions that own them."""
 
     def merge(a: tuple, b: tuple) -> tuple:
-        return (min(a[0], b[0]), a[1] + b[1], a[2] + b[2])
+        return (min(a[0], b[0]), a[1] + b[1], extended(a[2], b[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, kind = PatriciaTrie(merge, limit), None
