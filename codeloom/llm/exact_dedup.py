@@ -1,8 +1,10 @@
 """Exact duplicates of whole texts: length-and-hash partitions own compressed radix (Patricia) tries of full byte strings.
 
 Each scan task first gathers equal texts in a trie of its own and hands on one row for each of them, so a text that a third of
-all rows share reaches its owner once per task. An owner partition inserts those byte strings into its trie; a terminal
-node keeps the smallest identifier, and a subtree that no longer fits in memory is spilled and finished later.
+all rows share leaves each task once. Keys that many tasks hand on are first dealt over about the square root of as many
+partitions, whose tries join them again, so neither these nor the owner receive one row per task. An owner partition inserts
+the byte strings into its trie; a terminal node keeps the smallest identifier, and a subtree that no longer fits in memory is
+spilled and finished later.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from codeloom.llm.common import same, texts, written
 
 #: Bytes that a node costs besides its label.
 NODE_BYTES = 200
+#: Rows of one length and hash above which these are joined in a salted round before they go to their owner.
+HOT_ROWS = 64
 #: Memory of a task's trie, labels and nodes, before it flushes (map side) or spills (owners).
 TRIE_BYTES = 48 << 20
 
@@ -108,22 +112,21 @@ class PatriciaTrie:
                 pickle.dump((path, node.value), out)
         largest.kids, largest.value, largest.spill = {}, None, out
 
-    def values(self) -> Iterator[object]:
-        """The value of each string once; spilled subtrees one after the other, each in a trie of its own."""
-        for node, _ in self._walk(self.root):
+    def items(self) -> Iterator[tuple[bytes, object]]:
+        """Each string once with its value; spilled subtrees one after the other, each in a trie of its own."""
+        for node, path in self._walk(self.root):
             if node.spill is not None:
                 node.spill.seek(0)
                 below = PatriciaTrie(self.merge, self.limit)
                 for rest, value in stored(node.spill):
                     below.add(rest, value)
                 node.spill.close()
-                yield from below.values()
+                yield from ((path + rest, value) for rest, value in below.items())
             elif node.value is not None:
-                yield node.value
+                yield path, node.value
 
-    def items(self) -> Iterator[tuple[bytes, object]]:
-        """For a trie that has not spilled: its strings and values."""
-        return ((path, node.value) for node, path in self._walk(self.root) if node.value is not None)
+    def values(self) -> Iterator[object]:
+        return (value for _, value in self.items())
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -196,36 +199,69 @@ def _gathered(docs: DataFrame, limit: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, uid long, rep long, sha256 string, copies long, n_bytes long, hash long, body binary")
 
 
-def _owned(reps: DataFrame, limit: int) -> DataFrame:
-    """Rep rows -> (rep, keep_id, keep_uid, group_size), by the tries of the partitions that own them."""
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Of (rank of the first row, copies, uids handed on) for equal texts."""
+    return (min(a[0], b[0]), a[1] + b[1], extended(a[2], b[2]))
 
-    def merge(a: tuple, b: tuple) -> tuple:
-        return (min(a[0], b[0]), a[1] + b[1], extended(a[2], b[2]))
+
+def _joined(rows: DataFrame, limit: int, salted: bool) -> DataFrame:
+    """Rows (doc_id, uid, copies, n_bytes, hash, body[, salt]) dealt by length and hash, equal texts joined by each partition's trie.
+
+    Owners (not salted) give (rep, keep_id, keep_uid, group_size) for each uid handed on; a salted round gives (rep, doc_id, uid, copies,
+    n_bytes, hash, body) for each, where uid is that of the first of the joined rows, whose row alone has copies and body.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    result = f"rep long, doc_id {kind}, uid long, copies long" + (", n_bytes long, hash long, body binary" if salted else "")
+    names = [c.split()[0] for c in result.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, kind = PatriciaTrie(merge, limit), None
+        trie, types = PatriciaTrie(_merged, limit), []
         for batch in batches:
-            kind = batch.column(0).type
+            types = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
             for doc_id, uid, copies, body in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 trie.add(body.as_py(), (_rank(doc_id, uid), copies, [uid]))
-        rows: list[tuple] = []
-        for (missing, doc_id, uid), size, reps_ in trie.values():
-            rows += [(rep, None if missing else doc_id, uid, size) for rep in reps_]
-            if len(rows) > 50_000:
-                yield batch_of(rows, kind)
-                rows = []
-        if rows:
-            yield batch_of(rows, kind)
+        out: list[tuple] = []
+        held = 0
+        for body, ((missing, doc_id, uid), size, reps) in trie.items():
+            first = (None if missing else doc_id, uid)
+            if salted:
+                out.append((uid, *first, size, len(body), xxhash.xxh64_intdigest(body) - (1 << 63), body))
+                out += [(rep, *first, None, None, None, None) for rep in reps if rep != uid]
+                held += len(body)
+            else:
+                out += [(rep, *first, size) for rep in reps]
+            if len(out) > 50_000 or held > 8 << 20:
+                yield batch_of(out, types)
+                out, held = [], 0
+        if out:
+            yield batch_of(out, types)
 
-    def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(column, k) for column, k in zip(zip(*rows), (pa.int64(), kind, pa.int64(), pa.int64()))], names=["rep", "keep_id", "keep_uid", "group_size"])
+    def batch_of(out: list[tuple], types: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, k) for column, k in zip(zip(*out), types)], names=names)
 
-    kind = reps.schema["doc_id"].dataType.simpleString()
-    dealt = reps.repartition("n_bytes", "hash").select("doc_id", "uid", "copies", "body")
-    return dealt.mapInArrow(run, f"rep long, keep_id {kind}, keep_uid long, group_size long")
+    dealt = rows.repartition("n_bytes", "hash", *(["salt"] if salted else [])).select("doc_id", "uid", "copies", "body")
+    out = dealt.mapInArrow(run, result)
+    return out if salted else out.toDF("rep", "keep_id", "keep_uid", "group_size")
 
 
-def exact_groups(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
+def _owned(reps: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rep rows -> (rep, keep_id, keep_uid, group_size), by the tries of the partitions that own them."""
+    columns = ["doc_id", "uid", "copies", "n_bytes", "hash", "body"]
+    reps = reps.select(*columns)
+    hot = written(reps.groupBy("n_bytes", "hash").agg(F.count(F.lit(1)).alias("rows_")).where(F.col("rows_") > hot_rows), "hot-texts")
+    if hot.isEmpty():
+        return _joined(reps, limit, salted=False)
+    key = ["n_bytes", "hash"]
+    salts = F.ceil(F.sqrt("rows_")).cast("long")
+    dealt = reps.join(hot, key).withColumn("salt", F.pmod(F.xxhash64("uid"), salts)).select(*columns, "salt")
+    halfway = written(_joined(dealt, limit, salted=True), "salted-texts")
+    rest = reps.join(hot, key, "left_anti").select(*columns)
+    owners = written(_joined(rest.unionByName(halfway.where("copies is not null").select(*columns)), limit, salted=False), "owners")
+    behind = halfway.where("copies is null").select(F.col("rep").alias("rep_"), F.col("uid").alias("via_"))
+    return owners.unionByName(behind.join(owners, F.col("via_") == F.col("rep")).select(F.col("rep_").alias("rep"), "keep_id", "keep_uid", "group_size"))
+
+
+def exact_groups(docs: DataFrame, limit: int = TRIE_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the smallest doc_id is kept; of rows that
@@ -233,7 +269,7 @@ def exact_groups(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     empty result; further columns are ignored.
     """
     rows = written(_gathered(docs, limit), "text-owners")
-    owners = _owned(rows.where("copies is not null"), limit)
+    owners = _owned(rows.where("copies is not null"), limit, hot_rows)
     members = rows.select("doc_id", "uid", "rep", "sha256")
     joined = members.join(owners, "rep")
     return joined.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha256").alias("text_sha256"))

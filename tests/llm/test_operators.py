@@ -296,8 +296,8 @@ def test_exact_groups(spark, docs):
     for k, t in rows:
         groups[body(t)].append(k)
     least = {b: min((k for k in ks if k is not None), default=None) for b, ks in groups.items()}
-    for limit in (1 << 26, 3000):
-        got = exact_dedup.exact_groups(docs, limit).collect()
+    for limit, hot_rows in ((1 << 26, 64), (3000, 64), (1 << 26, 0), (3000, 2)):
+        got = exact_dedup.exact_groups(docs, limit, hot_rows).collect()
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == Counter((k, least[body(t)], len(groups[body(t)]), hashlib.sha256(body(t).encode()).hexdigest()) for k, t in rows)
         assert sum(r["kept"] for r in got) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
     kept = exact_dedup.kept_rows(docs)
@@ -312,7 +312,7 @@ def test_trie_spills_by_subtree():
         for k, key in enumerate(keys):
             trie.add(key, (k, 1))
         expected = Counter((keys.index(key), n) for key, n in Counter(keys).items())
-        assert Counter(trie.values()) == expected
+        assert Counter(trie.items()) == Counter((keys[k], (k, n)) for k, n in expected)
 
 
 def test_url_rules_and_reputation(spark):
