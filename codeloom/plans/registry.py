@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import filter_paths, listing_with_dirs, normalize_path, resolve_imports
 from codeloom.operators import incremental, lookup, neighbors, overview, store, traverse
-from codeloom.plans import corpus
+from codeloom.plans import corpus, storage
 from codeloom.schema import NODE_COLUMNS, Graph
 from codeloom.sources.tables import to_json_result
 from codeloom.sources.testgraph import PRELUDE, SNAPSHOTS, change_events, derived_graph, snapshots, table
@@ -398,8 +398,8 @@ def ripple_skipped(g: Graph) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | corpus.queries()
+    return QUERIES | corpus.queries() | storage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | corpus.oracle_sql()
+    return SQL | corpus.oracle_sql() | storage.oracle_sql()

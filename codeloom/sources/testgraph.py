@@ -73,10 +73,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, docs.where("doc_id % 13 <> 0").select("path", text.alias("content"), (F.col("doc_id") % 97 == 0).alias("error"))
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, op, event_ts, event_id) from the events table."""
+def change_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """(path, op, event_ts, event_id) from the events table, or from a stream of its rows."""
     op = F.when(F.col("event_type") == "error", "unlink").when(F.col("event_type") == "signup", "add").otherwise("change")
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("/src/u_"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), op.alias("op"), F.col("ts").cast("timestamp").alias("event_ts"), "event_id")
+    return (table(spark, sf_dir, "events") if events is None else events).select(F.concat(F.lit("/src/u_"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), op.alias("op"), F.col("ts").cast("timestamp").alias("event_ts"), "event_id")
 
 
 #: The same tables for DuckDB, as common table expressions.
