@@ -14,27 +14,48 @@ from codeloom.llm.common import written
 LEAST_LENGTH = 16
 #: Labelled findings of each class that the forest learns from, at most; by hash of the value.
 FIT_FINDINGS = 4000
+#: A candidate, and what ends the text that belongs to it.
+RUN, SEPARATOR = f"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}", "[;,&|(){}<>\\[\\]]"
 TREES, DEPTH, SEED = 20, 6, 7
 KEYWORDS = "(?i)(token|secret|passw(or)?d|passwd|api_?key|access_?key|private_?key|auth|credential)"
+ASSIGNED = KEYWORDS + "\\W{0,3}\\s*[=:]"
 HARMLESS = "(?i)(sha(1|256)?|md5|commit|checksum|digest|hash|uuid|revision|http|www|href|src)"
 PATHS = "(?i)(\\.env|conf|config|\\.ya?ml|\\.ini|secret|credential|deploy)"
 FEATURES = ("length", "digits", "upper", "transitions", "distinct", "coverage", "keyword", "harmless", "path")
 
 
-def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, source, ...) -> (row, doc_id, source, candidates), one row per input row.
+def find_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source, ...) -> (row, doc_id, source, words), one row per input row.
 
-    A candidate is a word with a run of at least LEAST_LENGTH characters of keys; it carries its number, the run, what stands before the
-    run in the word, and the two words before and the one after.
+    ``words`` are those with a run of at least LEAST_LENGTH characters of keys, each with its number, the two words before and the one after.
     """
     words = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", source.alias("source"), words.alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    long = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.length(F.get("words", i)) >= LEAST_LENGTH)
-    run = lambda i: F.try_element_at(F.regexp_extract_all(word(i), F.lit(f"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}"), F.lit(0)), F.lit(-1))
-    laid = F.transform(long, lambda i: F.struct(i.alias("index"), run(i).alias("value"), word(i).alias("word"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after")))
-    return rows.select("row", "doc_id", "source", F.filter(laid, lambda c: c["value"].isNotNull()).alias("candidates"))
+    long = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= LEAST_LENGTH) & F.get("words", i).rlike(RUN))
+    laid = F.transform(long, lambda i: F.struct(i.alias("index"), word(i).alias("word"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after")))
+    return rows.select("row", "doc_id", "source", laid.alias("words"))
+
+
+def find_candidates(words: DataFrame) -> DataFrame:
+    """(row, source, index, word, before2, before, after) -> (row, source, index, position, value, lead, key_before, ...), one row per run.
+
+    Every run of a word is a candidate; ``position``: its number in the word. ``lead`` is what stands just before it since the last SEPARATOR,
+    the run before included if nothing else separates them. The words before count for the runs up to the word's first separator
+    after a letter or digit. What the words before say is found once per word, so a text without blanks costs no square of its length.
+    """
+    before = F.concat_ws(" ", "before2", "before")
+    said = words.select("row", "source", "index", "word", before.rlike(KEYWORDS).alias("key_before"), before.rlike(HARMLESS).alias("harmless_before"), before.rlike(ASSIGNED).alias("assigned_before"), F.right(before, F.lit(40)).alias("tail"))
+    runs, gaps, none = F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), F.split("word", RUN, -1), F.array(F.lit(""))
+    cut = F.transform(gaps, lambda gap, k: F.when(k == 0, gap.rlike("(?s)[A-Za-z0-9].*" + SEPARATOR)).otherwise(gap.rlike(SEPARATOR)))
+    laid = F.arrays_zip(runs.alias("value"), F.slice(gaps, 1, F.size(runs)).alias("gap"), F.slice(F.concat(none, runs), 1, F.size(runs)).alias("run_before"), F.slice(F.concat(none, gaps), 1, F.size(runs)).alias("gap_before"))
+    each = said.select("*", F.array_position(cut, True).alias("cut"), F.posexplode(laid).alias("position", "c")).drop("word").select("*", "c.*").drop("c")
+    whole = F.when(F.col("gap").rlike(SEPARATOR), F.col("gap")).otherwise(F.concat("gap_before", "run_before", "gap"))
+    first = (F.col("cut") == 0) | (F.col("position") + 1 < F.col("cut"))
+    kept = [(first & F.col(c)).alias(c) for c in ("key_before", "harmless_before", "assigned_before")]
+    lead = F.regexp_extract(whole, f"(?s)([^{SEPARATOR[1:]}*)$", 1)
+    return each.select("row", "source", "index", "position", "value", lead.alias("lead"), *kept, F.when(first, F.col("tail")).otherwise("").alias("tail"))
 
 
 def trigrams(value: Column) -> Column:
@@ -43,28 +64,29 @@ def trigrams(value: Column) -> Column:
     return F.filter(every, lambda g: g.rlike("^[a-z]{3}$"))
 
 
-def dictionary(candidates: DataFrame) -> DataFrame:
-    """(gram): three-letter sequences of the ordinary words beside candidates; 26 * 26 * 26 rows at most, by their form."""
+def dictionary(words: DataFrame) -> DataFrame:
+    """(gram): three-letter sequences of the ordinary words beside those with candidates; 26 * 26 * 26 rows at most, by their form."""
     beside = F.filter(F.array("before2", "before", "after"), lambda w: w.rlike("^[A-Za-z]{3,15}[.,;:]?$"))
-    return candidates.select(F.explode(beside).alias("word")).select(F.explode(trigrams(F.col("word"))).alias("gram")).distinct()
+    return words.select(F.explode(beside).alias("word")).select(F.explode(trigrams(F.col("word"))).alias("gram")).distinct()
 
 
-def with_features(candidates: DataFrame) -> DataFrame:
-    """Adds FEATURES (double) to candidates (row, index, value, word, before2, before, after, source)."""
+def with_features(candidates: DataFrame, grams_known: DataFrame) -> DataFrame:
+    """Adds FEATURES (double) and ``assigned`` to what find_candidates gives."""
     value, n = F.col("value"), F.length("value")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
-    near = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", "^([^=:]*[=:])", 1))
+    key = F.regexp_extract("lead", "(?s)^(.*[=:])", 1)
+    assigned = F.col("assigned_before") | F.concat_ws(" ", "tail", "lead").rlike(ASSIGNED)
     changes = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"
     grams = candidates.select("value").distinct().select("value", F.explode(trigrams(value)).alias("gram"))
-    known = F.broadcast(dictionary(candidates).withColumn("known", F.lit(1)))  # 17,576 rows at most
+    known = F.broadcast(grams_known.withColumn("known", F.lit(1)))  # 17,576 rows at most
     coverage = grams.join(known, "gram", "left").groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0))).alias("coverage"))
-    flags = candidates.select("*", n.cast("double").alias("length"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"), share(changes).alias("transitions"), (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct"), near.rlike(KEYWORDS).cast("double").alias("keyword"), near.rlike(HARMLESS).cast("double").alias("harmless"), F.coalesce(F.col("source").rlike(PATHS), F.lit(False)).cast("double").alias("path"))
+    flags = candidates.select("*", n.cast("double").alias("length"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"), share(changes).alias("transitions"), (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct"), (F.col("key_before") | key.rlike(KEYWORDS)).cast("double").alias("keyword"), (F.col("harmless_before") | key.rlike(HARMLESS)).cast("double").alias("harmless"), F.coalesce(F.col("source").rlike(PATHS), F.lit(False)).cast("double").alias("path"), assigned.alias("assigned"))
     return flags.join(coverage, "value", "left").fillna(0.0, ["coverage"])
 
 
 def label_by_evidence(findings: DataFrame) -> DataFrame:
     """Labelled findings: 1 if the value has digits and is assigned to a key word, 0 if it is letters only without one; others drop out."""
-    assigned = F.concat_ws(" ", "before2", "before", "word").rlike(KEYWORDS + "\\W{0,3}\\s*[=:]")
+    assigned = F.col("assigned")
     label = F.when(assigned & (F.col("digits") > 0), 1.0).when(~assigned & (F.col("digits") == 0) & (F.col("keyword") == 0), 0.0)
     return findings.withColumn("label", label).where("label is not null")
 
@@ -93,23 +115,24 @@ def scored(findings: DataFrame, forest: Model | None) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """(doc_id, text[, source], ...) -> (doc_id, n_candidates, n_secrets, secrets: array of (index, value, probability)).
+    """(doc_id, text[, source], ...) -> (doc_id, n_candidates, n_secrets, secrets: array of (index, position, value, probability)).
 
-    One row per input row. ``index``: number of the word, from 0. ``labelled`` findings (FEATURES, value, label) train the forest; without
-    them, those that ``label_by_evidence`` marks in ``docs``. Null and empty texts have no candidate; rows without doc_id and repeated rows
-    are judged one by one. Further columns are ignored.
+    One row per input row. ``index``: number of the word, ``position``: of the run in the word, from 0. ``labelled`` findings (FEATURES, value,
+    label) train the forest; without them, those that ``label_by_evidence`` marks in ``docs``. Null and empty texts have no candidate; rows
+    without doc_id and repeated rows are judged one by one. Further columns are ignored.
     """
-    rows = written(find_candidates(docs), "secret-candidates")
-    each = rows.where(F.size("candidates") > 0).select("row", "source", F.explode("candidates").alias("c")).select("row", "source", "c.*")
-    findings = written(with_features(each), "secret-findings")
+    rows = written(find_words(docs), "secret-words")
+    words = rows.where(F.size("words") > 0).select("row", "source", F.explode("words").alias("w")).select("row", "source", "w.*")
+    each = written(find_candidates(words), "secret-candidates")
+    findings = written(with_features(each, dictionary(words)), "secret-findings")
     forest = fit_forest(labelled if labelled is not None else label_by_evidence(findings))
-    found = scored(findings, forest).where(F.col("probability") >= least).select("row", "index", "value", "probability")
-    by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("index", "value", "probability"))).alias("secrets"))
-    nothing = F.array().cast("array<struct<index:int,value:string,probability:double>>")
-    return rows.join(by_row, "row", "left").select("doc_id", F.size("candidates").cast("long").alias("n_candidates"), F.coalesce(F.size("secrets"), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce("secrets", nothing).alias("secrets"))
+    secret = F.when(F.col("probability") >= least, F.struct("index", "position", "value", "probability"))
+    by_row = scored(findings, forest).select("row", secret.alias("s")).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("s")).alias("secrets"))
+    nothing = F.array().cast("array<struct<index:int,position:int,value:string,probability:double>>")
+    return rows.join(by_row, "row", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce(F.size("secrets"), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce("secrets", nothing).alias("secrets"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_candidates, n_secrets, secrets): the numbers of the words that hold secrets, comma-joined."""
+    """(doc_id, n_candidates, n_secrets, secrets): the numbers of the words that hold secrets, comma-joined; a word's secrets are counted one by one."""
     found = find_secrets(docs)
-    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(F.transform("secrets", lambda s: s["index"].cast("string")), ",").alias("secrets"))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(F.array_distinct(F.transform("secrets", lambda s: s["index"].cast("string"))), ",").alias("secrets"))
