@@ -17,6 +17,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Standard deviations below the posterior mean at which the bound lies, and the bad rate from which it blocks.
 BOUND_SD, BLOCK_RATE = 1.64, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Labelled suffixes up to which they are broadcast.
+BROADCAST_SUFFIXES = 100_000
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -55,8 +57,8 @@ def _strength(children: DataFrame, parent_rate: Column) -> DataFrame:
     return children.agg(F.coalesce(F.when(spread <= 0, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), binomial / spread - 1))), F.lit(1.0)).alias("k"))
 
 
-def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFrame:
-    """(host, bad: 0 or 1) -> (host, n, rate, bound): posterior mean of the bad rate and its lower bound, for each labelled host.
+def level_rates(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """(host, bad: 0 or 1) -> for each of LEVELS: (key, n, up: posterior mean of the bad rate, k: the level's strength).
 
     Counts are gathered by host before anything else; a hot host costs one row per task. The strengths are one-row results.
     """
@@ -64,6 +66,7 @@ def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFram
     counts = with_levels(written(by_host, "host-counts"))
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     above = counts.select("suffix").distinct().withColumn("up", F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)))
+    levels = {}
     for level in LEVELS:
         key = level
         parent = "suffix" if level == "suffix" else LEVELS[LEVELS.index(level) - 1]
@@ -71,22 +74,48 @@ def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFram
         children = sums.join(above.select(F.col(parent).alias("p_"), "up"), F.col(parent) == F.col("p_")).drop("p_")
         strength = _strength(children, F.col("up")).first()["k"]
         rate = (F.col("bad") + strength * F.col("up")) / (F.col("n") + strength)
-        above = children.select(key, "n", rate.alias("up"), F.lit(strength).alias("k"))
-    size = F.col("n") + F.col("k") + 1
-    return above.select("host", "n", F.col("up").alias("rate"), (F.col("up") - bound_sd * F.sqrt(F.col("up") * (1 - F.col("up")) / size)).alias("bound"))
+        above = levels[level] = children.select(key, "n", rate.alias("up"), F.lit(strength).alias("k"))
+    return levels
+
+
+def _bound(rate: Column, n: Column, k: Column, bound_sd: float) -> Column:
+    return rate - bound_sd * F.sqrt(rate * (1 - rate) / (n + k + 1))
+
+
+def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFrame:
+    """(host, bad: 0 or 1) -> (host, n, rate, bound): posterior mean of the bad rate and its lower bound, for each labelled host."""
+    up, n, k = F.col("up"), F.col("n"), F.col("k")
+    return level_rates(outcomes)["host"].select("host", "n", up.alias("rate"), _bound(up, n, k, bound_sd).alias("bound"))
+
+
+def reputation_of(hosts: DataFrame, outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFrame:
+    """(host) -> (host, n, rate, bound), one row per distinct host.
+
+    A host without labels has n = 0 and the rate of its domain, else of its suffix; null if that has no label either.
+    """
+    levels = level_rates(outcomes)
+    out = with_levels(hosts.where("host <> ''").select("host").distinct())
+    k = levels["host"].agg(F.coalesce(F.max("k"), F.lit(1.0))).first()[0]
+    for level, rates in levels.items():
+        side = written(rates.select(F.col(level).alias("key_"), F.col("up").alias(f"up_{level}"), F.col("n").alias(f"n_{level}")), f"{level}-rates")
+        side = F.broadcast(side) if level == "suffix" and side.count() <= BROADCAST_SUFFIXES else side
+        out = out.join(side, F.col(level) == F.col("key_"), "left").drop("key_")
+    rate, n = F.coalesce("up_host", "up_domain", "up_suffix"), F.coalesce("n_host", F.lit(0))
+    return out.select("host", n.alias("n"), rate.alias("rate"), _bound(rate, n, F.lit(k), bound_sd).alias("bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
     """(page_id, url, ...) and labelled outcomes (host, bad) -> (page_id, host, path, rule, verdict), one row per input row.
 
-    Without a rule, a host whose bound is at least ``block_rate`` is blocked; a host without labels, an empty host and a null url are
-    allowed. Repeated rows and rows without page_id are judged one by one; further columns are ignored.
+    Without a rule, a host whose bound is at least ``block_rate`` is blocked; a host without labels is judged by its domain or else its
+    suffix. A host whose suffix has no label either, an empty host and a null url are allowed. Repeated rows and rows without page_id are judged one by one; further columns are ignored.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    blocked = host_reputation(outcomes).where(F.col("bound") >= block_rate).select(F.col("host").alias("host_"))
+    unruled = rows.where("rule is null").select("host")
+    blocked = reputation_of(unruled, outcomes).where(F.col("bound") >= block_rate).select(F.col("host").alias("host_"))
     judged = rows.join(blocked, (rows.host == blocked.host_) & rows.rule.isNull(), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("host_").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
