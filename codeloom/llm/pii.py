@@ -46,7 +46,15 @@ IP = Kind("ip", re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), lam
 CARD = Kind("card", re.compile(r"[0-9](?:[ -]?[0-9])++"), lambda m: 13 <= len(d := digits_of(m)) <= 19 and luhn(d), 0.6, re.compile(r"(?i)\b(card|visa|credit|debit|payment|master ?card|cvv)\b"))
 PHONE = Kind("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), lambda m: 9 <= len(digits_of(m)) <= 15, 0.5, re.compile(r"(?i)\b(phone|tel|telephone|call|mobile|fax|whatsapp)\b"))
 EMAIL_CONTEXT = re.compile(r"(?i)\b(e-?mail|mail|contact|write|reply)\b")
-IBAN = Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda m: 15 <= len(c := m.replace(" ", "")) <= 34 and mod97(c), 0.7, re.compile(r"(?i)\b(iban|bank|account|konto|bic|swift)\b"))
+IBAN = Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda m: 15 <= len(c := m.replace(" ", "")) <= 34 and mod97(c), 0.5, re.compile(r"(?i)\b(iban|bank|account|konto|bic|swift)\b"))
+# Lengths of account numbers by country, for some large ones; such a length raises a number's score by LENGTH_FITS.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+LENGTH_FITS = 0.25
+#: What a context word near a span adds, and what a word of another use takes off.
+RAISED, LOWERED = 0.35, 0.3
+OTHER_USE = re.compile(r"(?i)\b(version|release|invoice|order|isbn|serial|ticket|build)\b")
+#: Least score of the kinds that the method adds to the base ones.
+LEAST_SCORE = 0.6
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -70,14 +78,16 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
-def find_spans(text: str, window: int = 40) -> Iterator[tuple[str, int, int, float]]:
+def find_spans(text: str, window: int = 40, least: float = LEAST_SCORE) -> Iterator[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; code points, end exclusive.
 
-    The base kinds are all kept whatever the score; context words within ``window`` characters raise it.
+    Words within ``window`` characters adjust the score, between 0 and 1: those of the kind's context raise it, those of another use lower
+    it. The base kinds are all kept whatever the score; an added kind is kept from ``least`` on.
     """
     def score(base: float, context: re.Pattern, start: int, end: int) -> float:
-        near = context.search(text, max(0, start - window), start) or context.search(text, end, min(len(text), end + window))
-        return min(1.0, base + 0.35) if near else base
+        before, after = (max(0, start - window), start), (end, min(len(text), end + window))
+        near = lambda words: words.search(text, *before) or words.search(text, *after)
+        return min(1.0, max(0.0, base + (RAISED if near(context) else 0.0) - (LOWERED if near(OTHER_USE) else 0.0)))
 
     if "@" in text:
         for start, end in emails(text):
@@ -85,31 +95,37 @@ def find_spans(text: str, window: int = 40) -> Iterator[tuple[str, int, int, flo
     for kind in (IP, CARD, PHONE, IBAN):
         for m in kind.pattern.finditer(text):
             if kind.holds(m[0]):
-                yield kind.name, m.start(), m.end(), score(kind.base, kind.context, m.start(), m.end())
+                fits = kind is IBAN and IBAN_LENGTHS.get(m[0][:2]) == len(m[0].replace(" ", ""))
+                found = score(kind.base + LENGTH_FITS * fits, kind.context, m.start(), m.end())
+                if kind is not IBAN or found >= least:
+                    yield kind.name, m.start(), m.end(), found
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, spans: array of (kind, start, end, score)), one row per input row.
 
-    Base kinds: email, ip, card (Luhn) and phone; the method adds iban (mod 97). Null and empty texts have no span. Repeated
-    rows and rows without doc_id are judged one by one; further columns are ignored. No shuffle.
+    Base kinds: email, ip, card (Luhn) and phone; the method adds iban (mod 97) from a score of ``least`` on. Null and empty texts
+    have no span. Repeated rows and rows without doc_id are judged one by one; further columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "score"), x)) for x in find_spans(text)] for text in texts(batch.column(1))]
+            found = [[dict(zip(("kind", "start", "end", "score"), x)) for x in find_spans(text, least=least)] for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPANS)], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind string, start bigint, end bigint, score double>>")
 
 
-def op2(docs: DataFrame) -> DataFrame:
+def op2(docs: DataFrame, likely: float = 0.7) -> DataFrame:
+    """The contract's columns, ``n_iban``, ``scores`` (of all spans, in their order) and ``n_likely``, the spans whose score is at least ``likely``."""
     spans = find_pii(docs)
     listed = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:4]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return spans.select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("iban"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    sure = F.size(F.filter("spans", lambda s: s["score"] >= likely)).cast("long")
+    return spans.select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("iban"), scores.alias("scores"), sure.alias("n_likely"))

@@ -98,6 +98,22 @@ def test_personal_data_is_what_the_plain_patterns_find(spark):
     assert scores["card"] > scores["far"]
 
 
+def test_context_words_decide_about_added_kinds_and_are_returned(spark):
+    def account(country, length):  # a number of that country with right check digits
+        body = "".join(str(k % 10) for k in range(length - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{check:02d}{body}"
+
+    fitting, odd = account("DE", 22), account("QQ", 20)
+    rows = [fitting, odd, f"bank account {odd}", f"order {fitting}", f"order {fitting} of bank x", "version 1.2.3.4", "server 1.2.3.4", None, "", "word " * 50_000 + "a@b.de " + "ip 1.2.3.4 " * 2]
+    frame = spark.createDataFrame([*((k, x, "clash", 1, 2.0) for k, x in enumerate(rows)), (None, "a@b.de", "", 0, 0.0), (5, rows[5], "", 0, 0.0)], "doc_id long, text string, spans string, n_ip int, score double").repartition(2)
+    got = {row["doc_id"]: row for row in pii.op2(frame).collect()}
+    assert [got[k]["n_iban"] for k in range(5)] == [1, 0, 1, 0, 1]
+    assert [float(got[k]["scores"].split(",")[-1]) for k in (0, 2, 5, 6)] == [0.75, 0.85, 0.2, 0.85]
+    assert [got[k]["n_likely"] for k in (0, 5, 6, 7, 8)] == [1, 0, 1, 0, 0] and got[5]["n_ip"] == 1 and pii.op2(frame).count() == 12
+    assert got[9]["spans"] == "email:250000:250006,ip:250010:250017,ip:250021:250028" and got[None]["n_email"] == 1
+
+
 def test_language_is_found_and_strangers_are_rejected(spark):
     r = random.Random(1)
     made = {"xx": "aba bab abba baab aabb bab", "yy": "nono onon noon onno nnoo ono", "zz": "liri riri liil rill irli lir"}
