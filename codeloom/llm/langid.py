@@ -2,8 +2,10 @@
 
 Each language gets a model of character 4-grams. The models of all languages share arrays of n-gram hashes, sorted, with a row of log
 probabilities per n-gram; a lookup is one binary search for all languages at once, and an n-gram that none has seen backs off
-through the contexts' weights. A text goes to the language of the lowest cross-entropy per character, and is rejected if that
-lies beyond what calibration texts of the language show.
+through the contexts' weights. A text goes to the language of the lowest cross-entropy per character. For the rejection each block of
+MIXED characters takes its best language, so a text that mixes known ones is no stranger; the text is rejected if the mean of
+its blocks lies above a limit for its length. The limit lies midway between what held-back texts of known languages reach and what these
+texts cost without their own language's model, which is what a stranger costs.
 """
 
 from __future__ import annotations
@@ -23,29 +25,45 @@ from codeloom.llm.common import same, texts, written
 ORDER = 4
 #: Labelled documents that a language's model learns from, at most; as many again calibrate the rejection.
 FIT_DOCS = 300
-#: Standard deviations beyond the calibration texts' mean at which a text is rejected.
-REJECT_SD = 6.0
+#: Characters of a block that takes its best language by itself.
+MIXED = 100
+#: Lengths from which on a limit of its own holds, in characters; one with fewer than LEAST_HELD held-back texts takes the limit of all.
+LENGTHS, LEAST_HELD = (0, 20, 100), 20
+#: The quantiles, of known texts' excess over their language's median and of strangers', between which a limit lies.
+KNOWN_QUANTILE, STRANGER_QUANTILE = 1.0, 0.05
 #: Ids of a sample up to which they are broadcast.
 BROADCAST_IDS = 500_000
 #: Characters an unseen character is one of.
 ALPHABET = 1 << 14
 SPACE = 32
-#: Characters scored at once.
-BLOCK = 400_000
+#: Characters scored at once (a multiple of MIXED), and characters of texts that are held at once.
+BLOCK, HELD_CHARS = 400_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
-def letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or numbers."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return letter, letter | np.fromiter((chr(c).isnumeric() for c in range(0x110000)), bool, 0x110000)
 
 
 def characters(text: str) -> np.ndarray:
-    """Lower-case letters as code points, each run of anything else as one space, with spaces around; empty if no letter."""
+    """Lower-case letters as code points, each run of anything else as one space, with spaces around; empty if no letter.
+
+    Words that hold digits (keys, hashes) are no language and count as anything else, unless there are no others.
+    """
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = letters()[code]
+    letters, alphanumeric = classes()
+    letter = letters[code]
     if not letter.any():
         return np.zeros(0, np.uint64)
+    inside = alphanumeric[code]
+    word = np.cumsum(~inside)
+    coded = np.zeros(word[-1] + 1, bool)
+    coded[word[inside & ~letter]] = True
+    plain = letter & ~coded[word]
+    letter = plain if plain.any() else letter
     line = np.full(len(code) + 2, SPACE, np.uint64)
     line[1:-1][letter] = code[letter]
     blank = line == SPACE
@@ -82,10 +100,8 @@ class Model:
     languages: list[str]
     levels: list[Level]  # by order, from 1
     floor: float
-    mean: np.ndarray  # of calibration texts' cross-entropies, by language
-    spread: np.ndarray  # their standard deviation between texts
-    per_char: np.ndarray  # standard deviation of one character's
-    least_gap: np.ndarray  # the limit lies this far above the mean at least
+    median: np.ndarray  # of held-back texts' block entropies, by language
+    limits: np.ndarray  # the excess over the median beyond which a text is rejected, by length
 
     def log_probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """(n, languages) for n-grams in columns, by the longest order that is seen."""
@@ -107,8 +123,15 @@ class Model:
                 out[miss] = self.log_probabilities(rest[1:]) + np.where(seen[:, None], level.log_back[back] if len(level.contexts) else 0, 0)
         return out
 
-    def limit(self, language: int, length: int) -> float:
-        return self.mean[language] + max(self.least_gap[language], REJECT_SD * float(np.sqrt(self.spread[language] ** 2 + self.per_char[language] ** 2 / max(1, length))))
+    def excess(self, mixed: np.ndarray, language: np.ndarray) -> np.ndarray:
+        return mixed - self.median[language]
+
+    def rejects(self, mixed: np.ndarray, language: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.excess(mixed, language) > self.limits[length_class(sizes)]
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, sizes, side="right") - 1
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,19 +182,27 @@ def build_levels(grams: pd.DataFrame, languages: list[str]) -> list[Level]:
     return levels
 
 
-def entropies(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each line of characters: (lines, languages) mean cross-entropy, and the number of characters; 0 for an empty line."""
+def entropies(model: Model, lines: list[np.ndarray], without: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line of characters: (lines, languages) mean cross-entropy; the mean with each block's best language; the number of characters.
+
+    ``without``: a language for each line that its blocks may not take. All are 0 for an empty line.
+    """
     sizes = np.array([max(0, len(x) - 1) for x in lines])
-    total = np.zeros((len(lines), len(model.languages)))
+    total, mixed = np.zeros((len(lines), len(model.languages))), np.zeros(len(lines))
     held: list[tuple[int, list[np.ndarray]]] = []
     n = 0
 
     def score() -> None:
         rows = -model.log_probabilities([np.concatenate(c) for c in zip(*(w for _, w in held))])
-        starts = np.cumsum([0, *(len(w[0]) for _, w in held)])[:-1]
+        sizes_ = [len(w[0]) for _, w in held]
+        begins = np.cumsum([0, *sizes_])[:-1]
+        starts = np.concatenate([np.arange(a, a + size, MIXED) for a, size in zip(begins, sizes_)])
+        line = np.repeat([k for k, _ in held], [-(-size // MIXED) for size in sizes_])
         sums = np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
-        for (k, _), x in zip(held, sums):
-            total[k] += x
+        np.add.at(total, line, sums)
+        if without is not None:
+            sums[np.arange(len(sums)), np.array(without)[line]] = np.inf
+        np.add.at(mixed, line, sums.min(axis=1))
 
     for k, line in enumerate(lines):
         if not sizes[k]:
@@ -186,7 +217,7 @@ def entropies(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, np.nda
                 held, n = [], 0
     if held:
         score()
-    return total / np.maximum(sizes, 1)[:, None], sizes
+    return total / np.maximum(sizes, 1)[:, None], mixed / np.maximum(sizes, 1), sizes
 
 
 def _sampled(docs: DataFrame, fit_docs: int) -> DataFrame:
@@ -226,16 +257,16 @@ def fit_language_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     counted = sample.mapInPandas(grams, "lang string, c0 int, c1 int, c2 int, c3 int, count long")
     table = counted.groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("count").alias("count")).toPandas()
     languages = sorted(table["lang"].unique())
-    model = Model(languages, build_levels(table, languages) if languages else [], -float(np.log(ALPHABET)) - 6, *(np.zeros(len(languages)) for _ in range(4)))
+    model = Model(languages, build_levels(table, languages) if languages else [], -float(np.log(ALPHABET)) - 6, np.zeros(len(languages)), np.full(len(LENGTHS), np.inf))
     if languages:
         calibrate(model, sample)
     return model
 
 
 def calibrate(model: Model, sample: DataFrame) -> None:
-    """Mean and spread of the held-back texts' cross-entropies under their own language; fitted texts serve where none is.
+    """Set the medians and limits by the held-back texts; fitted texts serve for a language with fewer than five.
 
-    A text that mixes two known languages is no stranger: the limit lies above the mean of the nearest other language.
+    A text measured without its own language's model is a stranger to the others: its excess is over the language it would then go to.
     """
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -243,23 +274,30 @@ def calibrate(model: Model, sample: DataFrame) -> None:
         own = shared.value
         for frame in frames:
             frame = frame[frame["lang"].isin(own.languages)].reset_index(drop=True)
-            if len(frame):
-                h, n = entropies(own, [characters(x) for x in frame["text"]])
-                place = (np.arange(len(frame)), [own.languages.index(x) for x in frame["lang"]])
-                mine, h[place] = h[place], np.inf
-                yield pd.DataFrame({"lang": frame["lang"], "fits": frame["fits"], "h": mine, "other": h.min(axis=1), "n": n})
-
-    seen = sample.mapInPandas(measure, "lang string, fits boolean, h double, other double, n long").where("n > 0").toPandas()
-    for k, language in enumerate(model.languages):
-        own = seen[seen["lang"] == language]
-        held = own[~own["fits"]]
-        own = held if len(held) >= 5 else own
-        long = own[own["n"] >= own["n"].median()]
-        model.mean[k] = own["h"].mean() if len(own) else 0.0
-        model.spread[k] = max(0.05, float(long["h"].std(ddof=0))) if len(own) else 1.0
-        gap = (own["other"] - own["h"]).mean() if len(own) and len(model.languages) > 1 else 0.0
-        model.least_gap[k] = max(1.0, gap)
-        model.per_char[k] = 2.5  # nats; of one character's -log p, which short texts average over
+            for a in range(0, len(frame), 50):
+                part = frame.iloc[a : a + 50]
+                lines, mine = [characters(x) for x in part["text"]], [own.languages.index(x) for x in part["lang"]]
+                _, mixed, n = entropies(own, lines)
+                h, strange, _ = entropies(own, lines, mine)
+                h[np.arange(len(part)), mine] = np.inf
+                yield pd.DataFrame({"lang": mine, "fits": part["fits"].to_numpy(), "mixed": mixed, "strange": strange, "other": h.argmin(axis=1), "n": n})
+
+    # at most 2 * fit_docs rows a language
+    seen = sample.mapInPandas(measure, "lang int, fits boolean, mixed double, strange double, other int, n long").where("n > 0").toPandas()
+    held = seen[~seen["fits"]]
+    scarce = seen["lang"].map(held["lang"].value_counts()).fillna(0) < 5
+    held = seen[~seen["fits"] | scarce]
+    for k, own in held.groupby("lang"):
+        model.median[k] = own["mixed"].median()
+    known = model.excess(held["mixed"].to_numpy(), held["lang"].to_numpy())
+    strange = model.excess(held["strange"].to_numpy(), held["other"].to_numpy())
+    kind = length_class(held["n"].to_numpy())
+    for k in range(len(LENGTHS)):
+        own = kind == k if (kind == k).sum() >= LEAST_HELD else np.ones(len(kind), bool)
+        if own.any():
+            top = float(np.quantile(known[own], KNOWN_QUANTILE))
+            least = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else 3 * top
+            model.limits[k] = (top + max(top, least)) / 2
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,7 +305,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learnt. Of equal cross-entropies the first language in
     order of name wins. ``score``: the winner's share among the languages' likelihoods of ten characters. ``rejected``: no language fits
-    the text, or ``und``. Each row is judged alone; further columns are ignored. No shuffle.
+    the text, or ``und``. Each row is judged alone; further columns are ignored. No shuffle; texts are held HELD_CHARS at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,20 +313,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         for batch in batches:
             pred, score, rejected = [], [], []
-            values = list(texts(batch.column(1)))
-            for a in range(0, len(values), 200):
-                lines = [characters(x) for x in values[a : a + 200]]
-                if not own.languages:
-                    lines = [x[:0] for x in lines]
-                h, n = entropies(own, lines)
-                for row, size in zip(h, n.tolist()):
-                    if not size:
-                        pred.append("und"), score.append(0.0), rejected.append(True)
-                        continue
-                    best = int(np.argmin(row))
-                    pred.append(own.languages[best])
-                    score.append(float(1 / np.exp(10 * (row[best] - row)).sum()))
-                    rejected.append(bool(row[best] > own.limit(best, size)))
+
+            def judge(lines: list[np.ndarray]) -> None:
+                h, mixed, n = entropies(own, lines)
+                best = h.argmin(axis=1) if own.languages else np.zeros(len(lines), np.int64)
+                share = 1 / np.exp(10 * (h.min(axis=1, keepdims=True) - h)).sum(axis=1) if own.languages else mixed
+                strange = own.rejects(mixed, best, n) if own.languages else n == 0
+                pred.extend(own.languages[k] if size else "und" for k, size in zip(best.tolist(), n.tolist()))
+                score.extend(np.where(n > 0, share, 0.0).tolist())
+                rejected.extend((strange | (n == 0)).tolist())
+
+            lines, size = [], 0
+            for text in texts(batch.column(1)):
+                lines.append(characters(text) if own.languages else np.zeros(0, np.uint64))
+                size += len(lines[-1])
+                if size >= HELD_CHARS or len(lines) >= 200:
+                    judge(lines)
+                    lines, size = [], 0
+            if lines:
+                judge(lines)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -300,6 +343,7 @@ def held_out() -> Column:
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """The contract's columns and ``rejected``, by a model of the documents that are not held out."""
     predicted = identify(docs, fit_language_model(docs.where(~held_out())))
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -307,8 +351,9 @@ def op3(docs: DataFrame) -> DataFrame:
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns.
 
-    Rows that share a doc_id stay if one of them is accepted; of rows without doc_id likewise.
+    Rows that share a doc_id, or have none, are judged by their own texts. Null texts and those without a letter go. The rejected
+    rows, few by intent, are what is joined.
     """
-    judged = identify(docs, fit_language_model(docs.where(~held_out())))
-    good = judged.groupBy("doc_id").agg(F.min("rejected").alias("bad")).where("not bad").select(F.col("doc_id").alias("good_"))
-    return docs.join(good, same(docs["doc_id"], good["good_"]), "left_semi")
+    judged = identify(docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text"), fit_language_model(docs.where(~held_out())))
+    bad = judged.where("rejected").select(F.col("doc_id.doc_id").alias("bad_id_"), F.col("doc_id.mark").alias("bad_mark_")).distinct()
+    return docs.join(bad, same(docs["doc_id"], bad["bad_id_"]) & (F.xxhash64(docs["text"]) == bad["bad_mark_"]), "left_anti")

@@ -137,7 +137,7 @@ def test_kneser_ney_sums_to_one_over_seen_characters():
     line = langid.characters("the cat and the hat and the bat")
     columns = langid.windows(line)
     grams = pd.DataFrame({f"c{k}": c.astype(np.int64) for k, c in enumerate(columns)}).groupby(["c0", "c1", "c2", "c3"]).size().rename("count").reset_index().assign(lang="x")
-    model = langid.Model(["x"], langid.build_levels(grams, ["x"]), -20.0, *(np.zeros(1) for _ in range(4)))
+    model = langid.Model(["x"], langid.build_levels(grams, ["x"]), -20.0, np.zeros(1), np.zeros(3))
     seen = np.unique(line)
     for context in zip(*(c[:5] for c in columns[:3])):
         every = [np.full(len(seen), c, np.uint64) for c in context] + [seen]
