@@ -11,7 +11,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from uuid import uuid4
+from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pyarrow as pa
 import zstandard
@@ -27,6 +27,8 @@ MIN_REVISIT = 1000
 #: Bytes of records that a dictionary is trained on, the dictionary's size, and payload bytes of an archive file.
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 2 << 20, 64 << 10, 256 << 20
 READ_BYTES = 1 << 20
+#: Revisits (some 100 bytes each, urls besides) up to which they are broadcast, and parts that the pages of one payload are dealt into.
+BROADCAST_ROWS, SALTS = 200_000, 16
 LEVEL = 6
 
 
@@ -35,28 +37,33 @@ def header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "replace")
 
 
-def record(page_id, url: str | None, payload: bytes, sha1: str, kind: str, refers_to) -> bytes:
-    """One WARC record. A revisit has the HTTP headers but no payload; both carry the digest and length of the full payload."""
+def record(name: str, page_id, url: str | None, payload: bytes, sha1: str, kind: str, refers_to, refers_url: str | None) -> bytes:
+    """One WARC record; ``name`` is its own in all archives, as page ids may repeat or lack.
+
+    A revisit has the HTTP headers but no payload; both carry the digest and length of the full payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Target-URI", url or "urn:unknown"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid5(NAMESPACE_URL, name)}>"), ("WARC-Target-URI", url or "urn:unknown"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()), ("Content-Type", "application/http; msgtype=response")]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", refers_url or "urn:unknown"), ("X-Refers-To-Page-ID", str(refers_to))]
     return header([*fields, ("Content-Length", str(len(block)))]) + block + b"\r\n\r\n"
 
 
 def parsed(raw: bytes) -> tuple:
-    """(page_id, payload_bytes, sha1, type, refers_to, payload or None) of a record; a response's payload is checked against its digest."""
+    """(page_id, payload_bytes, sha1, type, refers_to, payload or None, record id) of a record; a response's payload is checked against its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(http.rpartition(b"Content-Length: ")[2])
     sha1 = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None
+    number = lambda name: int(fields[name]) if name in fields else None
     if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (sha1, length):
         raise ValueError(f"record {fields['WARC-Record-ID']} does not match its digest")
-    return number("WARC-Record-ID"), length, sha1, fields["WARC-Type"], number("WARC-Refers-To"), payload if fields["WARC-Type"] == "response" else None
+    return number("X-Page-ID"), length, sha1, fields["WARC-Type"], number("X-Refers-To-Page-ID"), payload if fields["WARC-Type"] == "response" else None, fields["WARC-Record-ID"]
 
 
 def dictionary_of(records: list[bytes]) -> bytes:
@@ -127,19 +134,28 @@ def read_archive(folder: str, name: str) -> Iterator[bytes]:
                 raise ValueError(f"{name} ends inside a record")
 
 
-def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, html, ...) -> (page_id, url, payload, sha1, record_type, refers_to).
+def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, html, ...) -> (page_id, url, payload, sha1, record_type, refers_to, refers_url).
 
     Of equal payloads of at least ``min_revisit`` bytes the page with the largest page_id is the response, once. Null html counts
     as empty. Pages without page_id are responses, and nothing refers to them; of rows that repeat page_id and payload each one is.
+    Revisits are found by page_id and hash alone, salted, as one payload may be a third of all; payloads move only where there are more than
+    ``broadcast_rows`` revisits, and those below ``min_revisit`` bytes never.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha2(html, 256).alias("sha256"), F.octet_length(html).alias("n"))
-    groups = rows.where((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("last"))
-    several = written(groups.where("copies > 1").select(F.col("sha256").alias("sha256_"), "last"), "equal-payloads")
-    revisits = F.coalesce((F.col("page_id") < F.col("last")) & (F.col("n") >= min_revisit), F.lit(False))
-    joined = rows.join(several, rows.sha256 == several.sha256_, "left")
-    return joined.select("page_id", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("sha1"), F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("last").cast("long")).alias("refers_to"))
+    keys = rows.where((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "sha256", "url")
+    groups = keys.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("last_url"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    several = groups.where("copies > 1").select("sha256", "last", "last_url", salts)
+    found = keys.select("page_id", "sha256", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")).join(several, ["sha256", "salt"]).where("page_id < last")
+    revisits = written(found.select(F.col("page_id").alias("page_"), F.col("sha256").alias("sha256_"), "last", "last_url").distinct(), "revisits")
+    side = F.broadcast(revisits) if revisits.count() <= broadcast_rows else revisits
+    large = rows.where(F.col("n") >= min_revisit)
+    joined = large.join(side, (large.page_id == side.page_) & (large.sha256 == side.sha256_), "left").select(*rows.columns, "last", "last_url")
+    small = rows.where(F.col("n") < min_revisit).withColumn("last", F.lit(None).cast(rows.schema["page_id"].dataType)).withColumn("last_url", F.lit(None).cast("string"))
+    kind = F.when(F.col("last").isNotNull(), "revisit").otherwise("response")
+    return joined.unionByName(small).select("page_id", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("sha1"), kind.alias("record_type"), F.col("last").cast("long").alias("refers_to"), F.col("last_url").alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -160,9 +176,9 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, ar
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, payload, sha1, kind, refers_to = (batch.column(c)[k].as_py() for c in range(6))
+                page_id, url, payload, sha1, kind, refers_to, refers_url = (batch.column(c)[k].as_py() for c in range(7))
                 writer = writer or ArchiveWriter(folder, f"part-{part:06d}-{number:04d}-{uuid4().hex[:8]}.warc.zst")
-                writer.add(record(page_id, url, payload.encode("utf-8", "surrogatepass"), sha1, kind, refers_to))
+                writer.add(record(f"{writer.path}/{count}", page_id, url, payload.encode("utf-8", "surrogatepass"), sha1, kind, refers_to, refers_url))
                 count += 1
                 if writer.payload >= archive_bytes:
                     yield done()
@@ -200,5 +216,6 @@ def read_warc(archives: DataFrame, folder: str, with_payload: bool = False) -> D
 
 
 def op4(pages: DataFrame) -> DataFrame:
+    """The contract's columns, from the archives as they are read back."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid4().hex}"
     return read_warc(write_warc(pages, folder), folder)

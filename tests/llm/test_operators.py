@@ -172,10 +172,30 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = row["page_id"] is not None and refers is not None and row["page_id"] != refers
         assert (row["record_type"], row["refers_to"]) == (("revisit", refers) if revisit else ("response", None))
         assert (bytes(row["payload"]) if row["payload"] is not None else None) == (None if revisit else payload)
+    names = [warc.parsed(raw)[6] for row in archives.collect() for raw in warc.read_archive(folder, row["archive"])]
+    assert len(set(names)) == len(rows)
+    key = lambda row: (str(row["page_id"]), row["sha1"], row["record_type"], row["refers_to"], row["refers_url"])
+    assert sorted(map(key, warc.plan_records(pages).collect())) == sorted(map(key, warc.plan_records(pages, broadcast_rows=-1).collect()))
     first = (tmp_path / "warc" / archives.first()["archive"]).read_bytes()
     assert first[:4] == (0x184D2A5D).to_bytes(4, "little")
 
 
+def test_warc_with_a_third_of_one_payload_matches_sql(spark, tmp_path):
+    import duckdb
+
+    from codeloom.llm.oracles import OP4
+
+    body = "<p>" + "one page in three " * 80
+    rows = [(k, f"http://h/{k}", body if k % 3 == 0 else f"{body}{k % 50}" if k % 3 == 1 else f"short {k % 4}", "x", 1) for k in range(3000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string, n int").repartition(6).write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    got = warc.op4(spark.read.parquet(f"{tmp_path}/pages"))
+    expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({OP4})").fetchall()
+    assert sorted(map(str, expected)) == sorted(str(tuple(row)) for row in got.collect())
+    assert sum(row[3] == "revisit" for row in expected) > 1900
+
+
 def plain_fingerprint(text, words=3):
     w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or ([b" ".join(w)] if w else [])
