@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import written
+from codeloom.llm.common import remove, shared_dir
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -27,15 +29,19 @@ def _star_round(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: long) -> (id, root): each node that has an edge, with the least id it can reach.
 
-    Rounds run until the edge set stays as it is, O(log n) of them; each is written to the shared
-    folder, so lineage stays short. Edges with a null end and self-loops link nothing. An empty table gives
+    Ids are longs. Rounds run until the edge set stays as it is, O(log n) of them; each is written to the shared
+    folder, so lineage stays short, and the one before is removed. A hub's rows are two longs each; the join on it sorts and
+    spills, and is split when its partition grows past what adaptive execution takes for skew. Edges with a null end and self-loops link nothing. An empty table gives
     an empty result.
     """
-    seen = None
-    current = None
+    spark, seen, current, path = edges.sparkSession, None, None, None
     for _ in range(max_rounds):
-        current = written(_oriented(edges) if current is None else _star_round(current), "components")
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
+        last, path = path, f"{shared_dir(edges.sparkSession)}/components-{uuid4().hex}"
+        (_oriented(edges) if current is None else _star_round(current)).write.parquet(path)
+        current = spark.read.schema("u long, v long").parquet(path)
+        if last:
+            remove(spark, last)
+        now = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if now == seen or not now["n"]:
             break
         seen = now
