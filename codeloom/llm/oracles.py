@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm.url_filter import BLOCK_RATE, BOUND_SD, RULES
+from codeloom.llm.url_filter import BLOCK_RATE, BOUND_SD, RULES, TWO_LABELS
 
 OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -33,19 +33,25 @@ r_{name} AS (SELECT {name}, n, (bad + k * up) / (n + k) AS up, k FROM s_{name},
 def _op10() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
+    pairs = ", ".join(f"'{x}'" for x in TWO_LABELS)
+    last = lambda n: f"array_to_string(list_slice(string_split(site, '.'), -{n}, -1), '.')"
+    level = lambda n: f"CASE WHEN regexp_matches(site, '^[0-9]+(\\.[0-9]+){{3}}$') OR starts_with(site, '[') THEN site WHEN {last(2)} IN ({pairs}) THEN {last(n + 1)} ELSE {last(n)} END"
     rule, verdict = (" ".join(f"WHEN {f} THEN '{(r, v)[k]}'" for f, r, v in fits) for k in (0, 1))
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM u),
 t AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h),
+ts AS (SELECT *, regexp_replace(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '\\.+$', '') AS site FROM t),
 marks AS (SELECT doc_id, max(greatest((quality = 0)::INT, (toxic = 1)::INT)) AS bad FROM labels GROUP BY doc_id),
-o AS (SELECT host, marks.bad FROM t JOIN marks ON try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) = marks.doc_id WHERE host <> '' AND marks.bad IS NOT NULL),
-counts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host),
+o AS (SELECT site, marks.bad FROM ts JOIN marks ON try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) = marks.doc_id WHERE host <> '' AND marks.bad IS NOT NULL),
+counts AS (SELECT site AS host, {level(2)} AS domain, {level(1)} AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY site),
 top AS (SELECT DISTINCT suffix, ((SELECT coalesce(sum(bad), 0) FROM counts) + 1) / ((SELECT coalesce(sum(n), 0) FROM counts) + 2) AS up FROM counts),
 {_level("suffix", "suffix", "top")},{_level("domain", "suffix", "r_suffix")},{_level("host", "domain", "r_domain")},
-blocked AS (SELECT host AS host_ FROM r_host WHERE up - {BOUND_SD} * sqrt(up * (1 - up) / (n + k + 1)) >= {BLOCK_RATE})
-SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN host_ IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM t LEFT JOIN blocked ON t.host = blocked.host_
+asked AS (SELECT DISTINCT site, {level(2)} AS domain, {level(1)} AS suffix FROM ts WHERE site <> ''),
+judged AS (SELECT site, coalesce(h.up, d.up, s.up) AS up, coalesce(h.n, 0) AS n, (SELECT k FROM k_host) AS k FROM asked a LEFT JOIN r_host h ON h.host = a.site LEFT JOIN r_domain d ON d.domain = a.domain LEFT JOIN r_suffix s ON s.suffix = a.suffix),
+blocked AS (SELECT site AS site_ FROM judged WHERE up - {BOUND_SD} * sqrt(up * (1 - up) / (n + k + 1)) >= {BLOCK_RATE})
+SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN site_ IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM ts LEFT JOIN blocked ON ts.site = blocked.site_
 """
 
 

@@ -17,8 +17,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Standard deviations below the posterior mean at which the bound lies, and the bad rate from which it blocks.
 BOUND_SD, BLOCK_RATE = 1.64, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Labelled suffixes up to which they are broadcast.
-BROADCAST_SUFFIXES = 100_000
+# Public suffixes of two labels, some common ones; any other suffix is the last label.
+TWO_LABELS = ("ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.cn", "or.jp", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za")
+#: Labelled suffixes, and hosts to block (some 60 bytes each), up to which they are broadcast; parts that the pages of a host are dealt into beyond that.
+BROADCAST_SUFFIXES, BROADCAST_HOSTS, SALTS = 100_000, 500_000, 16
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -41,9 +43,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def with_levels(df: DataFrame) -> DataFrame:
-    """Adds the registered domain (the last two labels) and the suffix (the last label) of ``host``."""
-    return df.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+def site_of(host: Column) -> Column:
+    """The host without user, port and final dots: what reputations belong to."""
+    return F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", ""), "\\.+$", "")
+
+
+def with_levels(df: DataFrame, two_labels: tuple[str, ...] = TWO_LABELS) -> DataFrame:
+    """Adds the suffix of ``host`` (one of ``two_labels``, else its last label) and the registered domain (one label more).
+
+    A numeric address has no domain: all levels are the address itself.
+    """
+    address = F.col("host").rlike("^[0-9]+(\\.[0-9]+){3}$") | F.col("host").startswith("[")
+    last = lambda n: F.substring_index("host", ".", -n)
+    two = last(2).isin(*two_labels) if two_labels else F.lit(False)
+    level = lambda n: F.when(address, F.col("host")).when(two, last(n + 1)).otherwise(last(n))
+    return df.withColumn("domain", level(2)).withColumn("suffix", level(1))
 
 
 def _strength(children: DataFrame, parent_rate: Column) -> DataFrame:
@@ -58,11 +72,12 @@ def _strength(children: DataFrame, parent_rate: Column) -> DataFrame:
 
 
 def level_rates(outcomes: DataFrame) -> dict[str, DataFrame]:
-    """(host, bad: 0 or 1) -> for each of LEVELS: (key, n, up: posterior mean of the bad rate, k: the level's strength).
+    """(host, bad: 0 or 1[, n: that many such pages]) -> for each of LEVELS: (key, n, up: posterior mean of the bad rate, k: the level's strength).
 
     Counts are gathered by host before anything else; a hot host costs one row per task. The strengths are one-row results.
     """
-    by_host = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    n = F.col("n") if "n" in outcomes.columns else F.lit(1)
+    by_host = outcomes.where("bad is not null and host is not null").groupBy(site_of(F.col("host")).alias("host")).agg(F.sum(n).alias("n"), F.sum(F.col("bad") * n).alias("bad"))
     counts = with_levels(written(by_host, "host-counts"))
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     above = counts.select("suffix").distinct().withColumn("up", F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)))
@@ -91,7 +106,7 @@ def host_reputation(outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFram
 def reputation_of(hosts: DataFrame, outcomes: DataFrame, bound_sd: float = BOUND_SD) -> DataFrame:
     """(host) -> (host, n, rate, bound), one row per distinct host.
 
-    A host without labels has n = 0 and the rate of its domain, else of its suffix; null if that has no label either.
+    Hosts are sites, as ``site_of`` gives them. A host without labels has n = 0 and the rate of its domain, else of its suffix; null if that has no label either.
     """
     levels = level_rates(outcomes)
     out = with_levels(hosts.where("host <> ''").select("host").distinct())
@@ -104,7 +119,7 @@ def reputation_of(hosts: DataFrame, outcomes: DataFrame, bound_sd: float = BOUND
     return out.select("host", n.alias("n"), rate.alias("rate"), _bound(rate, n, F.lit(k), bound_sd).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """(page_id, url, ...) and labelled outcomes (host, bad) -> (page_id, host, path, rule, verdict), one row per input row.
 
     Without a rule, a host whose bound is at least ``block_rate`` is blocked; a host without labels is judged by its domain or else its
@@ -113,15 +128,20 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate:
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    unruled = rows.where("rule is null").select("host")
-    blocked = reputation_of(unruled, outcomes).where(F.col("bound") >= block_rate).select(F.col("host").alias("host_"))
-    judged = rows.join(blocked, (rows.host == blocked.host_) & rows.rule.isNull(), "left")
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("site", site_of(F.col("host")))
+    unruled = rows.where("rule is null").select(F.col("site").alias("host"))
+    blocked = written(reputation_of(unruled, outcomes).where(F.col("bound") >= block_rate).select(F.col("host").alias("host_")), "blocked-hosts")
+    if blocked.count() <= broadcast_hosts:
+        judged = rows.join(F.broadcast(blocked), (rows.site == blocked.host_) & rows.rule.isNull(), "left")
+    else:  # a hot host's pages are dealt into parts
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        rows, blocked = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))), blocked.withColumn("salt_", salts)
+        judged = rows.join(blocked, (rows.site == blocked.host_) & (rows.salt == blocked.salt_) & rows.rule.isNull(), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("host_").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad): pages whose url's path ends in the number of a labelled document; bad if that is toxic or of low quality.
+    """(host, bad, n): the numbers of pages whose url's path ends in the number of a labelled document; bad if that is toxic or of low quality.
 
     A document labelled more than once is bad if any label says so; one without quality and toxic teaches nothing.
     """
@@ -130,8 +150,10 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rows = pages.select(host.alias("host"), path.alias("path")).select("host", number.alias("doc_id")).where("doc_id is not null and host <> ''")
     bad = F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
     marks = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    return rows.join(marks, "doc_id").select("host", "bad")
+    counted = rows.groupBy(site_of(F.col("host")).alias("host"), "doc_id").agg(F.count(F.lit(1)).alias("n"))  # before the join: paths of one number
+    return counted.join(marks, "doc_id").select("host", "bad", "n")
 
 
 def op10(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns; outcomes come from the labels of the documents that urls name."""
     return filter_urls(pages, page_outcomes(pages, labels))
