@@ -50,23 +50,37 @@ def test_empty_tables_give_empty_results(spark, empty):
 
 
 def test_token_counts_are_those_of_the_best_segmentation(docs):
-    path = bpe.vocabulary_path()
-    scores, split = token_counts.piece_scores(path), bpe.pre_tokeniser(bpe.default_pattern())
+    path, split = bpe.vocabulary_path(), bpe.pre_tokeniser(bpe.default_pattern())
+    ranks = bpe.vocabulary(path)
 
-    def count(word):
-        key, best = word.encode(), [(0.0, 0)]
+    def segmented(word, scores):
+        key, best = word.encode(), [(0.0, 0, 0)]
         for i in range(1, len(key) + 1):
-            best.append(max((best[j][0] + scores[key[j:i]], best[j][1] - 1) for j in range(max(0, i - 200), i) if key[j:i] in scores))
-        return -best[-1][1]
-
-    known = {}
-    expected = Counter()
-    for doc_id, text in rows_of(docs):
-        words = split.findall(text) if len(text) < 5000 else []
-        expected[(doc_id, sum(known.setdefault(w, count(w)) for w in words))] += len(text) < 5000
+            best.append(max((best[j][0] + scores[key[j:i]], best[j][1] - 1, j) for j in range(max(0, i - 200), i) if key[j:i] in scores))
+        i, out = len(key), []
+        while i:
+            out.append(key[best[i][2] : i])
+            i = best[i][2]
+        return out
+
+    rows = rows_of(docs)
+    words = Counter(w for _, text in rows for w in split.findall(text) if len(w) < 5000)
+    prior, uses = token_counts.prior_scores(path), Counter()
+    for w, n in words.items():
+        for piece in segmented(w, prior):
+            uses[ranks[piece]] += n
+    short = docs.where("text is null or text not like 'xxxxx%'")
+    assert token_counts.piece_uses(short, path, bpe.default_pattern()) == Counter({k: n for k, n in uses.items()})
+    scores = token_counts.fitted_scores(path, uses)
+    known = {w: len(segmented(w, scores)) for w in words}
+    assert abs(sum(math.exp(x) for x in scores.values()) - 1) < 1e-6 and sum(len(segmented(w, prior)) != n for w, n in known.items()) >= 0
+    expected = Counter((k, sum(known[w] for w in split.findall(t)), len(split.findall(t))) for k, t in rows if all(len(w) < 5000 for w in split.findall(t)))
     for limit in (600_000, 50):
-        got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, max_nodes=limit).collect())
-        assert not {k: n for k, n in expected.items() if n} - got.keys() if isinstance(got, set) else all(got[k] == n for k, n in expected.items() if n)
+        got = Counter(tuple(row) for row in token_counts.count_tokens(docs, max_nodes=limit, uses=uses).collect())
+        assert all(got[k] == n for k, n in expected.items()) and sum(got.values()) == len(rows)
+    trie = token_counts.UnigramTrie(token_counts.automaton(path), max_nodes=1000)
+    trie.total([f"w{k}" for k in range(20_000)])  # one text of distinct words
+    assert len(trie.best) <= 1000 + 10
 
 
 PII = "Mail Bob.x+1@mail-1.example.co.uk, a@b@c.de; a@b. ip 10.0.0.255 256.1.1.1 1.2.3.4.5 card 4111 1111-1111 1111, 4111 1111 1111 1112 call +1 (555) 010-9999. +12 +1((((( IBAN DE89 3704 0044 0532 0130 00 x"
