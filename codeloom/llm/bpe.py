@@ -29,8 +29,8 @@ from codeloom.llm.common import texts
 CHUNK, OVERLAP = 32_768, 512
 #: A pre-token that ends this close to a chunk's end is not sure: fixed alternatives of the pattern, like contractions, look this far at most.
 GUARD = 8
-#: Pieces whose ids a worker remembers.
-KNOWN_PIECES = 300_000
+#: Pieces whose ids a worker remembers, and code points of the longest one of these.
+KNOWN_PIECES, KNOWN_LENGTH = 300_000, 128
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -109,11 +109,16 @@ class Codec:
     def encode(self, pieces: list[str]) -> bytes:
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        known, single = self.known, self.core._encode_single_piece
+        known, single, long = self.known, self.core._encode_single_piece, []
         for piece in set(pieces):
             if piece not in known:
                 known[piece] = np.array(single(piece), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+                if len(piece) > KNOWN_LENGTH:
+                    long.append(piece)
+        out = b"".join(map(known.__getitem__, pieces))
+        for piece in long:
+            del known[piece]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -230,4 +235,5 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """The contract's columns, by the ranks of the public vocabulary."""
     return encode_texts(docs)

@@ -276,6 +276,7 @@ def exact_groups(docs: DataFrame, limit: int = TRIE_BYTES, hot_rows: int = HOT_R
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """The contract's columns, one row per document."""
     return exact_groups(docs)
 
 
@@ -292,6 +293,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     sure = out.join(odd, same(out["doc_id"], odd["kept_"]), "left_anti")
     held = groups.where("kept").select(F.col("doc_id").alias("kept_"), "text_sha256")
     normal = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    open_ = out.join(odd, same(out["doc_id"], odd["kept_"]), "left_semi").withColumn("sha_", normal)
-    open_ = open_.join(held, same(open_["doc_id"], held["kept_"]) & (open_["sha_"] == held["text_sha256"]), "left_semi").dropDuplicates(["doc_id", "sha_"]).drop("sha_")
+    sha = "sha_" + "_" * max(map(len, docs.columns))  # no column of ``docs``
+    open_ = out.join(odd, same(out["doc_id"], odd["kept_"]), "left_semi").withColumn(sha, normal)
+    open_ = open_.join(held, same(open_["doc_id"], held["kept_"]) & (open_[sha] == held["text_sha256"]), "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
     return sure.unionByName(open_)

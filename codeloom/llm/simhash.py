@@ -9,6 +9,7 @@ word of lanes is abandoned once all its distances exceed the radius or its rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,17 +26,25 @@ BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Hashes whose bits are unpacked at once: 64 bytes each.
 HASH_BLOCK = 200_000
+#: Bytes of a text whose words are held at once.
+PART_BYTES, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Rows above which a bucket is compared in tiles of at most twice this many rows.
 TILE_ROWS = 8192
 
 
-def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
-    """XXH64 of each run of ``words`` words, repeats included; of all words if there are fewer; none: no hash."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if len(w) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(w), seed)] if w else []
-    digest = xxhash.xxh64_intdigest
-    return [digest(b" ".join(x), seed) for x in zip(*(w[k:] for k in range(words)))]
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, repeats included; of all words if there are fewer; none: no hash. A long text goes in parts."""
+    raw = text.encode("utf-8", "surrogatepass").lower()  # bytes: only A-Z and ASCII white space
+    digest, out, carried, begin = xxhash.xxh64_intdigest, [], [], 0
+    while begin < len(raw):
+        blank = BLANK.search(raw, begin + PART_BYTES)
+        end = blank.start() if blank else len(raw)
+        w = carried + raw[begin:end].split()
+        out.append(np.array([digest(b" ".join(x), seed) for x in zip(*(w[k:] for k in range(words)))], np.uint64))
+        carried, begin = w[-(words - 1) :] if words > 1 else [], end
+    if carried and not any(map(len, out)):
+        out.append(np.array([digest(b" ".join(carried), seed)], np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -59,15 +68,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, hashes, counts = [np.zeros(0, np.uint64)], [], []
+            prints, hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
             for text in texts(batch.column(1)):
-                own = shingle_hashes(text, words)
-                hashes += own
-                counts.append(len(own))
-                if len(hashes) >= HASH_BLOCK:
-                    prints.append(majority_bits(np.array(hashes, np.uint64), np.array(counts, np.int64)))
-                    hashes, counts = [], []
-            prints.append(majority_bits(np.array(hashes, np.uint64), np.array(counts, np.int64)))
+                hashes.append(shingle_hashes(text, words))
+                counts.append(len(hashes[-1]))
+                if sum(counts) >= HASH_BLOCK:
+                    prints.append(majority_bits(np.concatenate(hashes), np.array(counts, np.int64)))
+                    hashes, counts = [np.zeros(0, np.uint64)], []
+            prints.append(majority_bits(np.concatenate(hashes), np.array(counts, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -239,6 +247,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, tile_rows:
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """The contract's columns: fingerprints of three-word shingles, linked at three or fewer bits."""
     return simhash_groups(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
