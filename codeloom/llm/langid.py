@@ -31,6 +31,8 @@ MIXED = 100
 LENGTHS, LEAST_HELD = (0, 20, 100), 20
 #: The quantiles, of known texts' excess over their language's median and of strangers', between which a limit lies.
 KNOWN_QUANTILE, STRANGER_QUANTILE = 1.0, 0.05
+#: A limit is at least this many times the known excess, where strangers cost no more than known texts (wrong labels do that).
+LEAST_SLACK = 1.25
 #: Ids of a sample up to which they are broadcast.
 BROADCAST_IDS = 500_000
 #: Characters an unseen character is one of.
@@ -296,8 +298,8 @@ def calibrate(model: Model, sample: DataFrame) -> None:
         own = kind == k if (kind == k).sum() >= LEAST_HELD else np.ones(len(kind), bool)
         if own.any():
             top = float(np.quantile(known[own], KNOWN_QUANTILE))
-            least = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else 3 * top
-            model.limits[k] = (top + max(top, least)) / 2
+            least = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else top
+            model.limits[k] = max((top + least) / 2, LEAST_SLACK * top)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -14,7 +14,7 @@ def words(text):
 def overlaps(doc, item, window=decontam.WINDOW, agree=decontam.AGREE):
     """Whether any window of the item, at any place of the document, agrees in the share of its words."""
     wide = min(window, len(item))
-    if len(item) < decontam.LEAST_WORDS:
+    if len(item) < decontam.LEAST_WORDS or sum(map(set(item).__contains__, doc)) < agree * wide:
         return False
     for at in range(-len(item) + 1, len(doc)):
         equal = [0 <= at + k < len(doc) and doc[at + k] == w for k, w in enumerate(item)]
