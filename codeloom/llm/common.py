@@ -76,6 +76,20 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+#: Rows (an id and a hash) up to which a set of rows is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows in ``bad`` (doc_id, mark_: hash of the text): rows that share a doc_id or have none are told apart by it.
+
+    Few such rows are broadcast, so the texts that stay do not move; more are joined by shuffle.
+    """
+    bad = written(bad.select(F.col("doc_id").alias("bad_id_"), F.col("mark_").alias("bad_mark_")).distinct(), name)
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(side, same(docs["doc_id"], side["bad_id_"]) & (F.xxhash64(docs["text"]) == side["bad_mark_"]), "left_anti")
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
     """The strings of an Arrow column one by one; null counts as empty."""
     for x in column:

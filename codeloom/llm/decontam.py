@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import same, written
+from codeloom.llm.common import same, without_rows, written
 
 #: Fixed masks: 1 compares the word, 0 leaves it out. For items of at least WINDOW words, and for shorter ones.
 MASKS = ("11101011", "11001111")
@@ -110,20 +110,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return by_item.groupBy("doc_id", "mark_").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.sum("n").alias("n_spans"), F.max("agreeing").cast("long").alias("longest"))
 
 
-def _is_found(doc_id: Column, text: Column, found: DataFrame) -> Column:
-    return same(doc_id, found["found_id_"]) & (F.xxhash64(text) == found["found_mark_"])
-
-
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, item_ids, n_spans), one row per row of ``docs``; a row without doc_id is judged by its own text."""
     found = contaminated(docs, benchmark).withColumnsRenamed({"doc_id": "found_id_", "mark_": "found_mark_"})
-    rows = docs.select("doc_id", "text")
-    rows = rows.join(found, _is_found(rows["doc_id"], rows["text"], found), "left")
+    rows = with_mark(docs.select("doc_id", "text")).select("doc_id", "mark_")  # texts stay where they are
+    rows = rows.join(found, same(rows["doc_id"], found["found_id_"]) & (rows["mark_"] == found["found_mark_"]), "left")
     listed = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
     return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(listed, F.lit("")).alias("item_ids"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, with all their columns; null and empty texts stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("found_id_"), F.col("mark_").alias("found_mark_"))
-    return docs.join(found, _is_found(docs["doc_id"], docs["text"], found), "left_anti")
+    return without_rows(docs, find_overlaps(docs, benchmark), "contaminated")

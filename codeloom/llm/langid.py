@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import same, texts, written
+from codeloom.llm.common import texts, without_rows, written
 
 ORDER = 4
 #: Labelled documents that a language's model learns from, at most; as many again calibrate the rejection.
@@ -357,5 +357,4 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     rows, few by intent, are what is joined.
     """
     judged = identify(docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text"), fit_language_model(docs.where(~held_out())))
-    bad = judged.where("rejected").select(F.col("doc_id.doc_id").alias("bad_id_"), F.col("doc_id.mark").alias("bad_mark_")).distinct()
-    return docs.join(bad, same(docs["doc_id"], bad["bad_id_"]) & (F.xxhash64(docs["text"]) == bad["bad_mark_"]), "left_anti")
+    return without_rows(docs, judged.where("rejected").select("doc_id.doc_id", F.col("doc_id.mark").alias("mark_")), "rejected")
