@@ -145,17 +145,21 @@ def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_row
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha2(html, 256).alias("sha256"), F.octet_length(html).alias("n"))
     keys = rows.where((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "sha256", "url")
+    keys = written(keys, "payload-hashes")
     groups = keys.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("last_url"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     several = groups.where("copies > 1").select("sha256", "last", "last_url", salts)
     found = keys.select("page_id", "sha256", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")).join(several, ["sha256", "salt"]).where("page_id < last")
     revisits = written(found.select(F.col("page_id").alias("page_"), F.col("sha256").alias("sha256_"), "last", "last_url").distinct(), "revisits")
-    side = F.broadcast(revisits) if revisits.count() <= broadcast_rows else revisits
-    large = rows.where(F.col("n") >= min_revisit)
-    joined = large.join(side, (large.page_id == side.page_) & (large.sha256 == side.sha256_), "left").select(*rows.columns, "last", "last_url")
-    small = rows.where(F.col("n") < min_revisit).withColumn("last", F.lit(None).cast(rows.schema["page_id"].dataType)).withColumn("last_url", F.lit(None).cast("string"))
+    found = (F.col("page_id") == F.col("page_")) & (F.col("sha256") == F.col("sha256_")) & (F.col("n") >= min_revisit)
+    if revisits.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(revisits), found, "left")
+    else:
+        small = rows.where(F.col("n") < min_revisit)
+        missing = [F.lit(None).cast(field.dataType).alias(field.name) for field in revisits.schema]
+        joined = rows.where(F.col("n") >= min_revisit).join(revisits, found, "left").unionByName(small.select("*", *missing))
     kind = F.when(F.col("last").isNotNull(), "revisit").otherwise("response")
-    return joined.unionByName(small).select("page_id", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("sha1"), kind.alias("record_type"), F.col("last").cast("long").alias("refers_to"), F.col("last_url").alias("refers_url"))
+    return joined.select("page_id", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("sha1"), kind.alias("record_type"), F.col("last").cast("long").alias("refers_to"), F.col("last_url").alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
