@@ -65,12 +65,26 @@ REMAPPED = ((".js", (".ts", ".tsx")), (".mjs", (".mts",)), (".cjs", (".cts",)))
 PROBED = (".ts", ".tsx", "/index.ts", "/index.tsx")
 
 
+def ancestors(path: Column) -> Column:
+    """The folders above and with ``path``, the root folder first."""
+    parts = F.split(path, "/")
+    inner = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.array_distinct(F.transform(inner, lambda x: F.when(x == "", "/").otherwise(x)))
+
+
+def project_roots(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """Folders (dir_) and roots (root) -> (dir_, root): the nearest root at or above the folder; none, no row."""
+    above = folders.select("dir_", F.explode(ancestors(F.col("dir_"))).alias("root"))
+    return above.join(roots.select("root").distinct(), "root").groupBy("dir_").agg(F.max_by("root", F.length("root")).alias("root"))
+
+
 def resolve_imports(imports: DataFrame, listing: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Imports (from_file, specifier), listing (entry, is_dir), aliases (base_dir, ord, pattern, replacement) -> adds target.
+    """Imports (from_file, specifier), listing (entry, is_dir), aliases (base_dir, ord, pattern, replacement[, root]) -> adds target.
 
     A relative specifier is joined to the importing folder; if that does not exist, sources of a mapped extension are tried, else it stays as
-    it is and dangles. Another specifier takes the first alias in order that fits, and its replacement is probed for extensions and
-    index files; without one it is an external module. Distinct (folder, specifier) pairs are resolved once.
+    it is and dangles. Another specifier takes the first alias in order that fits, of the project whose ``root`` (else ``base_dir``) is the
+    nearest at or above the importing folder; its replacement is probed for extensions and index files. Without an alias it is an external
+    module. Distinct (folder, specifier) and (project, specifier) pairs are resolved once; all joins have keys.
     """
     asked = imports.select(dirname(F.col("from_file")).alias("dir_"), F.col("specifier").alias("spec_")).distinct()
     relative = asked.where(F.col("spec_").startswith(".")).withColumn("raw_", normalize_path(F.col("dir_"), F.col("spec_")))
@@ -78,22 +92,28 @@ def resolve_imports(imports: DataFrame, listing: DataFrame, aliases: DataFrame)
     tries = F.concat(F.array("raw_"), F.coalesce(*swaps, F.array().cast("array<string>")))
     near = _first_existing(relative.withColumn("tries_", tries), listing)
 
-    specs = asked.where(~F.col("spec_").startswith(".")).select("spec_").distinct()
-    rules = aliases.where("replacement is not null").select("base_dir", "ord", "pattern", "replacement")
-    prefix = F.expr("left(pattern, length(pattern) - 1)")  # with its slash
+    root = F.col("root") if "root" in aliases.columns else F.col("base_dir")
+    rules = aliases.where("replacement is not null").select(normalize_path(F.lit("/"), root).alias("root"), "base_dir", "ord", "pattern", "replacement")
+    named = asked.where(~F.col("spec_").startswith("."))
+    projects = project_roots(named.select("dir_").distinct(), rules)
+    specs = named.join(projects, "dir_").select("root", "spec_").distinct()
+    # a specifier offers itself to exact rules, and each of its prefixes that end with a slash to the others
+    parts = F.split("spec_", "/")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.col("spec_")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    offers = specs.select("root", "spec_", F.posexplode(prefixes).alias("place_", "key_")).withColumn("star_", F.col("place_") > 0)
     star = F.col("pattern").endswith("/*")
-    fits = (star & F.col("spec_").startswith(prefix)) | (~star & (F.col("spec_") == F.col("pattern")))
+    keyed = rules.withColumn("star_", star).withColumn("key_", F.when(star, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern")))
     base = F.when(F.col("replacement").endswith("/*"), F.expr("left(replacement, length(replacement) - 2)")).otherwise(F.col("replacement"))
     rest = F.expr("substring(spec_, length(pattern), length(spec_))")
-    # a project's alias rules are a handful of rows: a keyless join over distinct specifiers
-    hit = specs.join(rules, fits).withColumn("to_", F.when(star, F.concat_ws("/", normalize_path(F.col("base_dir"), base), rest)).otherwise(normalize_path(F.col("base_dir"), F.col("replacement"))))
-    first = hit.groupBy("spec_").agg(F.min_by("to_", "ord").alias("to_")).select("spec_", normalize_path(F.lit("/"), F.col("to_")).alias("raw_"))
+    hit = offers.join(keyed, ["root", "key_", "star_"]).withColumn("to_", F.when(F.col("star_"), F.concat_ws("/", normalize_path(F.col("base_dir"), base), rest)).otherwise(normalize_path(F.col("base_dir"), F.col("replacement"))))
+    first = hit.groupBy("root", "spec_").agg(F.min_by("to_", "ord").alias("to_")).select("root", "spec_", normalize_path(F.lit("/"), F.col("to_")).alias("raw_"))
     inside = F.array(*(F.concat("raw_", F.lit(x)) for x in PROBED))
     aliased = _first_existing(first.withColumn("tries_", F.concat(F.array("raw_"), inside)), listing, folders=True)
+    by_dir = named.join(projects, "dir_").join(aliased, ["root", "spec_"]).select("dir_", "spec_", "found_")
 
-    out = imports.withColumn("dir_", dirname(F.col("from_file"))).withColumn("spec_", F.col("specifier"))
-    out = out.join(near.select("dir_", "spec_", F.col("found_").alias("near_")), ["dir_", "spec_"], "left").join(aliased.select("spec_", F.col("found_").alias("alias_")), "spec_", "left")
-    return out.withColumn("target", F.coalesce("near_", "alias_", "specifier")).drop("dir_", "spec_", "near_", "alias_")
+    found = near.select("dir_", "spec_", "found_").unionByName(by_dir)
+    out = imports.withColumn("dir_", dirname(F.col("from_file"))).withColumn("spec_", F.col("specifier")).join(found, ["dir_", "spec_"], "left")
+    return out.withColumn("target", F.coalesce("found_", "specifier")).drop("dir_", "spec_", "found_")
 
 
 def _first_existing(rows: DataFrame, listing: DataFrame, folders: bool = False) -> DataFrame:

@@ -46,14 +46,34 @@ def extract_nodes(facts: DataFrame) -> DataFrame:
 
 def import_targets(facts: DataFrame, listing: DataFrame, aliases: DataFrame) -> DataFrame:
     """(path, specifier, target) of every specifier that a file names."""
-    named = facts.where("specifier is not null and fact in ('import', 'export_from', 'symbol')").select(F.col("path").alias("from_file"), "specifier").distinct()
+    named = facts.where("specifier is not null and fact in ('import', 'export_from', 'bind')").select(F.col("path").alias("from_file"), "specifier").distinct()
     return resolve_imports(named, listing, aliases).select(F.col("from_file").alias("path"), "specifier", "target")
 
 
+def _latest_before(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows (path, name, kind, ord) -> (path, name, ord, meaning) of the latest of ``entries`` (path, name, ord, meaning) of the name ``kind`` before each."""
+    known = entries.select("path", F.col("name").alias("kind"), F.col("ord").alias("at_"), "meaning")
+    hits = rows.select("path", "name", "kind", "ord").join(known, ["path", "kind"]).where("at_ < ord")
+    return hits.groupBy("path", "name", "ord").agg(F.max_by("meaning", "at_").alias("meaning"))
+
+
 def symbol_table(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, local_name, resolved_name, source_file)."""
-    own = facts.where("fact = 'symbol'").select("path", F.col("name").alias("local_name"), F.col("kind").alias("resolved_name"), "specifier")
-    return own.join(targets, ["path", "specifier"], "left").select("path", "local_name", "resolved_name", F.coalesce("target", "path").alias("source_file"))
+    """(path, local_name, resolved_name, source_file): what each top-level name of a file means; a later entry overwrites an earlier one.
+
+    Imports, then declarations, then typed parameters. A variable that holds a new instance, and a parameter of a class type, mean what
+    the class's name means at that point; without such a meaning the variable means itself and the parameter nothing.
+    """
+    rows = facts.where("fact in ('bind', 'local', 'param')").select("path", "fact", "name", "kind", "specifier", "ord")
+    meaning = lambda resolved, specifier: F.struct(resolved.alias("resolved"), specifier.alias("specifier")).alias("meaning")
+    nothing = F.lit(None).cast("string")
+    bound = rows.where("fact = 'bind'").select("path", "name", "ord", meaning(F.col("kind"), F.col("specifier")))
+    local = rows.where("fact = 'local'").select("path", "name", "kind", "ord", meaning(F.col("name"), nothing))
+    made = _latest_before(local.where("kind is not null"), bound.unionByName(local.drop("kind"))).withColumnRenamed("meaning", "made")
+    held = local.join(made, ["path", "name", "ord"], "left").select("path", "name", "ord", F.coalesce("made", "meaning").alias("meaning"))
+    entries = bound.unionByName(held)
+    entries = entries.unionByName(_latest_before(rows.where("fact = 'param'"), entries))
+    last = entries.groupBy("path", "name").agg(F.max_by("meaning", "ord").alias("m")).select("path", F.col("name").alias("local_name"), F.col("m.resolved").alias("resolved_name"), F.col("m.specifier").alias("specifier"))
+    return last.join(targets, ["path", "specifier"], "left").select("path", "local_name", "resolved_name", F.coalesce("target", "path").alias("source_file"))
 
 
 def extract_edges(facts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -101,7 +121,12 @@ def extract_edges(facts: DataFrame, targets: DataFrame) -> DataFrame:
     return out.dropDuplicates(list(EDGE_COLUMNS))
 
 
+def written_facts(files: DataFrame) -> DataFrame:
+    """The facts of sources, scanned once and written; what is derived from them reads these rows."""
+    return _written(scan_facts(files), "facts")
+
+
 def parse_corpus(files: DataFrame, listing: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources (path, content) -> nodes (with ord), edges, errors (path). Facts are written once: the scan of texts is the costly step."""
-    facts = _written(scan_facts(files), "facts")
+    facts = written_facts(files)
     return extract_nodes(facts), extract_edges(facts, import_targets(facts, listing, aliases)), facts.where("fact = 'error'").select("path")

@@ -662,15 +662,13 @@ class Scanner:
         return self.facts
 
     def symbols(self) -> None:
-        """What each local name means, in the order in which later meanings overwrite: imports, declarations, typed parameters."""
-        table = {local: (imported, specifier) for local, imported, specifier in self.imports}
+        """Raw bindings of the file's top level, in the order in which later ones overwrite: imports, declarations, typed parameters."""
+        for local, imported, specifier in self.imports:
+            self.emit("bind", name=local, kind=imported, specifier=specifier)
         for name, made in self.locals:
-            table[name] = table.get(made, (name, None)) if made else (name, None)
+            self.emit("local", name=name, kind=made)
         for name, kind in self.params:
-            if kind in table:
-                table[name] = table[kind]
-        for local, (resolved, specifier) in table.items():
-            self.emit("symbol", name=local, kind=resolved, specifier=specifier)
+            self.emit("param", name=name, kind=kind)
 
 
 SCHEMA = "path string, fact string, ord int, name string, kind string, exported int, start int, end int, owner int, specifier string"

@@ -20,11 +20,16 @@ def content_hash(scan: DataFrame) -> DataFrame:
 
 
 def diff_snapshot(files: DataFrame, scan: DataFrame) -> DataFrame:
-    """Stored files and scan (path, content_hash, error: boolean) -> (path, content_hash, status: updated, skipped or error)."""
+    """Stored files and scan (path, content_hash, error: boolean[, force: boolean]) -> (path, content_hash, status: updated, skipped or error).
+
+    A file of ``force`` is updated though its hash is the stored one.
+    """
+    force = F.coalesce("force", F.lit(False)) if "force" in scan.columns else F.lit(False)
+    scan = scan.select("path", "content_hash", "error", force.alias("force"))
     old = files.select("path", F.col("content_hash").alias("old_"))
-    same = F.col("content_hash").eqNullSafe(F.col("old_")) & F.col("old_").isNotNull()
+    same = F.col("content_hash").eqNullSafe(F.col("old_")) & F.col("old_").isNotNull() & ~F.col("force")
     status = F.when(F.coalesce("error", F.lit(False)) | F.col("content_hash").isNull(), "error").when(same, "skipped").otherwise("updated")
-    return scan.select("path", "content_hash", "error").join(old, "path", "left").select("path", "content_hash", status.alias("status"))
+    return scan.join(old, "path", "left").select("path", "content_hash", status.alias("status"))
 
 
 def index_stats(statuses: DataFrame) -> DataFrame:
@@ -43,14 +48,14 @@ def version_gate(graph: Graph, version: str) -> Graph:
 
 
 def index_project(graph: Graph, scan: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], version: str, now_ms: int, delete_missing: bool = False) -> tuple[Graph, DataFrame]:
-    """Scan (path, content, error) -> (graph, statuses). Only updated files are extracted; files in error keep their old rows and hash.
+    """Scan (path, content, error[, force]) -> (graph, statuses). Only updated files are extracted; files in error keep their old rows and hash.
 
     ``extract``: (path, content) -> nodes (with ord), edges, errors (path); a file that it reports is in error too. Files that the scan lacks
     stay unless ``delete_missing``.
     """
     graph = version_gate(graph, version)
     scan = content_hash(scan)
-    statuses = diff_snapshot(graph.files, scan.select("path", "content_hash", "error"))
+    statuses = diff_snapshot(graph.files, scan.drop("content"))
     changed = statuses.where("status = 'updated'").select("path")
     nodes, edges, errors = extract(scan.join(changed, "path", "left_semi").select("path", "content"))
     bad = errors.select(F.col("path").alias("bad_")).distinct()

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.schema import NODE_COLUMNS
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts that names are dealt into for prefixes without any letter of their own, and matches that a message lists.
+SALTS, LISTED = 16, 20
+
+
+def folded(text: Column) -> Column:
+    """A-Z in lower case; other letters stay."""
+    return F.translate(text, UPPER, LOWER)
+
+
 def like_prefix(argument: Column) -> Column:
     """The argument as a LIKE pattern with a trailing %; ``_`` and ``%`` in it are wildcards, a backslash is itself."""
     return F.concat(F.replace(argument, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
@@ -16,56 +26,76 @@ def like_prefix(argument: Column) -> Column:
 def find_symbol(nodes: DataFrame, requests: DataFrame, exact: bool = True) -> DataFrame:
     """Requests (request, name, kind or null) -> the matching nodes with their request.
 
-    ``exact``: equal names. Else the name begins with the argument, letters of either case. Exact lookups and prefixes without
-    wildcards are equi-joins; only the few prefixes with wildcards are compared to each name.
+    ``exact``: equal names. Else the name begins with the argument, A-Z of either case, ``_`` and ``%`` being wildcards. All lookups are
+    equi-joins: of a prefix, on its letters between leading ``_`` and the next wildcard. A prefix without such letters meets every name,
+    dealt into SALTS parts.
     """
     kind_fits = F.col("kind_").isNull() | (F.col("kind") == F.col("kind_"))
     asked = requests.select("request", F.col("name").alias("name_"), F.col("kind").alias("kind_"))
     if exact:
         found = nodes.join(asked, F.col("name") == F.col("name_")).where(kind_fits)
         return found.select("request", *NODE_COLUMNS)
-    wild = F.col("name_").rlike("[%_]")
-    plain = asked.where(~wild).withColumn("size_", F.length("name_")).withColumn("key_", F.lower("name_"))
-    # one equi-join for all lengths: a name offers its prefix of each length that is asked for (a few numbers)
-    sizes = [r["size_"] for r in plain.select("size_").distinct().orderBy("size_").collect()]
-    lengths = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
-    offers = nodes.withColumn("size_", F.explode(F.filter(lengths, lambda k: k <= F.length("name"))))
-    offers = offers.withColumn("key_", F.lower(F.substring("name", F.lit(1), F.col("size_"))))
-    found = offers.join(plain, ["size_", "key_"]).where(kind_fits).select("request", *NODE_COLUMNS)
-    by_pattern = nodes.join(asked.where(wild), F.ilike(F.col("name"), like_prefix(F.col("name_")))).where(kind_fits)
-    return found.unionByName(by_pattern.select("request", *NODE_COLUMNS))
-
-
-def resolve_node(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    literal = F.regexp_extract("name_", "^_*([^_%]*)", 1)
+    keyed = asked.where("name_ is not null").select("*", F.length(F.regexp_extract("name_", "^(_*)", 1)).alias("from_"), F.length(literal).alias("size_"), folded(literal).alias("key_"))
+    salts = F.when(F.col("size_") == 0, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    keyed = keyed.withColumn("salt_", F.explode(salts))
+    # one join for all: a name offers what it has at each (place, length) that is asked for, a few pairs of small numbers
+    spans = [(r["from_"], r["size_"]) for r in keyed.select("from_", "size_").distinct().orderBy("from_", "size_").collect()]
+    if not spans:
+        return nodes.limit(0).select(F.lit("").alias("request"), *NODE_COLUMNS)
+    every = F.array(*(F.struct(F.lit(begin).alias("from_"), F.lit(size).alias("size_")) for begin, size in spans))
+    offers = nodes.withColumn("span_", F.explode(F.filter(every, lambda x: x["from_"] + x["size_"] <= F.length("name")))).select(*NODE_COLUMNS, "span_.from_", "span_.size_")
+    offers = offers.withColumn("key_", folded(F.substring("name", F.col("from_") + 1, F.col("size_")))).withColumn("salt_", F.when(F.col("size_") == 0, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    found = offers.join(keyed, ["from_", "size_", "key_", "salt_"])
+    return found.where(kind_fits & F.like(folded(F.col("name")), like_prefix(folded(F.col("name_"))))).select("request", *NODE_COLUMNS)
+
+
+def node_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request, node_id, name, kind) -> the nodes that each may mean, a row each; an id wins over a name."""
+    has_id = F.coalesce(F.col("node_id") != "", F.lit(False))
+    has_name = F.coalesce(F.col("name") != "", F.lit(False))
+    by_id = requests.where(has_id).select("request", F.col("node_id").alias("wanted")).join(nodes, F.col("wanted") == F.col("id")).select("request", *NODE_COLUMNS)
+    return by_id.unionByName(find_symbol(nodes, requests.where(~has_id & has_name).select("request", "name", "kind")))
+
+
+def resolve_node(nodes: DataFrame, requests: DataFrame, listed: int = LISTED) -> DataFrame:
     """Requests (request, node_id, name, kind) -> (request, status, id, n_matches, message), one row each.
 
-    An id wins over a name. status: ok, not_found, nothing_given or ambiguous; an ambiguous one lists its matches by file and name.
+    status: ok, not_found, nothing_given or ambiguous; the message of an ambiguous one lists its first ``listed`` matches by file and name and
+    says how many more there are (``node_matches`` gives them all as rows).
     """
     has_id = F.coalesce(F.col("node_id") != "", F.lit(False))
     has_name = F.coalesce(F.col("name") != "", F.lit(False))
-    by_id = requests.where(has_id).select("request", F.col("node_id").alias("wanted")).join(nodes, F.col("wanted") == F.col("id")).select("request", *NODE_COLUMNS)
-    by_name = find_symbol(nodes, requests.where(~has_id & has_name).select("request", "name", "kind"))
+    matches = node_matches(nodes, requests)
+    counted = matches.groupBy("request").agg(F.count(F.lit(1)).alias("n_matches"), F.min("id").alias("id"))
+    order = Window.partitionBy("request").orderBy("file_path", "name", "kind", "id")
     shown = F.format_string("%s (%s in %s)", "name", "kind", "file_path")
-    matches = by_id.unionByName(by_name).groupBy("request").agg(F.count(F.lit(1)).alias("n_matches"), F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("file_path", "name", "kind", shown.alias("shown")))).alias("found"))
+    first = matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= listed).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("shown")))).alias("found"))
     n = F.coalesce("n_matches", F.lit(0))
     status = F.when(~has_id & ~has_name, "nothing_given").when(n == 0, "not_found").when(n > 1, "ambiguous").otherwise("ok")
-    text = F.when(status == "ambiguous", F.concat_ws(", ", F.col("found.shown"))).when(status == "not_found", F.when(has_id, F.col("node_id")).otherwise(F.col("name"))).otherwise("")
-    return requests.join(matches, "request", "left").select("request", status.alias("status"), F.when(status == "ok", F.col("id")).alias("id"), n.alias("n_matches"), text.alias("message"))
+    more = F.when(n > listed, F.format_string(", and %d more", n - listed)).otherwise("")
+    text = F.when(status == "ambiguous", F.concat(F.array_join("found.shown", ", "), more)).when(status == "not_found", F.when(has_id, F.col("node_id")).otherwise(F.col("name"))).otherwise("")
+    out = requests.join(counted, "request", "left").join(first, "request", "left")
+    return out.select("request", status.alias("status"), F.when(status == "ok", F.col("id")).alias("id"), n.alias("n_matches"), text.alias("message"))
 
 
 def snippets(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Files (path, content) and ranges (request, path, start_line, end_line, padding) -> (request, path, first, last, snippet).
 
     Lines are cut at newlines only; first and last are the 1-based lines after padding, clamped to the file. A start beyond the file
-    gives an empty snippet and a last line below the first. Ranges are gathered by file, so a text is split once.
+    gives an empty snippet and a last line below the first. Files become rows of lines, and each range joins the lines it asks for, so
+    a file that many ranges name is spread over the lines. Ranges that repeat a request and path are taken once.
     """
-    asked = ranges.groupBy("path").agg(F.collect_list(F.struct("request", "start_line", "end_line", "padding")).alias("ranges_"))
-    lines = files.select("path", "content").join(asked, "path").withColumn("lines_", F.split("content", "\n"))
-    first = lambda r: F.greatest(F.lit(0), r["start_line"] - 1 - r["padding"])
-    last = lambda r: F.least(F.size("lines_") - 1, r["end_line"] - 1 + r["padding"])
-    cut = lambda r: F.array_join(F.slice("lines_", first(r) + 1, F.greatest(F.lit(0), last(r) - first(r) + 1)), "\n")
-    each = F.transform("ranges_", lambda r: F.struct(r["request"].alias("request"), (first(r) + 1).alias("first"), (last(r) + 1).alias("last"), cut(r).alias("snippet")))
-    return lines.select("path", F.explode(each).alias("s")).select("s.request", "path", "s.first", "s.last", "s.snippet")
+    asked = files.join(ranges.select("path").distinct(), "path", "left_semi").select("path", F.split("content", "\n").alias("lines_"))
+    sizes = asked.select("path", F.size("lines_").alias("n_"))
+    lines = asked.select("path", F.posexplode("lines_").alias("line_", "text_"))
+    first = F.greatest(F.lit(0), F.col("start_line") - 1 - F.col("padding")) + 1
+    last = F.least(F.col("n_") - 1, F.col("end_line") - 1 + F.col("padding")) + 1
+    clamped = ranges.join(sizes, "path").select("request", "path", first.cast("int").alias("first"), last.cast("int").alias("last")).distinct()
+    wanted = clamped.where("first <= last").select("request", "path", "first", F.explode(F.sequence(F.col("first") - 1, F.col("last") - 1)).alias("line_"))
+    cut = wanted.join(lines, ["path", "line_"]).groupBy("request", "path", "first").agg(F.array_sort(F.collect_list(F.struct("line_", "text_"))).alias("l_"))
+    text = cut.select("request", "path", "first", F.array_join("l_.text_", "\n").alias("text_"))
+    return clamped.join(text, ["request", "path", "first"], "left").select("request", "path", "first", "last", F.coalesce("text_", F.lit("")).alias("snippet"))
 
 
 def find_symbol_with_snippet(nodes: DataFrame, files: DataFrame, requests: DataFrame, exact: bool = True, padding: int = 0) -> DataFrame:

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import listing_with_dirs
 from codeloom.operators import extract, incremental
-from codeloom.operators.facts import scan_facts
 from codeloom.schema import RELATIONSHIPS, Graph, empty_graph
 from codeloom.sources.testgraph import table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a source for each part p, with imports of the parts a and b; every 97th does not scan."""
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)  # keys only; texts are made where they are scanned
     n = part.count()
     p = F.col("p_partkey")
     s, a, b = p.cast("string"), ((p * 7 + 3) % n).cast("string"), ((p * 11 + 1) % n).cast("string")
@@ -37,22 +36,41 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat(F.lit("/c/p_"), s, F.lit(".ts")).alias("path"), F.concat_ws("\n", *map(text, lines)).alias("content"))
 
 
+def more_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a source for each supplier s, with what those of the parts lack: enums, aliases, new instances, later and default exports."""
+    n = table(spark, sf_dir, "part").count()
+    k = F.col("s_suppkey")
+    s, a, b = k.cast("string"), ((k * 3 + 1) % n).cast("string"), ((k * 5 + 2) % n).cast("string")
+    lines = [
+        ("import { K_", a, " } from './p_", a, ".js';"),
+        ("import * as tools from '@lib/p_", b, "';"),
+        ("enum Mode_", s, " { On, Off }"),
+        ("export type Alias_", s, " = K_", a, " | Mode_", s, ";"),
+        ("const made = new K_", a, "();"),
+        ("function inner_", s, "(m: K_", a, ") { made.run(1); m.step(); return tools.f(2); }"),
+        ("export { inner_", s, ", made };"),
+        ("export default function main_", s, "() { return inner_", s, "(made); }"),
+    ]
+    text = lambda line: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in line))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("/c/s_"), s, F.lit(".ts")).alias("path"), F.concat_ws("\n", *map(text, lines)).alias("content"))
+
+
 def surroundings(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    aliases = spark.createDataFrame([("/", 0, "@lib/*", "./c/*")], "base_dir string, ord int, pattern string, replacement string")
+    aliases = spark.createDataFrame([("/", "/", 0, "@lib/*", "./c/*")], "root string, base_dir string, ord int, pattern string, replacement string")
     return listing_with_dirs(files), aliases
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_facts(corpus(spark, sf_dir))
+def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir))
+    return extract.parse_corpus(files, *surroundings(spark, files))
 
 
 def extract_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_nodes(facts(spark, sf_dir)).drop("ord")
+    return parsed(spark, sf_dir)[0].drop("ord")
 
 
 def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark, sf_dir)
-    return extract.parse_corpus(files, *surroundings(spark, files))[1]
+    return parsed(spark, sf_dir)[1]
 
 
 def edges_of(kind: str):
@@ -60,13 +78,13 @@ def edges_of(kind: str):
 
 
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark, sf_dir)
-    rows = facts(spark, sf_dir)
+    files = corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir))
+    rows = extract.written_facts(files)
     return extract.symbol_table(rows, extract.import_targets(rows, *surroundings(spark, files)))
 
 
 def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).where("fact = 'error'").select("path")
+    return parsed(spark, sf_dir)[2]
 
 
 def index_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +107,10 @@ WITH c AS (SELECT p_partkey AS p, (p_partkey * 7 + 3) % (SELECT count(*) FROM pa
 x AS (SELECT *, '/c/p_' || p || '.ts' AS f, '/c/p_' || a || '.ts' AS fa, '/c/p_' || b || '.ts' AS fb FROM c WHERE p % 97 <> 0),
 i AS (SELECT *, sha256(f || ':p_' || p || ':namespace') AS file, sha256(f || ':T_' || p || ':interface') AS t, sha256(f || ':K_' || p || ':class') AS k, sha256(f || ':constructor:constructor') AS co,
   sha256(f || ':run:method') AS run, sha256(f || ':step:method') AS step, sha256(f || ':f_' || p || ':function') AS fn, sha256(f || ':g_' || p || ':arrow_function') AS g, sha256(f || ':lazy_' || p || ':arrow_function') AS lazy,
-  sha256(fa || ':f_' || a || ':function') AS ifn, sha256(fb || ':T_' || b || ':interface') AS it FROM x)
+  sha256(fa || ':f_' || a || ':function') AS ifn, sha256(fb || ':T_' || b || ':interface') AS it FROM x),
+y AS (SELECT s_suppkey AS s, (s_suppkey * 3 + 1) % (SELECT count(*) FROM part) AS a, (s_suppkey * 5 + 2) % (SELECT count(*) FROM part) AS b FROM supplier),
+z AS (SELECT *, '/c/s_' || s || '.ts' AS f, '/c/p_' || a || '.ts' AS fa, '/c/p_' || b || '.ts' AS fb FROM y),
+j AS (SELECT *, sha256(f || ':s_' || s || ':namespace') AS file, sha256(f || ':Mode_' || s || ':enum') AS mode, sha256(f || ':Alias_' || s || ':type_alias') AS al, sha256(f || ':inner_' || s || ':function') AS inn, sha256(f || ':main_' || s || ':function') AS main_, sha256(f || ':made:variable') AS made FROM z)
 """
 NODES = BASE + """
 SELECT file AS id, 'p_' || p AS name, 'namespace' AS kind, f AS file_path, 1 AS start_line, 13 AS end_line, 0 AS exported FROM i
@@ -97,21 +118,24 @@ UNION ALL SELECT t, 'T_' || p, 'interface', f, 3, 3, 1 FROM i UNION ALL SELECT k
 UNION ALL SELECT co, 'constructor', 'constructor', f, 5, 5, 0 FROM i UNION ALL SELECT run, 'run', 'method', f, 6, 6, 0 FROM i UNION ALL SELECT step, 'step', 'method', f, 7, 7, 0 FROM i
 UNION ALL SELECT fn, 'f_' || p, 'function', f, 9, 9, 1 FROM i UNION ALL SELECT g, 'g_' || p, 'arrow_function', f, 10, 10, 1 FROM i
 UNION ALL SELECT lazy, 'lazy_' || p, 'arrow_function', f, 12, 12, 1 FROM i WHERE p % 7 = 0 UNION ALL SELECT sha256(f || ':q:variable'), 'q', 'variable', f, 13, 13, 0 FROM i
+UNION ALL SELECT file, 's_' || s, 'namespace', f, 1, 8, 0 FROM j UNION ALL SELECT mode, 'Mode_' || s, 'enum', f, 3, 3, 0 FROM j UNION ALL SELECT al, 'Alias_' || s, 'type_alias', f, 4, 4, 1 FROM j
+UNION ALL SELECT made, 'made', 'variable', f, 5, 5, 1 FROM j UNION ALL SELECT inn, 'inner_' || s, 'function', f, 6, 6, 1 FROM j UNION ALL SELECT main_, 'main_' || s, 'function', f, 8, 8, 1 FROM j
 """
 EDGES = {
-    "IMPORTS": "SELECT file AS source_id, fa AS target_id FROM i UNION SELECT file, fb FROM i",
+    "IMPORTS": "SELECT file AS source_id, fa AS target_id FROM i UNION SELECT file, fb FROM i UNION SELECT file, fa FROM j UNION SELECT file, fb FROM j",
     "EXPORTS": "SELECT file AS source_id, sha256(fa || ':f_' || a || ':unknown') AS target_id FROM i WHERE p % 5 = 0",
     "CONTAINS": "SELECT k AS source_id, unnest([co, run, step]) AS target_id FROM i",
     "EXTENDS": "SELECT k AS source_id, sha256(fa || ':K_' || a || ':class') AS target_id FROM i",
     "IMPLEMENTS": "SELECT k AS source_id, t AS target_id FROM i",
-    "CALLS": "SELECT run AS source_id, unnest([step, ifn]) AS target_id FROM i UNION SELECT fn, unnest([run, ifn]) FROM i UNION SELECT g, fn FROM i",
-    "REFERENCES": "SELECT t AS source_id, it AS target_id FROM i UNION SELECT run, unnest([t, it]) FROM i UNION SELECT fn, k FROM i",
+    "CALLS": "SELECT run AS source_id, unnest([step, ifn]) AS target_id FROM i UNION SELECT fn, unnest([run, ifn]) FROM i UNION SELECT g, fn FROM i UNION SELECT inn, unnest([sha256(fa || ':run:method'), sha256(fa || ':step:method'), sha256(fb || ':f:method')]) FROM j UNION SELECT main_, inn FROM j",
+    "REFERENCES": "SELECT t AS source_id, it AS target_id FROM i UNION SELECT run, unnest([t, it]) FROM i UNION SELECT fn, k FROM i UNION SELECT al, unnest([mode, sha256(fa || ':K_' || a || ':interface')]) FROM j UNION SELECT inn, sha256(fa || ':K_' || a || ':interface') FROM j",
 }
 TYPED = {kind: f"SELECT source_id, target_id, '{kind}' AS relationship_type FROM ({sql})" for kind, sql in EDGES.items()}
 SYMBOLS = BASE + """
 , s AS (SELECT f AS path, 1 AS o, 'imported' AS local_name, 'f_' || a AS resolved_name, fa AS source_file FROM i UNION ALL SELECT f, 1, 'Base', 'K_' || a, fa FROM i UNION ALL SELECT f, 1, 'T_' || b, 'T_' || b, fb FROM i
 UNION ALL SELECT f, 2, unnest(['T_' || p, 'K_' || p, 'f_' || p, 'g_' || p, 'q']), unnest(['T_' || p, 'K_' || p, 'f_' || p, 'g_' || p, 'q']), f FROM i UNION ALL SELECT f, 2, 'lazy_' || p, 'lazy_' || p, f FROM i WHERE p % 7 = 0
-UNION ALL SELECT f, 3, 'svc', 'K_' || p, f FROM i)
+UNION ALL SELECT f, 3, 'svc', 'K_' || p, f FROM i
+UNION ALL SELECT f, 1, unnest(['K_' || a, 'made', 'm']), 'K_' || a, fa FROM j UNION ALL SELECT f, 1, 'tools', '*', fb FROM j UNION ALL SELECT f, 2, unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), f FROM j)
 SELECT path, local_name, arg_max(resolved_name, o) AS resolved_name, arg_max(source_file, o) AS source_file FROM s GROUP BY 1, 2
 """
 INDEXED = """

@@ -55,7 +55,15 @@ on_graph("SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM
 on_graph("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")(overview.node_kinds)
 on_graph("SELECT relationship_type, count(*) AS n FROM edges GROUP BY 1")(overview.edge_types)
 on_graph(f"{TOP} ORDER BY caller_count DESC, id LIMIT 10")(overview.top_called)
-on_graph("SELECT n.file_path, count(*) AS importer_count FROM edges e JOIN nodes n ON n.id = e.target_id WHERE relationship_type = 'IMPORTS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(overview.top_imported)
+
+
+@on_graph("SELECT n.file_path, count(*) AS importer_count FROM edges e JOIN nodes n ON n.id = e.target_id WHERE relationship_type = 'CALLS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_imported(g: Graph) -> DataFrame:
+    """Over a graph whose calls are imports of nodes, as the derived one only imports paths."""
+    imports = g.edges.where("relationship_type = 'CALLS'").withColumn("relationship_type", F.lit("IMPORTS"))
+    return overview.top_imported(g.with_tables(edges=g.edges.unionByName(imports)))
+
+
 on_graph("SELECT path, count(*) AS importer_count FROM edges JOIN files ON target_id = path WHERE relationship_type = 'IMPORTS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(overview.top_imported_files)
 on_graph(f"{ENTRIES} ORDER BY file_path, name, id LIMIT 20")(overview.entry_points)
 
@@ -83,7 +91,7 @@ def name_requests(nodes: DataFrame) -> DataFrame:
 
 
 def prefix_requests(nodes: DataFrame) -> DataFrame:
-    """Prefixes of the nations' names in upper case, and one with a wildcard."""
+    """Prefixes of the nations' and every tenth supplier's names in upper case (each ``_`` is a wildcard), and some with other wildcards."""
     rows = nodes.where("kind = 'namespace'").select(F.col("name").alias("request"), F.upper("name").alias("name"), F.lit(None).cast("string").alias("kind"))
     return rows.unionByName(rows.where("request = 'nation_1'").select(F.lit("wild").alias("request"), F.lit("p%t\\__1").alias("name"), F.lit("function").alias("kind")))
 
@@ -263,9 +271,13 @@ def dangling_edges(g: Graph) -> DataFrame:
     return store.dangling_edges(g)
 
 
-@on_graph("SELECT unnest(['edge_without_source', 'node_without_file', 'repeated_id', 'unknown_kind', 'unknown_type']) AS rule, 0::BIGINT AS n")
+@on_graph("""SELECT 'edge_without_source' AS rule, (SELECT count(*) FROM su) AS n UNION ALL SELECT 'node_without_file', (SELECT count(*) FROM pa) UNION ALL SELECT 'repeated_id', (SELECT count(*) FROM na)
+UNION ALL SELECT 'unknown_kind', (SELECT count(*) FROM pa) UNION ALL SELECT 'unknown_type', (SELECT count(*) FROM su)""")
 def check_integrity(g: Graph) -> DataFrame:
-    return store.check_integrity(g)
+    """A graph with a stray node for each part, a stray edge for each supplier, and the nations' nodes twice."""
+    stray = g.nodes.where("kind = 'function'").withColumn("id", F.sha2(F.concat("id", F.lit("x")), 256)).withColumn("kind", F.lit("alien")).withColumn("file_path", F.lit("/none.ts"))
+    lost = g.nodes.where("kind = 'interface'").select(F.concat(F.lit("lost"), "id").alias("source_id"), F.col("id").alias("target_id"), F.lit("KNOWS").alias("relationship_type"))
+    return store.check_integrity(g.with_tables(nodes=g.nodes.unionByName(stray).unionByName(g.nodes.where("kind = 'namespace'")), edges=g.edges.unionByName(lost)))
 
 
 GONE = ", gone AS (SELECT '/src/suppliers.ts' AS path UNION SELECT path FROM files WHERE path LIKE '%1.ts'), kept AS (SELECT * FROM nodes WHERE file_path NOT IN (SELECT path FROM gone)), kept_edges AS (SELECT * FROM edges WHERE source_id IN (SELECT id FROM kept))"
@@ -282,13 +294,16 @@ def delete_files(g: Graph) -> DataFrame:
     return rows.unionByName(out.edges.select(F.lit("edges").alias("item"), F.concat("source_id", "target_id", "relationship_type").alias("key")))
 
 
-@on_graph(GONE + f" SELECT {N} FROM kept UNION ALL SELECT sha256(path || ':new:class'), 'new', 'class', path, 1, 2, 1 FROM gone")
+@on_graph(GONE + " SELECT id AS key, concat_ws(' ', name, kind, file_path, start_line, end_line, exported) AS value FROM kept UNION ALL SELECT sha256(path || ':new:class'), concat_ws(' ', 'new', 'class', path, 1, 2, 1) FROM gone UNION ALL SELECT source_id, target_id || relationship_type FROM kept_edges UNION ALL SELECT sha256(path || ':new:class'), path || 'REFERENCES' FROM gone")
 def replace_files(g: Graph) -> DataFrame:
     paths = gone(g)
     one = paths.select(F.sha2(F.concat_ws(":", "path", F.lit("new"), F.lit("class")), 256).alias("id"), F.lit("new").alias("name"), F.lit("class").alias("kind"), F.col("path").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(1).alias("exported"), F.lit(1).alias("ord"))
     again = one.withColumn("start_line", F.lit(7)).withColumn("ord", F.lit(2))
     files = paths.select("path", F.lit("h").alias("content_hash"), F.lit(1).cast("long").alias("indexed_at"))
-    return store.replace_files(g, files, one.unionByName(again), g.edges.limit(0)).nodes
+    edges = one.select(F.col("id").alias("source_id"), F.col("file_path").alias("target_id"), F.lit("REFERENCES").alias("relationship_type"))
+    out = store.replace_files(g, files, one.unionByName(again), edges.unionByName(edges))
+    value = F.concat_ws(" ", *(F.col(c).cast("string") for c in NODE_COLUMNS if c != "id"))
+    return out.nodes.select(F.col("id").alias("key"), value.alias("value")).unionByName(out.edges.select(F.col("source_id").alias("key"), F.concat("target_id", "relationship_type").alias("value")))
 
 
 @on_graph(f"SELECT {N} FROM nodes UNION ALL SELECT sha256(id || 'x'), name, kind, file_path, start_line, end_line, exported FROM nodes WHERE kind = 'function'")
@@ -355,18 +370,24 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_with_dirs(docs)
 
 
-@query("""SELECT p_partkey AS k, '/m/' || (p_partkey % 10) || '/f.ts' AS from_file,
-CASE p_partkey % 6 WHEN 0 THEN './p_' || p_partkey || '.js' WHEN 1 THEN '../t/p_' || p_partkey || '.js' WHEN 2 THEN '@lib/p_' || p_partkey WHEN 3 THEN '@lib/d_' || p_partkey WHEN 4 THEN 'react' ELSE '@lib/none' || p_partkey END AS specifier,
-CASE p_partkey % 6 WHEN 0 THEN '/m/' || (p_partkey % 10) || '/p_' || p_partkey || '.ts' WHEN 1 THEN '/m/t/p_' || p_partkey || '.js' WHEN 2 THEN '/lib/p_' || p_partkey || '.tsx' WHEN 3 THEN '/lib/d_' || p_partkey || '/index.ts' WHEN 4 THEN 'react' ELSE '/lib/none' || p_partkey END AS target FROM part""", "")
+@query("""WITH p AS (SELECT p_partkey AS k, (p_partkey // 6) % 10 AS d, CASE WHEN (p_partkey // 6) % 10 % 2 = 0 THEN 'lib' ELSE 'vendor' END AS l FROM part)
+SELECT k, '/m/' || d || '/f.ts' AS from_file,
+CASE k % 6 WHEN 0 THEN './p_' || k || '.js' WHEN 1 THEN '../t/p_' || k || '.js' WHEN 2 THEN '@lib/p_' || k WHEN 3 THEN '@lib/d_' || k WHEN 4 THEN 'react' ELSE '@lib/none' || k END AS specifier,
+CASE WHEN k % 6 = 0 THEN '/m/' || d || '/p_' || k || '.ts' WHEN k % 6 = 1 THEN '/m/t/p_' || k || '.js' WHEN k % 6 = 4 THEN 'react' WHEN d = 9 THEN CASE k % 6 WHEN 2 THEN '@lib/p_' || k WHEN 3 THEN '@lib/d_' || k ELSE '@lib/none' || k END
+WHEN k % 6 = 2 THEN '/m/' || d || '/' || l || '/p_' || k || '.tsx' WHEN k % 6 = 3 THEN '/m/' || d || '/' || l || '/d_' || k || '/index.ts' ELSE '/m/' || d || '/' || l || '/none' || k END AS target FROM p""", "")
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten projects, nine of which map one alias, to one of two folders that both have what is imported."""
     k = F.col("p_partkey")
     part, s = table(spark, sf_dir, "part"), k.cast("string")
     text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    folder, kind = text("/m/", (k % 10).cast("string")), k % 6
+    folder, kind = text("/m/", F.expr("(p_partkey div 6) % 10").cast("string")), k % 6
     pick = lambda *x: F.coalesce(*(F.when(kind == n, v) for n, v in enumerate(x)))
     imports = part.select(k.alias("k"), text(folder, "/f.ts").alias("from_file"), pick(text("./p_", s, ".js"), text("../t/p_", s, ".js"), text("@lib/p_", s), text("@lib/d_", s), F.lit("react"), text("@lib/none", s)).alias("specifier"))
-    there = part.select(pick(text(folder, "/p_", s, ".ts"), F.lit("/m/x.ts"), text("/lib/p_", s, ".tsx"), text("/lib/d_", s, "/index.ts"), F.lit("/m/x.ts"), F.lit("/m/x.ts")).alias("path"))
-    aliases = spark.createDataFrame([("/", 0, "@lib/*", "./lib/*"), ("/", 1, "@lib/none", "./never")], "base_dir string, ord int, pattern string, replacement string")
+    both = lambda *x: F.array(*(text(folder, f"/{name}/", *x) for name in ("lib", "vendor")))
+    elsewhere = F.array(F.lit("/m/x.ts"))
+    there = part.select(F.explode(pick(F.array(text(folder, "/p_", s, ".ts")), elsewhere, both("p_", s, ".tsx"), both("d_", s, "/index.ts"), elsewhere, elsewhere)).alias("path"))
+    rules = [(f"/m/{d}", f"/m/{d}", n, pattern, to) for d in range(9) for n, (pattern, to) in enumerate([("@lib/*", f"./{('lib', 'vendor')[d % 2]}/*"), ("@lib/none", "./never")])]
+    aliases = spark.createDataFrame(rules, "root string, base_dir string, ord int, pattern string, replacement string")
     return resolve_imports(imports, listing_with_dirs(there), aliases)
 
 

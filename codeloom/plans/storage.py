@@ -103,16 +103,18 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content_hash) of the files in the graph once the change stream has taken in the events table."""
+    """(item, key) of the files, and their imports, in the graph once the change stream has taken in the events table; each file imports the next one."""
     folder = f"{tables.work_dir(spark)}/stream-{uuid4().hex}"
     tables.save_graph(empty_graph(spark), f"{folder}/graph")
     raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream takes one file by a pattern only
-    paths = change_events(spark, sf_dir).select("path").distinct()
-    listing, aliases = listing_with_dirs(paths), spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string")
-    content = F.concat(F.lit("export const of = '"), "path", F.lit("';"))
-    query = changes.run_change_stream(spark, change_events(spark, sf_dir, raw), f"{folder}/graph", f"{folder}/check", lambda df: df.withColumn("content", content), lambda df: extract.parse_corpus(df, listing, aliases), "1", GAP, DELAY)
+    aliases = spark.createDataFrame([], "root string, base_dir string, ord int, pattern string, replacement string")
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    content = F.concat(F.lit("import './u_"), (number + 1).cast("string"), F.lit(".js';\nexport const of = '"), "path", F.lit("';"))
+    query = changes.run_change_stream(spark, change_events(spark, sf_dir, raw), f"{folder}/graph", f"{folder}/check", lambda df: df.withColumn("content", content), lambda df, there: extract.parse_corpus(df, listing_with_dirs(there), aliases), "1", GAP, DELAY)
     query.awaitTermination()
-    return tables.load_graph(spark, f"{folder}/graph").files.select("path", "content_hash")
+    g = tables.load_graph(spark, f"{folder}/graph")
+    imports = g.edges.where("relationship_type = 'IMPORTS'").join(g.nodes, F.col("source_id") == F.col("id"))
+    return _items(files=g.files.select(F.concat_ws(" ", "path", "content_hash")), imports=imports.select(F.concat_ws(" ", "file_path", "target_id")))
 
 
 CALLED = "SELECT n.id AS key, count(*) AS n FROM edges e JOIN nodes n ON n.id = e.target_id WHERE relationship_type = 'CALLS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
@@ -125,7 +127,7 @@ UNION ALL SELECT 'edges', source_id || target_id || relationship_type FROM edges
     "meta_values": """SELECT 'c_' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey <> 1
 UNION ALL SELECT * FROM (VALUES ('c_1', 'changed'), ('globs', '["**/*.ts", "*.js"]'), ('version', '2'))""",
     "path_aliases": """WITH p AS (SELECT p_partkey AS p, 'p_' || p_partkey AS project, '/r/b_' || (p_partkey % 7) AS base_dir FROM part WHERE p_partkey % 5 <> 0)
-SELECT project, base_dir, 0 AS ord, '@z' || p || '/*' AS pattern, 'x/*' AS replacement FROM p UNION ALL SELECT project, base_dir, 2, '@a', 'y_' || p FROM p""",
+SELECT project, '/r' AS root, base_dir, 0 AS ord, '@z' || p || '/*' AS pattern, 'x/*' AS replacement FROM p UNION ALL SELECT project, '/r', base_dir, 2, '@a', 'y_' || p FROM p""",
     "put_files": SNAPSHOTS + """SELECT path, CASE WHEN path LIKE '%7.txt' THEN 'late' ELSE sha256(content) END AS content_hash, CASE WHEN path LIKE '%7.txt' THEN 2 ELSE 1 END::BIGINT AS indexed_at FROM scan
 UNION ALL SELECT path, content_hash, 0 FROM old WHERE path NOT IN (SELECT path FROM scan)""",
     "version_gate": PRELUDE + "".join(f"{'UNION ALL ' if k else ''}SELECT '{v}' AS version, '{t}' AS item, {n} AS n " for k, (v, t, n) in enumerate([("1", t, f"(SELECT count(*) FROM {t})") for t in ("files", "nodes", "edges")] + [("1", "meta", 1), ("2", "files", 0), ("2", "nodes", 0), ("2", "edges", 0), ("2", "meta", 1)])),
@@ -138,8 +140,10 @@ SELECT '/c/p_' || p || '.ts' AS path, (k + (p % 2 = 1 AND p % 6 <> 5)::INT)::BIG
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM g),
 s AS (SELECT path, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS last_ts FROM b GROUP BY path, burst),
-done AS (SELECT path, arg_max(kind, last_ts) AS kind FROM s WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE GROUP BY 1)
-SELECT path, sha256('export const of = ''' || path || ''';') AS content_hash FROM done WHERE kind <> 'error'""",
+done AS (SELECT path, arg_max(kind, last_ts) AS kind FROM s WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE GROUP BY 1),
+fin AS (SELECT path, regexp_extract(path, '([0-9]+)', 1)::BIGINT + 1 AS nxt FROM done WHERE kind <> 'error')
+SELECT 'files' AS item, path || ' ' || sha256('import ''./u_' || nxt || '.js'';' || chr(10) || 'export const of = ''' || path || ''';') AS key FROM fin
+UNION ALL SELECT 'imports', path || ' /src/u_' || nxt || CASE WHEN '/src/u_' || nxt || '.ts' IN (SELECT path FROM fin) THEN '.ts' ELSE '.js' END FROM fin""",
 }
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,9 @@ RIPPLE_CAP = 20
 
 def filter_changes(events: DataFrame, globs: list[str], ignore: list[str]) -> DataFrame:
     """Drops paths with a name that begins with a dot, with an ignored folder, or of another extension; globs without one let all pass."""
-    extensions = sorted({m[1] for g in globs if (m := re.search(r"\*(\.[a-zA-Z]+)$", g))})
-    folders = sorted({m[1] for g in ignore if (m := re.search(r"\*\*/([^*/]+)/\*\*", g))})
+    endings = [name.rpartition(".")[2] for name in (glob.rpartition("/")[2] for glob in globs) if "*." in name]
+    extensions = sorted({"." + x for x in endings if x.isalpha()})
+    folders = sorted({parts[1] for glob in ignore if len(parts := glob.split("/")) == 3 and parts[0] == parts[2] == "**" and "*" not in parts[1]})
     parts = F.split("path", "/")
     keep = ~F.exists(parts, lambda p: p.startswith(".") | (p.isin(*folders) if folders else F.lit(False)))
     if extensions:
@@ -56,16 +56,22 @@ def ripple_skipped(graph: Graph, changed: DataFrame, cap: int = RIPPLE_CAP) -> D
 
 
 def apply_changes(graph: Graph, batch: DataFrame, extract: Callable, version: str, now_ms: int) -> Graph:
-    """Batch (path, op, content), a row per path -> the graph after it: unlinked files go with their rows, others are indexed if their hash differs."""
+    """Batch (path, op, content[, force]), a row per path -> the graph after it.
+
+    Unlinked files go with their rows; others are indexed if their hash differs, and those of ``force`` whatever their hash.
+    """
     graph = delete_files(graph, batch.where("op = 'unlink'").select("path"))
-    scan = batch.where("op <> 'unlink'").select("path", "content", F.col("content").isNull().alias("error"))
+    force = F.coalesce("force", F.lit(False)) if "force" in batch.columns else F.lit(False)
+    scan = batch.where("op <> 'unlink'").select("path", "content", F.col("content").isNull().alias("error"), force.alias("force"))
     return index_project(graph, scan, extract, version, now_ms)[0]
 
 
 def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", **trigger) -> StreamingQuery:
     """Debounced events re-index the graph in ``graph_dir``, a new snapshot per batch; a restart resumes from ``checkpoint``.
 
-    ``read_content``: (path, op) -> adds content. Importers of changed files are indexed with them, up to the cap.
+    ``read_content``: (path, op, force) -> adds content. ``extract``: (sources, files) -> nodes, edges, errors, where files (path) are those
+    that are there after the batch. Importers of changed files, up to the cap, are extracted again though their own text is the same, so
+    that their imports are resolved against these files.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -74,8 +80,10 @@ def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, ch
             return
         graph = load_graph(spark, graph_dir)
         changed = own.where("op <> 'unlink'").select("path")
-        more = ripple_targets(graph, changed).select(F.col("importer").alias("path")).join(own, "path", "left_anti").withColumn("op", F.lit("change"))
+        more = ripple_targets(graph, changed).select(F.col("importer").alias("path")).join(own, "path", "left_anti").select("path", F.lit("change").alias("op"), F.lit(True).alias("force"))
         now = own.agg(F.unix_millis(F.max("last_ts"))).first()[0]
-        save_graph(apply_changes(graph, read_content(own.select("path", "op").unionByName(more)), extract, version, now), graph_dir)
+        there = graph.files.select("path").join(own, "path", "left_anti").unionByName(changed).distinct()
+        texts = read_content(own.select("path", "op", F.lit(False).alias("force")).unionByName(more))
+        save_graph(apply_changes(graph, texts, lambda sources: extract(sources, there), version, now), graph_dir)
 
     return debounce(events, gap, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()

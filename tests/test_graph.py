@@ -52,6 +52,11 @@ def test_lookup_and_resolution(spark):
     found = lambda r, exact=True: sorted(x["id"] for x in lookup.find_symbol(g.nodes, r, exact).collect())
     assert found(ask(("q", "alpha", None))) == ["alpha"] and found(ask(("q", "ALPHA", None)), False) == ["alpha", "alphabetical"]
     assert found(ask(("q", "beta", "class"))) == ["beta2"] and found(ask(("q", "alpha", "interface"))) == [] and found(ask(("q", "_eta", None)), False) == ["beta", "beta2"]
+    assert found(ask(("q", "%PH_b", None)), False) == ["alphabetical"] and found(ask(("q", "__", None)), False) == sorted(r["id"] for r in g.nodes.collect()) and found(ask(("q", "__ph", None), ("r", "b", "class")), False) == ["alpha", "alphabetical", "beta2"]
+    assert "CartesianProduct" not in (plan := lookup.find_symbol(g.nodes, ask(("q", "get_x", None)), False)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    many = graph(spark, [node("twin", f"/{k:02}.ts", id_=f"t{k}") for k in range(25)], [])
+    one = lookup.resolve_node(many.nodes, spark.createDataFrame([("q", None, "twin", None)], "request string, node_id string, name string, kind string")).first()
+    assert one["n_matches"] == 25 and one["message"].endswith("(function in /19.ts), and 5 more")
     requests = spark.createDataFrame([("id", "beta", "alpha", None), ("one", None, "alpha", None), ("none", None, "zeta", None), ("empty", None, "", None), ("two", None, "beta", None)], "request string, node_id string, name string, kind string")
     got = {r["request"]: (r["status"], r["id"]) for r in lookup.resolve_node(g.nodes, requests).collect()}
     assert got == {"id": ("ok", "beta"), "one": ("ok", "alpha"), "none": ("not_found", None), "empty": ("nothing_given", None), "two": ("ambiguous", None)}
@@ -96,10 +101,13 @@ def test_snapshots_and_sources(spark, tmp_path):
     assert tables.load_graph(spark, folder).nodes.count() == 0
     tables.save_graph(g, folder)
     assert tables.load_graph(spark, folder).nodes.count() == 1
-    for name in ("src/a.ts", "src/b.txt", "node_modules/x/c.ts"):
+    for name in ("src/a.ts", "src/b.txt", "node_modules/x/c.ts", "build/d.ts"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("export const a = 1;")
-    assert [r["path"] for r in sources.read_source_tree(spark, str(tmp_path), ["**/*.ts", "src/*"], ["**/node_modules/**", "**/*.txt"]).collect()] == [f"{tmp_path}/src/a.ts"]
+    (tmp_path / "src/odd.js").write_bytes(b"// \xff\xfe\nexport const b = 1;")
+    assert [(r["path"], r["content"]) for r in sources.read_source_tree(spark, str(tmp_path)).orderBy("path").collect()] == [(f"{tmp_path}/src/a.ts", "export const a = 1;"), (f"{tmp_path}/src/odd.js", "// \ufffd\ufffd\nexport const b = 1;")]
+    assert (sources.name_filter(["**/*.ts", "a/*.js"]), sources.name_filter(["src/*"])) == ("*.{js,ts}", None)
+    assert [r["path"] for r in sources.read_source_tree(spark, str(tmp_path), ["**/*.ts", "src/*"], ["**/node_modules/**", "**/*.txt"]).orderBy("path").collect()] == [f"{tmp_path}/{name}" for name in ("build/d.ts", "src/a.ts", "src/odd.js")]
     settings = spark.createDataFrame([("p", "/r", '{"compilerOptions": {"baseUrl": "./s", // c\n "paths": {"@b/*": ["x/*"], "@a": [], "@c": ["y", "z"]}}}'), ("q", "/r", "{bad"), ("n", "/r", '{"compilerOptions": {"paths": {"u": ["http://x"]}}}')], "project string, dir string, text string")
     assert [(r["base_dir"], r["pattern"], r["replacement"]) for r in sources.load_path_aliases(settings).orderBy("ord").collect()] == [("/r/s", "@b/*", "x/*"), ("/r/s", "@c", "y")]
 
@@ -114,6 +122,36 @@ SOURCES = {
 }
 
 
+def test_aliases_belong_to_their_project(spark):
+    rules = [("/a", "/a", 0, "@lib/*", "lib/*"), ("/b", "/b", 0, "@lib/*", "vendor/*"), ("/a/sub", "/a/sub", 0, "@lib/deep/*", "d/*"), ("/", "/", 1, "tool", "bin/tool.ts")]
+    aliases = spark.createDataFrame(rules, "root string, base_dir string, ord int, pattern string, replacement string")
+    listing = paths.listing_with_dirs(spark.createDataFrame([("/a/lib/x.ts",), ("/b/vendor/x.ts",), ("/a/sub/d/x/index.ts",), ("/bin/tool.ts",)], "path string"))
+    asked = [("/a/src/m.ts", "@lib/x"), ("/b/m.ts", "@lib/x"), ("/a/sub/m.ts", "@lib/deep/x"), ("/a/sub/m.ts", "@lib/x"), ("/c/m.ts", "tool"), ("/a/m.ts", "tool"), ("/ab/m.ts", "@lib/x"), ("/b/m.ts", "@lib/y/z")]
+    out = paths.resolve_imports(spark.createDataFrame(asked, "from_file string, specifier string"), listing, aliases)
+    got = {(r["from_file"], r["specifier"]): r["target"] for r in out.collect()}
+    assert [got[x] for x in asked] == ["/a/lib/x.ts", "/b/vendor/x.ts", "/a/sub/d/x/index.ts", "@lib/x", "/bin/tool.ts", "tool", "@lib/x", "/b/vendor/y/z"]
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_symbol_tables_fold_in_order(spark):
+    text = "import { A, B as C } from './x.js';\nconst early = new Late();\nclass Late {}\nconst a = new A();\nconst late = new Late();\nconst A2 = 1;\nfunction f(p: C, q: Nothing, r: Late) {}\nconst g = (p: A) => p;\n"
+    rows = extract.written_facts(spark.createDataFrame([("/s/t.ts", text)], "path string, content string"))
+    targets = spark.createDataFrame([("/s/t.ts", "./x.js", "/s/x.ts")], "path string, specifier string, target string")
+    got = {r["local_name"]: (r["resolved_name"], r["source_file"]) for r in extract.symbol_table(rows, targets).collect()}
+    here = "/s/t.ts"
+    assert got == {"A": ("A", "/s/x.ts"), "C": ("B", "/s/x.ts"), "early": ("early", here), "Late": ("Late", here), "a": ("A", "/s/x.ts"), "late": ("Late", here), "A2": ("A2", here), "f": ("f", here), "g": ("g", here), "p": ("A", "/s/x.ts"), "r": ("Late", here)}
+
+
+def test_paths_stop_before_a_level_too_large(spark):
+    g = graph(spark, [node("A"), *(node(f"n{k}") for k in range(30))], [(f"n{k}", "A", "CALLS") for k in range(30)])
+    with pytest.raises(RuntimeError, match="up to 30 paths"):
+        traverse.why_is_this_used(g, seeds(spark, "A"), max_rows=20)
+    for max_depth in (0, 11):
+        with pytest.raises(ValueError):
+            traverse.why_is_this_used(g, seeds(spark, "A"), max_depth)
+
+
 def test_extraction(spark):
     corpus = spark.createDataFrame(list(SOURCES.items()), "path string, content string")
     aliases = spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string")
@@ -173,7 +211,7 @@ def test_change_stream_re_indexes(spark, tmp_path):
     rows = [("/s/a.ts", "add", "2024-01-01 00:00:00", 1), ("/s/b.ts", "add", "2024-01-01 00:00:01", 2), ("/z.ts", "unlink", "2025-01-01 00:00:00", 9)]
     spark.createDataFrame(rows, "path string, op string, t string, event_id long").selectExpr("path", "op", "cast(t as timestamp) event_ts", "event_id").write.parquet(f"{tmp_path}/events")
     aliases = spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string")
-    run = lambda df: extract.parse_corpus(df, paths.listing_with_dirs(texts), aliases)
+    run = lambda df, there: extract.parse_corpus(df, paths.listing_with_dirs(there), aliases)
     for _ in range(2):
         events = spark.readStream.schema("path string, op string, event_ts timestamp, event_id long").parquet(f"{tmp_path}/events")
         q = changes.run_change_stream(spark, events, folder, f"{tmp_path}/check", lambda df: df.join(texts, "path", "left"), run, "1", "10 seconds")
@@ -181,3 +219,13 @@ def test_change_stream_re_indexes(spark, tmp_path):
     g = tables.load_graph(spark, folder)
     assert sorted(r["path"] for r in g.files.collect()) == ["/s/a.ts", "/s/b.ts"]
     assert [r["importer"] for r in neighbors.importers_of(g.nodes, g.edges, g.files).collect()] == ["/s/b.ts"]
+    # a change of a.ts comes with a file that its importer's specifier names first: the importer's own text is the same, its edge is not
+    more = spark.createDataFrame([("/s/a.ts", "export const a = 2;"), ("/s/a.js", "exports.a = 1;")], "path string, content string")
+    both = texts.where("path = '/s/b.ts'").unionByName(more)
+    later = [("/s/a.ts", "change", "2025-02-01 00:00:00", 11), ("/s/a.js", "add", "2025-02-01 00:00:01", 12), ("/z.ts", "unlink", "2026-01-01 00:00:00", 19)]
+    spark.createDataFrame(later, "path string, op string, t string, event_id long").selectExpr("path", "op", "cast(t as timestamp) event_ts", "event_id").write.mode("append").parquet(f"{tmp_path}/events")
+    for _ in range(2):
+        events = spark.readStream.schema("path string, op string, event_ts timestamp, event_id long").parquet(f"{tmp_path}/events")
+        changes.run_change_stream(spark, events, folder, f"{tmp_path}/check", lambda df: df.join(both, "path", "left"), run, "1", "10 seconds").awaitTermination()
+    g = tables.load_graph(spark, folder)
+    assert [r["target_id"] for r in g.edges.where("relationship_type = 'IMPORTS'").collect()] == ["/s/a.js"]
