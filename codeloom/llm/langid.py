@@ -27,7 +27,8 @@ ORDER = 4
 FIT_DOCS = 300
 #: Characters of a block that takes its best language by itself.
 MIXED = 100
-#: Lengths from which on a limit of its own holds, in characters; one with fewer than LEAST_HELD held-back texts takes the limit of all.
+#: Lengths from which on a limit of its own holds, in characters; one with fewer than LEAST_HELD held-back texts takes the limit of all. Texts
+#: of the first class are too short to be told from strangers and are not rejected.
 LENGTHS, LEAST_HELD = (0, 20, 100), 20
 #: The quantiles, of known texts' excess over their language's median and of strangers', between which a limit lies.
 KNOWN_QUANTILE, STRANGER_QUANTILE = 1.0, 0.05
@@ -299,7 +300,7 @@ def calibrate(model: Model, sample: DataFrame) -> None:
         if own.any():
             top = float(np.quantile(known[own], KNOWN_QUANTILE))
             least = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else top
-            model.limits[k] = max((top + least) / 2, LEAST_SLACK * top)
+            model.limits[k] = max((top + least) / 2, LEAST_SLACK * top) if k else np.inf
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
