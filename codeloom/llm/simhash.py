@@ -68,13 +68,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
+            prints, hashes, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [], 0
             for text in texts(batch.column(1)):
                 hashes.append(shingle_hashes(text, words))
                 counts.append(len(hashes[-1]))
-                if sum(counts) >= HASH_BLOCK:
+                held += counts[-1]
+                if held >= HASH_BLOCK:
                     prints.append(majority_bits(np.concatenate(hashes), np.array(counts, np.int64)))
-                    hashes, counts = [np.zeros(0, np.uint64)], []
+                    hashes, counts, held = [np.zeros(0, np.uint64)], [], 0
             prints.append(majority_bits(np.concatenate(hashes), np.array(counts, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "fp"])
 
