@@ -5,7 +5,8 @@ probabilities per n-gram; a lookup is one binary search for all languages at onc
 through the contexts' weights. A text goes to the language of the lowest cross-entropy per character. For the rejection each block of
 MIXED characters takes its best language, so a text that mixes known ones is no stranger; the text is rejected if the mean of
 its blocks lies above a limit for its length. The limit lies midway between what held-back texts of known languages reach and what these
-texts cost without their own language's model, which is what a stranger costs.
+texts cost without their own language's model, which is what a stranger costs. Length here is Kish's effective sample size of the text's
+4-grams: a word or line that is repeated a thousand times says no more than once.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ ORDER = 4
 FIT_DOCS = 300
 #: Characters of a block that takes its best language by itself.
 MIXED = 100
-#: Lengths from which on a limit of its own holds, in characters; one with fewer than LEAST_HELD held-back texts takes the limit of all. Texts
-#: of the first class are too short to be told from strangers and are not rejected.
-LENGTHS, LEAST_HELD = (0, 20, 100), 20
+#: Effective lengths from which on a limit of its own holds; one with fewer than LEAST_HELD held-back texts and pieces takes the limit of all.
+#: Texts of fewer characters than the second are too short to be told from strangers and are not rejected.
+LENGTHS, LEAST_HELD = (0, 20, 50, 100, 200), 20
+#: A length of which fewer than ENOUGH whole texts are held back is measured by pieces of longer ones too: up to PIECES, evenly spaced, of each of these
+#: sizes. A piece may lie wholly in a foreign passage, so whole texts are the better measure where there are enough.
+ENOUGH = 100
+PIECE_SIZES, PIECES = (35, 75, 150, 300), 4
 #: The quantiles, of known texts' excess over their language's median and of strangers', between which a limit lies.
-KNOWN_QUANTILE, STRANGER_QUANTILE = 1.0, 0.05
+KNOWN_QUANTILE, STRANGER_QUANTILE = 0.997, 0.05
 #: A limit is at least this many times the known excess, where strangers cost no more than known texts (wrong labels do that).
 LEAST_SLACK = 1.25
 #: Ids of a sample up to which they are broadcast.
@@ -104,7 +109,8 @@ class Model:
     levels: list[Level]  # by order, from 1
     floor: float
     median: np.ndarray  # of held-back texts' block entropies, by language
-    limits: np.ndarray  # the excess over the median beyond which a text is rejected, by length
+    known: np.ndarray  # what held-back texts' excess over the median reaches, by length
+    strange: np.ndarray  # what they cost at least without their own language's model, by length
 
     def log_probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """(n, languages) for n-grams in columns, by the longest order that is seen."""
@@ -129,8 +135,27 @@ class Model:
     def excess(self, mixed: np.ndarray, language: np.ndarray) -> np.ndarray:
         return mixed - self.median[language]
 
-    def rejects(self, mixed: np.ndarray, language: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return self.excess(mixed, language) > self.limits[length_class(sizes)]
+    def rejects(self, mixed: np.ndarray, language: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of texts of ``n`` characters and effective ``sizes``. Below the least length that is measured, what known texts reach grows as chance does, by the root."""
+        k = np.maximum(length_class(sizes), 1)
+        known = self.known[k] * np.sqrt(LENGTHS[1] / np.clip(sizes, 1, LENGTHS[1]))
+        limit = np.maximum((known + self.strange[k]) / 2, LEAST_SLACK * known)
+        return (n >= LENGTHS[1]) & (self.excess(mixed, language) > limit)
+
+
+def effective_size(line: np.ndarray) -> float:
+    """Kish's effective sample size of the n-grams of a line: (sum of counts)^2 / sum of squared counts. Of a very long line, the largest of its parts'."""
+    best = 0.0
+    columns = windows(line) if len(line) else []
+    for a in range(0, len(line) - 1, BLOCK):
+        counts = np.unique(gram_hashes([c[a : a + BLOCK] for c in columns]), return_counts=True)[1].astype(np.float64)
+        best = max(best, counts.sum() ** 2 / (counts**2).sum())
+    return best
+
+
+def pieces(line: np.ndarray) -> list[np.ndarray]:
+    """Up to PIECES evenly spaced pieces of each size that is less than the line's."""
+    return [line[a : a + size] for size in PIECE_SIZES if len(line) > size for a in sorted(set(np.linspace(0, len(line) - size, PIECES).astype(int).tolist()))]
 
 
 def length_class(sizes: np.ndarray) -> np.ndarray:
@@ -260,14 +285,14 @@ def fit_language_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     counted = sample.mapInPandas(grams, "lang string, c0 int, c1 int, c2 int, c3 int, count long")
     table = counted.groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("count").alias("count")).toPandas()
     languages = sorted(table["lang"].unique())
-    model = Model(languages, build_levels(table, languages) if languages else [], -float(np.log(ALPHABET)) - 6, np.zeros(len(languages)), np.full(len(LENGTHS), np.inf))
+    model = Model(languages, build_levels(table, languages) if languages else [], -float(np.log(ALPHABET)) - 6, np.zeros(len(languages)), *np.full((2, len(LENGTHS)), np.inf))
     if languages:
         calibrate(model, sample)
     return model
 
 
 def calibrate(model: Model, sample: DataFrame) -> None:
-    """Set the medians and limits by the held-back texts; fitted texts serve for a language with fewer than five.
+    """Set the medians and what limits are made of by the held-back texts; fitted texts serve for a language with fewer than five.
 
     A text measured without its own language's model is a stranger to the others: its excess is over the language it would then go to.
     """
@@ -279,28 +304,29 @@ def calibrate(model: Model, sample: DataFrame) -> None:
             frame = frame[frame["lang"].isin(own.languages)].reset_index(drop=True)
             for a in range(0, len(frame), 50):
                 part = frame.iloc[a : a + 50]
-                lines, mine = [characters(x) for x in part["text"]], [own.languages.index(x) for x in part["lang"]]
+                known = [(line, own.languages.index(lang), fits, line is whole) for text, lang, fits in zip(part["text"], part["lang"], part["fits"]) for whole in [characters(text)] for line in (whole, *pieces(whole))]
+                lines, mine, fits, whole = map(list, zip(*known)) if known else ([], [], [], [])
                 _, mixed, n = entropies(own, lines)
                 h, strange, _ = entropies(own, lines, mine)
-                h[np.arange(len(part)), mine] = np.inf
-                yield pd.DataFrame({"lang": mine, "fits": part["fits"].to_numpy(), "mixed": mixed, "strange": strange, "other": h.argmin(axis=1), "n": n})
+                h[np.arange(len(lines)), mine] = np.inf
+                yield pd.DataFrame({"lang": mine, "fits": fits, "whole": whole, "mixed": mixed, "strange": strange, "other": h.argmin(axis=1), "n": n, "size": [effective_size(x) for x in lines]})
 
-    # at most 2 * fit_docs rows a language
-    seen = sample.mapInPandas(measure, "lang int, fits boolean, mixed double, strange double, other int, n long").where("n > 0").toPandas()
+    # at most 2 * fit_docs texts a language, with PIECES pieces of each size
+    columns = "lang int, fits boolean, whole boolean, mixed double, strange double, other int, n long, size double"
+    seen = sample.mapInPandas(measure, columns).where("n > 0").toPandas()
     held = seen[~seen["fits"]]
-    scarce = seen["lang"].map(held["lang"].value_counts()).fillna(0) < 5
+    scarce = seen["lang"].map(held[held["whole"]]["lang"].value_counts()).fillna(0) < 5
     held = seen[~seen["fits"] | scarce]
-    for k, own in held.groupby("lang"):
+    for k, own in held[held["whole"]].groupby("lang"):
         model.median[k] = own["mixed"].median()
     known = model.excess(held["mixed"].to_numpy(), held["lang"].to_numpy())
     strange = model.excess(held["strange"].to_numpy(), held["other"].to_numpy())
-    kind = length_class(held["n"].to_numpy())
-    for k in range(len(LENGTHS)):
-        own = kind == k if (kind == k).sum() >= LEAST_HELD else np.ones(len(kind), bool)
+    kind, whole = length_class(held["size"].to_numpy()), held["whole"].to_numpy(bool)
+    for k in range(1, len(LENGTHS)):
+        own = next((x for x, least in ((whole & (kind == k), ENOUGH), (kind == k, LEAST_HELD)) if x.sum() >= least), whole)
         if own.any():
-            top = float(np.quantile(known[own], KNOWN_QUANTILE))
-            least = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else top
-            model.limits[k] = max((top + least) / 2, LEAST_SLACK * top) if k else np.inf
+            model.known[k] = float(np.quantile(known[own], KNOWN_QUANTILE))
+            model.strange[k] = float(np.quantile(strange[own], STRANGER_QUANTILE)) if len(model.languages) > 1 else model.known[k]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -321,7 +347,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 h, mixed, n = entropies(own, lines)
                 best = h.argmin(axis=1) if own.languages else np.zeros(len(lines), np.int64)
                 share = 1 / np.exp(10 * (h.min(axis=1, keepdims=True) - h)).sum(axis=1) if own.languages else mixed
-                strange = own.rejects(mixed, best, n) if own.languages else n == 0
+                strange = own.rejects(mixed, best, n, np.array([effective_size(x) for x in lines])) if own.languages else n == 0
                 pred.extend(own.languages[k] if size else "und" for k, size in zip(best.tolist(), n.tolist()))
                 score.extend(np.where(n > 0, share, 0.0).tolist())
                 rejected.extend((strange | (n == 0)).tolist())

@@ -103,3 +103,18 @@ def test_a_language_that_was_not_learnt_is_rejected(spark):
         model = langid.fit_language_model(docs.where(f"lang <> '{left_out}'"))
         share = langid.identify(docs.where(f"lang = '{left_out}'"), model).selectExpr("avg(int(rejected))").first()[0]
         assert share > 0.9, (left_out, share)
+
+
+def test_effective_size_counts_repeated_words_once():
+    once = langid.characters("abba noon liri")
+    assert abs(langid.effective_size(langid.characters("abba noon liri " * 500)) - len(once)) < 2
+    assert langid.effective_size(langid.characters("abba")) == 5 and langid.effective_size(langid.characters("12")) == 0
+
+
+def test_short_and_repetitive_texts_of_a_known_language_stay(spark):
+    r = random.Random(9)
+    frame = spark.createDataFrame(made_texts(r), "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit_language_model(frame, fit_docs=10_000)
+    asked = [(1, "aba bab abba baab aabb"), (2, "onno " * 900), (3, "riri liil rill irli lir\n" * 300), (4, "щука ждёт " * 40), (5, "ждёт щука у реки давно")]
+    got = {row["doc_id"]: row["rejected"] for row in langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True}
