@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import resolve_imports, stem
 from codeloom.operators.facts import scan_facts
 from codeloom.schema import EDGE_COLUMNS, NODE_COLUMNS, node_id
-from codeloom.sources.tables import work_dir
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from codeloom.sources.tables import written
 
 
 def declarations(facts: DataFrame) -> DataFrame:
@@ -78,8 +70,8 @@ def symbol_table(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
 def extract_edges(facts: DataFrame, targets: DataFrame) -> DataFrame:
     """Edge columns, distinct."""
-    decls = _written(declarations(facts), "declarations")
-    symbols = _written(symbol_table(facts, targets), "symbols")
+    decls = written(declarations(facts), "declarations")
+    symbols = written(symbol_table(facts, targets), "symbols")
     owners = decls.select("path", F.col("ord").alias("owner"), F.col("id").alias("owner_id"))
     local = decls.groupBy("path", "name").agg(F.max_by(F.struct("id", "kind"), "ord").alias("l")).select("path", F.col("name").alias("resolved_name"), F.col("l.id").alias("local_id"), F.col("l.kind").alias("local_kind"))
     path, name = F.col("path"), F.col("name")
@@ -123,7 +115,7 @@ def extract_edges(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
 def written_facts(files: DataFrame) -> DataFrame:
     """The facts of sources, scanned once and written; what is derived from them reads these rows."""
-    return _written(scan_facts(files), "facts")
+    return written(scan_facts(files), "facts")
 
 
 def parse_corpus(files: DataFrame, listing: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

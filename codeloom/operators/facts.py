@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codeloom.session import ship_package
+
 TOKEN = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*[\s\S]*?\*/)|(?P<str>'(?:\\[\s\S]|[^'\\\n])*'|"(?:\\[\s\S]|[^"\\\n])*")|(?P<word>\#?[^\W\d][\w$]*|\$[\w$]*)|(?P<num>\d[\w.]*)|(?P<punct>=>|\.\.\.|\?\.(?!\d)|[!=]==?|&&|\|\||\?\?|[^\s\w])""")
 REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -695,4 +697,5 @@ def scan_facts(files: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=names)
                 yield out.astype({c: "Int32" for c in ("ord", "exported", "start", "end", "owner")})
 
+    ship_package(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, SCHEMA)

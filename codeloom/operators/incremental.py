@@ -32,10 +32,11 @@ def diff_snapshot(files: DataFrame, scan: DataFrame) -> DataFrame:
     return scan.join(old, "path", "left").select("path", "content_hash", status.alias("status"))
 
 
-def index_stats(statuses: DataFrame) -> DataFrame:
-    """One row: files_scanned, files_updated, files_skipped, files_errored."""
+def index_stats(statuses: DataFrame, duration_ms: int | None = None) -> DataFrame:
+    """One row: files_scanned, files_updated, files_skipped, files_errored; and duration_ms, if the caller says how long its run took."""
     count = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0))
-    return statuses.agg(F.count(F.lit(1)).alias("files_scanned"), count("updated").alias("files_updated"), count("skipped").alias("files_skipped"), count("error").alias("files_errored"))
+    out = statuses.agg(F.count(F.lit(1)).alias("files_scanned"), count("updated").alias("files_updated"), count("skipped").alias("files_skipped"), count("error").alias("files_errored"))
+    return out if duration_ms is None else out.withColumn("duration_ms", F.lit(duration_ms).cast("long"))
 
 
 def missing_files(files: DataFrame, scan: DataFrame) -> DataFrame:

@@ -104,3 +104,15 @@ def find_symbol_with_snippet(nodes: DataFrame, files: DataFrame, requests: DataF
     ranges = found.select(F.col("id").alias("request"), F.col("file_path").alias("path"), "start_line", "end_line", F.lit(padding).alias("padding")).distinct()
     text = snippets(files, ranges).select(F.col("request").alias("id"), "snippet")
     return found.join(text, "id", "left").select("request", *NODE_COLUMNS, "snippet")
+
+
+#: Columns that answers are read by, the most significant first: the request, then steps from it, then place and name.
+READING_ORDER = ("request", "seed_id", "depth", "file_path", "path", "importer", "start_line", "name", "from_name", "source_id", "target_id", "from_id", "to_id", "relationship_type", "id")
+
+
+def in_reading_order(answers: DataFrame, *first: str) -> DataFrame:
+    """``answers`` of any lookup, neighbour, file view or traversal, sorted for reading: by ``first``, then by what it has of READING_ORDER.
+
+    Operators give rows in no order, as a global sort costs a shuffle of every row; this is for what a person or a page of results reads.
+    """
+    return answers.orderBy(*first, *(c for c in READING_ORDER if c in answers.columns and c not in first))

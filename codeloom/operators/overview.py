@@ -23,6 +23,11 @@ def edge_types(graph: Graph) -> DataFrame:
     return graph.edges.groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "relationship_type")
 
 
+def summary_line(counts: DataFrame) -> DataFrame:
+    """``overview_counts`` -> (summary): one sentence of the three numbers."""
+    return counts.select(F.format_string("Codebase has %d file(s), %d symbol(s), and %d edge(s).", "n_files", "n_nodes", "n_edges").alias("summary"))
+
+
 def _targets(graph: Graph, relationship: str) -> DataFrame:
     return graph.edges.where(F.col("relationship_type") == relationship).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.schema import NODE_COLUMNS, Graph
-from codeloom.sources.tables import work_dir
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A level in the shared work folder: short lineage, and a lost executor re-reads it."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from codeloom.sources.tables import written
 
 
 def check_depth(max_depth: int) -> int:
@@ -31,13 +22,13 @@ def reached(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame
     edges once; what was seen is removed before the next level.
     """
     check_depth(max_depth)
-    steps = _written(edges.select("source_id", "target_id").where("source_id <> target_id").distinct(), "steps")
+    steps = written(edges.select("source_id", "target_id").where("source_id <> target_id").distinct(), "steps")
     frontier = seeds.select("seed_id", F.col("seed_id").alias("id")).distinct()
-    seen = _written(frontier.withColumn("depth", F.lit(0)), "level-0")
+    seen = written(frontier.withColumn("depth", F.lit(0)), "level-0")
     frontier = seen.select("seed_id", "id")
     for depth in range(1, max_depth + 1):
         ahead = frontier.join(steps, F.col("id") == F.col("target_id")).select("seed_id", F.col("source_id").alias("id")).distinct()
-        level = _written(ahead.join(seen.select("seed_id", "id"), ["seed_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
+        level = written(ahead.join(seen.select("seed_id", "id"), ["seed_id", "id"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
         if level.isEmpty():
             break
         seen, frontier = seen.unionByName(level), level.select("seed_id", "id")
@@ -56,7 +47,7 @@ def why_is_this_used(graph: Graph, seeds: DataFrame, max_depth: int = 5, max_row
     """
     check_depth(max_depth)
     edges = graph.edges.where("source_id <> target_id")
-    degrees = _written(edges.groupBy("target_id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    degrees = written(edges.groupBy("target_id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     level = seeds.select("seed_id").distinct().select("seed_id", F.array("seed_id").alias("path"), F.col("seed_id").alias("at"))
     steps = None
     for depth in range(1, max_depth + 1):
@@ -66,7 +57,7 @@ def why_is_this_used(graph: Graph, seeds: DataFrame, max_depth: int = 5, max_row
         if n > max_rows:
             raise RuntimeError(f"up to {n} paths at depth {depth}; lower max_depth or raise max_rows")
         step = level.join(edges, F.col("at") == F.col("target_id")).where(~F.array_contains("path", F.col("source_id")))
-        step = _written(step.select("seed_id", F.concat("path", F.array("source_id")).alias("path"), F.col("source_id").alias("from_id"), "relationship_type", F.col("target_id").alias("to_id"), F.lit(depth).alias("depth")), f"paths-{depth}")
+        step = written(step.select("seed_id", F.concat("path", F.array("source_id")).alias("path"), F.col("source_id").alias("from_id"), "relationship_type", F.col("target_id").alias("to_id"), F.lit(depth).alias("depth")), f"paths-{depth}")
         own = step.drop("path")
         steps = own if steps is None else steps.unionByName(own)
         if step.isEmpty():

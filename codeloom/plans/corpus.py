@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.paths import listing_with_dirs
 from codeloom.operators import extract, incremental
 from codeloom.schema import RELATIONSHIPS, Graph, empty_graph
+from codeloom.sources.tables import written
 from codeloom.sources.testgraph import table
 
 
@@ -95,7 +96,7 @@ def index_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = files.withColumn("error", F.lit(False))
     run = lambda g, s, now: incremental.index_project(g, s, lambda df: extract.parse_corpus(df, *around), "1", now)
     first = run(empty_graph(spark), scan.where(number % 3 != 0), 1)[0]
-    first = Graph(*(extract._written(t, "indexed") for t in (first.files, first.nodes, first.edges, first.meta)))
+    first = Graph(*(written(t, "indexed") for t in (first.files, first.nodes, first.edges, first.meta)))
     changed = scan.withColumn("content", F.when(number % 2 == 0, F.concat("content", F.lit("\nexport const added = 1;"))).otherwise(F.col("content")))
     graph, statuses = run(first, changed, 2)
     count = graph.nodes.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_nodes"))

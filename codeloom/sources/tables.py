@@ -1,4 +1,4 @@
-"""Snapshots of the graph's tables, metadata, and JSON answers."""
+"""Snapshots of the graph's tables by bucket, metadata, and JSON answers."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from codeloom.schema import META, SCHEMAS, Graph, empty_graph
 
+#: Buckets of files in a folder of snapshots, unless its first snapshot is given another number; of them, a change rewrites those of its files.
+BUCKETS = 64
+POINTERS = "serial long, name string, n_buckets int, full boolean, buckets array<int>"
+
 
 def work_dir(spark: SparkSession) -> str:
     """The folder driver and executors share, from ``spark.checkpoint.dir``; its own only in a local session without that setting."""
@@ -23,32 +27,109 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def save_graph(graph: Graph, folder: str) -> str:
-    """Write a new snapshot beside the older ones, then append its pointer; readers see the old snapshot until then."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the shared work folder: short lineage, and a lost executor re-reads it."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_of(path: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
+
+
+def _bucketed(graph: Graph, n: int) -> dict[str, DataFrame]:
+    """The tables but meta with the bucket of each row's file; an edge lies with its source, one without a source node by its source's id."""
+    nodes = graph.nodes.withColumn("bucket", bucket_of(F.col("file_path"), n))
+    homes = nodes.groupBy(F.col("id").alias("home_")).agg(F.min("bucket").alias("bucket"))
+    edges = graph.edges.join(homes, F.col("source_id") == F.col("home_"), "left").drop("home_")
+    return {"files": graph.files.withColumn("bucket", bucket_of(F.col("path"), n)), "nodes": nodes, "edges": edges.withColumn("bucket", F.coalesce("bucket", bucket_of(F.col("source_id"), n)))}
+
+
+def _write(graph: Graph, folder: str, n: int, only: list[int] | None) -> str:
+    """Writes the tables, or the buckets ``only`` of them, to a new folder, then appends the pointer that makes these rows count."""
     spark = graph.meta.sparkSession
     name = f"snapshot-{uuid4().hex}"
-    for kind in SCHEMAS:
-        getattr(graph, kind).write.parquet(f"{folder}/{name}/{kind}")
+    for kind, rows in _bucketed(graph, n).items():
+        mine = rows if only is None else rows.where(F.col("bucket").isin(*only))
+        mine.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}/{kind}")
+    graph.meta.write.parquet(f"{folder}/{name}/meta")
     pointers = _pointers(spark, folder)
     serial = pointers.agg(F.max("serial")).first()[0] if pointers is not None else None
-    spark.createDataFrame([((serial or 0) + 1, name)], "serial long, name string").coalesce(1).write.mode("append").json(f"{folder}/pointers")
+    row = ((serial or 0) + 1, name, n, only is None, list(range(n)) if only is None else sorted(only))
+    spark.createDataFrame([row], POINTERS).coalesce(1).write.mode("append").json(f"{folder}/pointers")
     return name
 
 
+def save_graph(graph: Graph, folder: str, n_buckets: int = BUCKETS) -> str:
+    """Write a whole new snapshot beside the older ones, then append its pointer; readers see the old snapshot until then."""
+    return _write(graph, folder, n_buckets, None)
+
+
+def save_buckets(graph: Graph, folder: str, buckets: list[int]) -> str:
+    """Write these buckets of files, and meta, anew; all others stay as they are. ``graph`` holds every row of the buckets."""
+    live = _live(graph.meta.sparkSession, folder)
+    return _write(graph, folder, live[0], buckets)
+
+
 def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema("serial long, name string").json(f"{folder}/pointers")
+    return spark.read.schema(POINTERS).json(f"{folder}/pointers")
 
 
-def load_graph(spark: SparkSession, folder: str) -> Graph:
-    """The latest snapshot; an empty graph where there is none."""
+def _live(spark: SparkSession, folder: str) -> tuple[int, dict[str, list[int]], str] | None:
+    """(number of buckets, the buckets that count by snapshot, the latest snapshot): as many rows as buckets."""
     pointers = _pointers(spark, folder)
     if pointers is None:
+        return None
+    last = pointers.agg(F.max_by("name", "serial"), F.max_by("n_buckets", "serial"), F.max(F.when(F.col("full"), F.col("serial")))).first()
+    rows = pointers.where(F.col("serial") >= last[2]).select("serial", "name", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max_by("name", "serial").alias("name"))
+    names: dict[str, list[int]] = {}
+    for row in rows.orderBy("bucket").collect():
+        names.setdefault(row["name"], []).append(row["bucket"])
+    return last[1], names, last[0]
+
+
+def load_graph(spark: SparkSession, folder: str, buckets: list[int] | None = None) -> Graph:
+    """The latest rows of every bucket, or of these buckets only; an empty graph where there is no snapshot."""
+    live = _live(spark, folder)
+    if live is None:
         return empty_graph(spark)
-    name = pointers.agg(F.max_by("name", "serial")).first()[0]
-    return Graph(**{kind: spark.read.schema(schema).parquet(f"{folder}/{name}/{kind}") for kind, schema in SCHEMAS.items()})
+    _, names, last = live
+    tables = {"meta": spark.read.schema(META).parquet(f"{folder}/{last}/meta")}
+    for kind, schema in SCHEMAS.items():
+        if kind == "meta":
+            continue
+        rows = spark.createDataFrame([], schema)
+        for name, own in names.items():
+            mine = [b for b in own if buckets is None or b in buckets]
+            if mine:
+                part = spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}/{kind}")
+                rows = rows.unionByName(part.where(F.col("bucket").isin(*mine)).drop("bucket"))
+        tables[kind] = rows
+    return Graph(**tables)
+
+
+def buckets_of(paths: DataFrame, folder: str) -> list[int]:
+    """The buckets of files (path) in a folder that has a snapshot: no more than it has buckets."""
+    n = _live(paths.sparkSession, folder)[0]
+    return [r[0] for r in paths.select(bucket_of(F.col("path"), n).alias("bucket")).distinct().orderBy("bucket").collect()]
+
+
+def prune_snapshots(spark: SparkSession, folder: str) -> int:
+    """Remove the snapshots of which no bucket counts any more, and say how many; for when no reader of an older snapshot is left."""
+    live = _live(spark, folder)
+    if live is None:
+        return 0
+    kept = set(live[1]) | {live[2]}
+    gone = [r["name"] for r in _pointers(spark, folder).select("name").distinct().collect() if r["name"] not in kept]
+    removed = 0
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def upsert_meta(meta: DataFrame, values: dict[str, object]) -> DataFrame:

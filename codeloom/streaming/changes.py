@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codeloom.operators.incremental import index_project
+from codeloom.operators.incremental import VERSION_KEY, index_project
 from codeloom.operators.neighbors import importers_of
-from codeloom.operators.store import delete_files
+from codeloom.operators.store import clear_graph, delete_files
 from codeloom.schema import Graph
-from codeloom.sources.tables import load_graph, save_graph
+from codeloom.sources.tables import buckets_of, get_meta, load_graph, save_buckets, save_graph, written
 
 RIPPLE_CAP = 20
 
@@ -67,11 +67,12 @@ def apply_changes(graph: Graph, batch: DataFrame, extract: Callable, version: st
 
 
 def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", **trigger) -> StreamingQuery:
-    """Debounced events re-index the graph in ``graph_dir``, a new snapshot per batch; a restart resumes from ``checkpoint``.
+    """Debounced events re-index the graph in ``graph_dir``: each batch writes the buckets of its files; a restart resumes from ``checkpoint``.
 
     ``read_content``: (path, op, force) -> adds content. ``extract``: (sources, files) -> nodes, edges, errors, where files (path) are those
     that are there after the batch. Importers of changed files, up to the cap, are extracted again though their own text is the same, so
-    that their imports are resolved against these files.
+    that their imports are resolved against these files. Of the rest of the graph only paths and imports are read. A graph of another parser
+    version is cleared first.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
@@ -79,11 +80,16 @@ def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, ch
         if own.isEmpty():
             return
         graph = load_graph(spark, graph_dir)
+        if get_meta(graph.meta, VERSION_KEY) != version:
+            save_graph(clear_graph(graph), graph_dir)
+            graph = load_graph(spark, graph_dir)
         changed = own.where("op <> 'unlink'").select("path")
         more = ripple_targets(graph, changed).select(F.col("importer").alias("path")).join(own, "path", "left_anti").select("path", F.lit("change").alias("op"), F.lit(True).alias("force"))
         now = own.agg(F.unix_millis(F.max("last_ts"))).first()[0]
         there = graph.files.select("path").join(own, "path", "left_anti").unionByName(changed).distinct()
-        texts = read_content(own.select("path", "op", F.lit(False).alias("force")).unionByName(more))
-        save_graph(apply_changes(graph, texts, lambda sources: extract(sources, there), version, now), graph_dir)
+        asked = written(own.select("path", "op", F.lit(False).alias("force")).unionByName(more), "changes")
+        touched = buckets_of(asked, graph_dir)
+        after = apply_changes(load_graph(spark, graph_dir, touched), read_content(asked), lambda sources: extract(sources, there), version, now)
+        save_buckets(after, graph_dir, touched)
 
     return debounce(events, gap, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()

@@ -174,7 +174,7 @@ def test_incremental_index_and_versions(spark):
 
     scan = corpus.withColumn("error", F.lit(False))
     first, statuses = incremental.index_project(empty_graph(spark), scan, run, "1", 5)
-    first = Graph(*(extract._written(t, "first") for t in (first.files, first.nodes, first.edges, first.meta)))
+    first = Graph(*(tables.written(t, "first") for t in (first.files, first.nodes, first.edges, first.meta)))
     assert incremental.index_stats(statuses).first().asDict() == {"files_scanned": 6, "files_updated": 5, "files_skipped": 0, "files_errored": 1}
     assert incremental.index_stats(incremental.index_project(first, scan, run, "1", 6)[1]).first()["files_skipped"] == 5
     assert incremental.index_stats(incremental.index_project(first, scan, run, "2", 6)[1]).first()["files_updated"] == 5
