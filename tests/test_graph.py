@@ -229,3 +229,25 @@ def test_change_stream_re_indexes(spark, tmp_path):
         changes.run_change_stream(spark, events, folder, f"{tmp_path}/check", lambda df: df.join(both, "path", "left"), run, "1", "10 seconds").awaitTermination()
     g = tables.load_graph(spark, folder)
     assert [r["target_id"] for r in g.edges.where("relationship_type = 'IMPORTS'").collect()] == ["/s/a.js"]
+
+
+def test_snapshots_by_bucket(spark, tmp_path):
+    folder = f"file://{tmp_path}/graph"
+    paths_ = [f"/f{k}.ts" for k in range(6)]
+    g = graph(spark, [node(f"n{k}", p) for k, p in enumerate(paths_)], [("n0", "n1", "CALLS"), ("n1", "n2", "CALLS"), ("stray", "n1", "CALLS")])
+    tables.save_graph(g, folder, 4)
+    ids = lambda t: sorted(r["id"] for r in t.nodes.collect())
+    ends = lambda t: sorted((r["source_id"], r["target_id"]) for r in t.edges.collect())
+    assert ids(tables.load_graph(spark, folder)) == ids(g) and ends(tables.load_graph(spark, folder)) == ends(g)
+    gone = spark.createDataFrame([(paths_[1],)], "path string")
+    touched = tables.buckets_of(gone, folder)
+    part = tables.load_graph(spark, folder, touched)
+    tables.save_buckets(store.delete_files(part, gone), folder, touched)
+    after = tables.load_graph(spark, folder)
+    expected = store.delete_files(g, gone)
+    assert len(touched) == 1 and ids(after) == ids(expected) and ends(after) == ends(expected) and tables.prune_snapshots(spark, folder) == 0
+    tables.save_graph(after, folder, 2)  # a whole snapshot, of another number of buckets: nothing of the two before counts
+    assert tables.prune_snapshots(spark, folder) == 2 and ids(tables.load_graph(spark, folder)) == ids(expected)
+    assert [r["id"] for r in lookup.in_reading_order(expected.nodes).collect()] == ids(expected)
+    line = overview.summary_line(overview.overview_counts(expected)).first()["summary"]
+    assert line.startswith("Codebase has ") and " 5 symbol(s), and 2 edge(s)." in line
