@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import texts
+from codeloom.llm.common import shipped, texts
 
 #: Code points of a chunk, and of the overlap that follows it.
 CHUNK, OVERLAP = 32_768, 512
@@ -227,9 +227,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
         return frame
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    whole = rows.where(~is_long).mapInArrow(short, schema)
+    whole = shipped(rows).where(~is_long).mapInArrow(short, schema)
     numbered = rows.where(is_long).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = numbered.mapInArrow(cut, f"doc_id {kind}, row long, part int, chunk string").repartition("row", "part")
+    parts = shipped(numbered).mapInArrow(cut, f"doc_id {kind}, row long, part int, chunk string").repartition("row", "part")
     marked = parts.mapInArrow(pre_tokenise, f"doc_id {kind}, row long, part int, chunk string, starts binary")
     return whole.unionByName(marked.groupBy("row").applyInPandas(stitch, schema))
 

@@ -71,6 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the executors have the package, which functions of ``mapInArrow`` over any frame need."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality in which null equals null."""
     return left.eqNullSafe(right)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import same, texts, written
+from codeloom.llm.common import same, shipped, texts, written
 
 #: Bytes that a node costs besides its label.
 NODE_BYTES = 200
@@ -196,7 +196,7 @@ def _gathered(docs: DataFrame, limit: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, uid long, rep long, sha256 string, copies long, n_bytes long, hash long, body binary")
+    return shipped(rows).mapInArrow(run, f"doc_id {kind}, uid long, rep long, sha256 string, copies long, n_bytes long, hash long, body binary")
 
 
 def _merged(a: tuple, b: tuple) -> tuple:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import texts, without_rows, written
+from codeloom.llm.common import shipped, texts, without_rows, written
 
 ORDER = 4
 #: Labelled documents that a language's model learns from, at most; as many again calibrate the rejection.
@@ -282,7 +282,7 @@ def fit_language_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
                     out = pd.DataFrame(dict(zip(("c0", "c1", "c2", "c3"), columns))).groupby(["c0", "c1", "c2", "c3"]).size().rename("count").reset_index()
                     yield out.assign(lang=lang)[["lang", "c0", "c1", "c2", "c3", "count"]]
 
-    counted = sample.mapInPandas(grams, "lang string, c0 int, c1 int, c2 int, c3 int, count long")
+    counted = shipped(sample).mapInPandas(grams, "lang string, c0 int, c1 int, c2 int, c3 int, count long")
     table = counted.groupBy("lang", "c0", "c1", "c2", "c3").agg(F.sum("count").alias("count")).toPandas()
     languages = sorted(table["lang"].unique())
     model = Model(languages, build_levels(table, languages) if languages else [], -float(np.log(ALPHABET)) - 6, np.zeros(len(languages)), *np.full((2, len(LENGTHS)), np.inf))
@@ -313,7 +313,7 @@ def calibrate(model: Model, sample: DataFrame) -> None:
 
     # at most 2 * fit_docs texts a language, with PIECES pieces of each size
     columns = "lang int, fits boolean, whole boolean, mixed double, strange double, other int, n long, size double"
-    seen = sample.mapInPandas(measure, columns).where("n > 0").toPandas()
+    seen = shipped(sample).mapInPandas(measure, columns).where("n > 0").toPandas()
     held = seen[~seen["fits"]]
     scarce = seen["lang"].map(held[held["whole"]]["lang"].value_counts()).fillna(0) < 5
     held = seen[~seen["fits"] | scarce]
@@ -364,7 +364,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def held_out() -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import texts
+from codeloom.llm.common import shipped, texts
 
 
 def luhn(digits: str) -> bool:
@@ -117,7 +117,7 @@ def find_pii(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPANS)], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind string, start bigint, end bigint, score double>>")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind string, start bigint, end bigint, score double>>")
 
 
 def op2(docs: DataFrame, likely: float = 0.7) -> DataFrame:

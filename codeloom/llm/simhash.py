@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import hex64, same, texts, written
+from codeloom.llm.common import hex64, same, shipped, texts, written
 from codeloom.llm.components import connected_components
 
 BITS = 64
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # --- comparison inside buckets -------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ def near_links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS)
             yield links(held[0])
 
     dealt = cells.select("fp", "id", "key", "cell").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return shipped(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:

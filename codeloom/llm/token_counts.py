@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import default_pattern, pre_tokeniser, vocabulary, vocabulary_path
-from codeloom.llm.common import texts
+from codeloom.llm.common import shipped, texts
 
 #: Trie nodes and terminal counts of a task; beyond them either starts anew, which costs time but changes no count.
 MAX_NODES, MAX_TERMINALS = 600_000, 500_000
@@ -200,7 +200,7 @@ def piece_uses(docs: DataFrame, path: str, pattern: str) -> dict[int, int]:
         trie.gather(uses)
         yield pa.RecordBatch.from_arrays([pa.array(uses.keys(), pa.int32()), pa.array(uses.values(), pa.int64())], names=["rank", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    counted = shipped(docs).select("text").mapInArrow(run, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n"))
     return {row["rank"]: row["n"] for row in counted.collect()}
 
 
@@ -225,7 +225,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens", "n_pretokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import shared_dir, written
+from codeloom.llm.common import shared_dir, shipped, written
 
 #: Magic number of the skippable frame that the WARC Zstandard convention uses for dictionaries.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -192,7 +192,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, ar
 
     spark = pages.sparkSession
     spark.createDataFrame([], "x int").write.mode("append").parquet(f"{folder}/_made")  # makes the folder where Spark can
-    return written(plan_records(pages, min_revisit).mapInArrow(run, "archive string, records long, payload_bytes long"), "archives")
+    return written(shipped(plan_records(pages, min_revisit)).mapInArrow(run, "archive string, records long, payload_bytes long"), "archives")
 
 
 def read_warc(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
