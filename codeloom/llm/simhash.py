@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import hex64, same, shipped, texts, written
+from codeloom.llm.common import hex64, shipped, texts, written
 from codeloom.llm.components import connected_components
 
 BITS = 64
@@ -237,23 +237,20 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, tile_rows:
 
     component_id is the least doc_id that can be reached over links of at most ``radius`` differing bits, itself
     included. Null and empty texts have fingerprint zero and link like any other. Repeated rows and ties share a
-    fingerprint. A row without doc_id links nothing; it shows the component of its fingerprint, or null.
+    fingerprint. Links join fingerprints, not doc_ids: rows of one doc_id with different texts belong each to the
+    component of their own text, whose least doc_id they show. A row without doc_id links nothing; it shows the component of
+    its fingerprint, or null.
     Further columns are ignored; an empty table gives an empty result.
     """
     own = written(fingerprints(docs, words), "fingerprints")
     distinct = written(own.where("doc_id is not null").groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("id")), "distinct-fingerprints")
-    roots = connected_components(near_links(distinct, radius, tile_rows))
-    by_print = distinct.join(roots, "id", "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "id").alias("component_id"))
+    roots = connected_components(near_links(distinct.select("fp", F.col("fp").alias("id")), radius, tile_rows))
+    grouped = distinct.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_print = grouped.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
     return own.join(by_print, own.fp == by_print.fp_, "left").select("doc_id", "fp", "component_id")
 
 
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's columns: fingerprints of three-word shingles, linked at three or fewer bits."""
     return simhash_groups(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def one_per_group(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, all columns kept; rows without doc_id stay."""
-    groups = simhash_groups(docs, words, radius)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, same(docs["doc_id"], gone["gone_"]), "left_anti")
