@@ -55,4 +55,52 @@ FROM ts LEFT JOIN blocked ON ts.site = blocked.site_
 """
 
 
-ORACLES = {"op4_warc": OP4, "op9_exact_dedup": OP9, "op10_url_filter": _op10()}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM x),
+f AS (SELECT key AS common FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON key = common GROUP BY r
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    step = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte}), lambda c, b: {step}), 4294967295)"
+
+
+OP12 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT DISTINCT c, {_crc32("c::VARCHAR")} % 6 AS h FROM t),
+r AS (SELECT cs.c, 0 AS part, pos, role, text FROM cs JOIN t ON t.c = cs.c - cs.c % 100 AND pos < h UNION ALL SELECT cs.c, 1, pos, role, text FROM cs JOIN t ON t.c = cs.c AND pos >= h),
+s AS (SELECT cs.c, coalesce(list({{'role': role, 'text': text}} ORDER BY part, pos) FILTER (text IS NOT NULL), []) AS turns FROM cs LEFT JOIN r ON r.c = cs.c GROUP BY 1),
+p AS (SELECT c, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth, turns FROM s),
+m AS (SELECT c, length, depth, list_slice(turns, 1, depth) AS prefix, CASE WHEN depth > 0 THEN list_slice(turns, 1, depth - 1) END AS up FROM p),
+n AS (SELECT depth, prefix, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, CASE WHEN depth > 0 THEN (count(*) - 1) * length(any_value(prefix)[-1].text) ELSE 0 END AS saved,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = depth), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, up AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.prefix = k.prefix),
+w AS (SELECT a.depth, a.prefix, sum((b.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens FROM b a JOIN b ON b.depth >= a.depth AND list_slice(b.prefix, 1, a.depth) = a.prefix GROUP BY 1, 2)
+SELECT b.conv_id, b.depth, o.conv_id AS parent_conv_id, b.n_convs, b.n_children, w.n_leaves, w.saved_tokens, b.ends_sha256
+FROM b JOIN w ON b.depth = w.depth AND b.prefix = w.prefix LEFT JOIN n o ON o.depth = b.depth - 1 AND o.prefix = b.up
+"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+x AS (SELECT r, unnest(words) AS word FROM d),
+v AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM x UNION SELECT word FROM q)),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN v USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM q JOIN v USING (word) GROUP BY 1),
+g AS (SELECT v.bucket, floor(1000 * ln((coalesce(any_value(t), 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM x) + 10000.0::DOUBLE) / ((coalesce(any_value(s), 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM q) + 10000.0::DOUBLE))))::BIGINT AS gain FROM v LEFT JOIN s ON s.bucket = v.bucket LEFT JOIN t ON t.bucket = v.bucket GROUP BY 1),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM x JOIN v USING (word) JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS place, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM y LEFT JOIN z USING (r)
+"""
+
+ORACLES = {"op11_line_dedup": OP11, "op12_prefix_trie": OP12, "op13_resample": OP13, "op4_warc": OP4, "op9_exact_dedup": OP9, "op10_url_filter": _op10()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, exact_dedup, langid, pii, secrets, simhash, token_counts, url_filter, warc
+from codeloom.llm import bpe, decontam, exact_dedup, langid, line_dedup, pii, prefix_trie, resample, secrets, simhash, token_counts, url_filter, warc
 from codeloom.llm.common import table
 from codeloom.llm.oracles import ORACLES
 
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": _over(secrets.op8, "documents"),
         "op9_exact_dedup": _over(exact_dedup.op9, "documents"),
         "op10_url_filter": _over(url_filter.op10, "pages", "labels"),
+        "op11_line_dedup": _over(line_dedup.op11, "documents"),
+        "op12_prefix_trie": _over(prefix_trie.op12, "conversations"),
+        "op13_resample": _over(resample.op13, "documents", "benchmark"),
     }
 
 
