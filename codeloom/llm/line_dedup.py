@@ -1,8 +1,8 @@
 """Lines that many documents share: levelled sorted runs of line hashes hold how many documents have each line.
 
-A run is a table of (hash, number of documents), bucketed and sorted by the hash. A batch of documents adds its own run; ``fanout`` runs of a
-level are merged into one of the next level. All runs have the same buckets, so merging them is a union and a sum without a shuffle,
-and what is kept of a batch is an anti-join with the runs.
+A run is a table of (hash, number of documents), bucketed and sorted by the hash. A batch of documents adds its own run; two runs of a
+level are merged into one of the next level. All runs have the same buckets, so merging two of them is a full outer merge join without
+a shuffle, and what is kept of a batch is an anti-join with the runs.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import remove, shared_dir, shipped, written
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Batches in which a whole table is taken in, by the number of the scan's task, and runs of a level that are merged into one.
-BATCHES, FANOUT = 6, 3
+#: Batches in which a whole table is taken in, by the number of the scan's task.
+BATCHES = 4
 #: Hashes that a task holds before it hands them on, 150 bytes each.
 HELD_KEYS = 300_000
 #: Shared lines that are broadcast at most, 16 bytes each: those that make up more than 1 in so many of all (document, line) pairs.
@@ -67,38 +67,44 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 1) -
 
 
 class LineRuns:
-    """The runs by level. They lie in the shared folder; ``close`` removes them."""
+    """The runs by level, at most one on each. They lie in the shared folder; ``close`` removes them."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark, self.levels = spark, []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_dir(spark)}/line-runs-{uuid4().hex}"
 
     def add(self, counts: DataFrame) -> None:
-        """Add a run of (hi, lo, n); hashes may repeat."""
-        self._store(counts, 0)
+        """Add a run of (hi, lo, n); hashes may repeat. A full level hands its run on, merged with the new one."""
+        run, level = self._stored(counts.groupBy("hi", "lo").agg(F.sum("n").alias("n"))), 0
+        while level < len(self.levels) and self.levels[level]:
+            run, self.levels[level], level = self._merged(self.levels[level], run), None, level + 1
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
+
+    def compact(self) -> None:
+        """Merge all runs into one, the smaller ones first."""
+        live = [name for name in self.levels if name]
+        while len(live) > 1:
+            live = [self._merged(live[1], live[0]), *live[2:]]
+        self.levels = [None] * (len(self.levels) - 1) + live
 
-    def _store(self, counts: DataFrame, level: int) -> None:
+    def counts(self) -> DataFrame:
+        """(hi, lo, n), each hash once."""
+        self.compact()
+        live = [name for name in self.levels if name]
+        return self.spark.table(live[0]) if live else self.spark.createDataFrame([], "hi long, lo long, n long")
+
+    def _stored(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid4().hex}"
-        summed = counts.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-        summed.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.folder}/{name}").saveAsTable(name)
-        if len(self.levels) == level:
-            self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) == self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._store(self._rows(full), level + 1)
-            self._drop(full)
-
-    def _rows(self, names: list[str]) -> DataFrame:
-        out = None
-        for name in names:
-            out = self.spark.table(name) if out is None else out.unionByName(self.spark.table(name))
-        return self.spark.createDataFrame([], "hi long, lo long, n long") if out is None else out
+        rows.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
 
-    def counts(self) -> DataFrame:
-        """(hi, lo, n) over all runs: rows with one hash lie in one bucket of each run."""
-        return self._rows([name for level in self.levels for name in level]).groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    def _merged(self, a: str, b: str) -> str:
+        count = lambda side: F.coalesce(side, F.lit(0))
+        name = self._stored(merge_join(self.spark.table(a), self.spark.table(b).withColumnRenamed("n", "m")).select("hi", "lo", (count(F.col("n")) + count(F.col("m"))).alias("n")))
+        self._drop([a, b])
+        return name
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
@@ -106,10 +112,15 @@ class LineRuns:
             remove(self.spark, f"{self.folder}/{name}")
 
     def close(self) -> None:
-        self._drop([name for level in self.levels for name in level])
+        self._drop([name for name in self.levels if name])
         self.levels = []
 
 
+def merge_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What two runs of equal buckets hold, bucket by bucket."""
+    return a.join(b.hint("merge"), ["hi", "lo"], "full")
+
+
 def clean(docs: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, text without lines that ``min_docs`` documents of the runs have, n_lines, n_dropped).
 
@@ -118,8 +129,8 @@ def clean(docs: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS, min_chars:
     hashes with the runs, by the hash of the text, and texts then meet their lines. Without such other lines texts do not move.
     """
     spark = docs.sparkSession
-    frequent = written(runs.counts().groupBy().agg(F.sum("n").alias("total")), "line-totals").first()["total"] or 0
-    least = max(min_docs, -(-frequent // broadcast_keys))
+    total = runs.counts().agg(F.sum("n")).first()[0] or 0
+    least = max(min_docs, -(-total // broadcast_keys))
     hot = runs.counts().where(F.col("n") >= least).select("hi", "lo").toArrow()
     packed = np.stack([hot.column(k).to_numpy() for k in (0, 1)], axis=1).astype("<i8").tobytes()
     common = spark.sparkContext.broadcast(packed)
@@ -170,7 +181,7 @@ def take_batch(docs: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS, min_ch
     return clean(docs, runs, min_docs, min_chars)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     r"""(doc_id, text, ...) -> (doc_id, text, n_lines, n_dropped): lines of a key that ``min_docs`` rows have are dropped from every row.
 
     Lines end at \n; a line's key is the line stripped of ASCII white space with A-Z in lower case; keys of fewer than ``min_chars`` code points
@@ -178,7 +189,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     rows without doc_id too. Other lines stay as they are, joined by \n. An empty table gives an empty result; further columns are ignored.
     """
     counts = written(line_counts(docs, min_chars, batches), "line-counts")
-    runs = LineRuns(docs.sparkSession, fanout)
+    runs = LineRuns(docs.sparkSession)
     for row in counts.select("batch").distinct().orderBy("batch").collect():  # as many rows as batches
         runs.add(counts.where(F.col("batch") == row["batch"]).drop("batch"))
     return clean(docs, runs, min_docs, min_chars, broadcast_keys)

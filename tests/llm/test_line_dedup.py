@@ -61,19 +61,22 @@ def test_lines_of_ten_documents_go(spark, rows):
 
 def test_lines_beyond_the_broadcast_are_found_by_a_merge_join(spark, rows):
     docs = frame(spark, rows)
-    out = line_dedup.drop_common_lines(docs, min_docs=4, min_chars=3, batches=4, fanout=2, broadcast_keys=20)
+    out = line_dedup.drop_common_lines(docs, min_docs=4, min_chars=3, batches=4, broadcast_keys=20)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert result(out) == plain(rows, 4, 3)
 
 
 def test_runs_are_merged_by_level_without_a_shuffle(spark, rows):
-    runs = line_dedup.LineRuns(spark, fanout=3, buckets=4)
+    runs = line_dedup.LineRuns(spark, buckets=4)
     for k in range(11):
         runs.add(line_dedup.line_counts(frame(spark, rows[k::11], 2)).drop("batch"))
-    assert [len(x) for x in runs.levels] == [2, 0, 1] or [len(x) for x in runs.levels] == [2, 0, 1][: len(runs.levels)]
+    assert [name is not None for name in runs.levels] == [True, True, False, True]  # 11 batches: 1 + 2 + 8
+    low, high = (spark.table(name) for name in runs.levels[:2])
+    plan = line_dedup.merge_join(high, low.withColumnRenamed("n", "m"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     counts = runs.counts()
-    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert [name is not None for name in runs.levels] == [False, False, False, True]
     expected = Counter()
     for _, text in rows:
         expected.update({key(x) for x in (text or "").split("\n")} - {""})
@@ -83,7 +86,7 @@ def test_runs_are_merged_by_level_without_a_shuffle(spark, rows):
 
 
 def test_batches_one_after_the_other(spark, rows):
-    runs, known = line_dedup.LineRuns(spark, fanout=2, buckets=4), Counter()
+    runs, known = line_dedup.LineRuns(spark, buckets=4), Counter()
     for part in (rows[:90], rows[90:170], rows[170:]):
         assert result(line_dedup.take_batch(frame(spark, part), runs)) == plain(part, 10, known=known)
         for _, text in part:

@@ -1,6 +1,7 @@
 """The trie of conversations against a plain one: families, shared prefixes, long conversations, full sketches, odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -20,7 +21,7 @@ def plain(rows):
     members, ends = defaultdict(set), defaultdict(list)
     for c in own:
         h = zlib.crc32(str(c).encode()) % 6
-        turns = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+        turns = tuple(own.get(c - int(math.fmod(c, 100)), [])[:h] + own[c][h:])
         for d in range(len(turns) + 1):
             members[turns[:d]].add(c)
         ends[turns].append(c)
