@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Existing paths (entry, is_dir), or a function that gives those of some entries (entry).
+Listing = DataFrame | Callable[[DataFrame], DataFrame]
+
 
 def dirname(path: Column) -> Column:
     return F.when(path.rlike("^/[^/]*$"), "/").otherwise(F.regexp_replace(path, "/[^/]*$", ""))
@@ -78,19 +82,15 @@ def project_roots(folders: DataFrame, roots: DataFrame) -> DataFrame:
     return above.join(roots.select("root").distinct(), "root").groupBy("dir_").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def resolve_imports(imports: DataFrame, listing: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Imports (from_file, specifier), listing (entry, is_dir), aliases (base_dir, ord, pattern, replacement[, root]) -> adds target.
+def import_tries(imports: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Imports (from_file, specifier) -> of relative specifiers (dir_, spec_, raw_, tries_), of aliased ones the same with root and dir_.
 
-    A relative specifier is joined to the importing folder; if that does not exist, sources of a mapped extension are tried, else it stays as
-    it is and dangles. Another specifier takes the first alias in order that fits, of the project whose ``root`` (else ``base_dir``) is the
-    nearest at or above the importing folder; its replacement is probed for extensions and index files. Without an alias it is an external
-    module. Distinct (folder, specifier) and (project, specifier) pairs are resolved once; all joins have keys.
+    tries_ are the paths that may stand for the specifier, in order; raw_ is the first of them.
     """
     asked = imports.select(dirname(F.col("from_file")).alias("dir_"), F.col("specifier").alias("spec_")).distinct()
     relative = asked.where(F.col("spec_").startswith(".")).withColumn("raw_", normalize_path(F.col("dir_"), F.col("spec_")))
     swaps = [F.when(F.col("raw_").endswith(old), F.array(*(F.concat(F.expr(f"left(raw_, length(raw_) - {len(old)})"), F.lit(new)) for new in news))) for old, news in REMAPPED]
-    tries = F.concat(F.array("raw_"), F.coalesce(*swaps, F.array().cast("array<string>")))
-    near = _first_existing(relative.withColumn("tries_", tries), listing)
+    near = relative.withColumn("tries_", F.concat(F.array("raw_"), F.coalesce(*swaps, F.array().cast("array<string>"))))
 
     root = F.col("root") if "root" in aliases.columns else F.col("base_dir")
     rules = aliases.where("replacement is not null").select(normalize_path(F.lit("/"), root).alias("root"), "base_dir", "ord", "pattern", "replacement")
@@ -107,20 +107,42 @@ def resolve_imports(imports: DataFrame, listing: DataFrame, aliases: DataFrame)
     rest = F.expr("substring(spec_, length(pattern), length(spec_))")
     hit = offers.join(keyed, ["root", "key_", "star_"]).withColumn("to_", F.when(F.col("star_"), F.concat_ws("/", normalize_path(F.col("base_dir"), base), rest)).otherwise(normalize_path(F.col("base_dir"), F.col("replacement"))))
     first = hit.groupBy("root", "spec_").agg(F.min_by("to_", "ord").alias("to_")).select("root", "spec_", normalize_path(F.lit("/"), F.col("to_")).alias("raw_"))
-    inside = F.array(*(F.concat("raw_", F.lit(x)) for x in PROBED))
-    aliased = _first_existing(first.withColumn("tries_", F.concat(F.array("raw_"), inside)), listing, folders=True)
-    by_dir = named.join(projects, "dir_").join(aliased, ["root", "spec_"]).select("dir_", "spec_", "found_")
+    aliased = first.withColumn("tries_", F.concat(F.array("raw_"), F.array(*(F.concat("raw_", F.lit(x)) for x in PROBED))))
+    return near, named.join(projects, "dir_").join(aliased, ["root", "spec_"])
+
+
+def import_probes(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Imports (from_file, specifier) -> (candidate, rank, importer, specifier): every path whose coming or going may change where an import leads."""
+    near, aliased = import_tries(imports, aliases)
+    columns = ["dir_", "spec_", F.posexplode("tries_").alias("rank", "candidate")]
+    tries = near.select(*columns).unionByName(aliased.select(*columns))
+    keyed = imports.select(F.col("from_file").alias("importer"), "specifier", dirname(F.col("from_file")).alias("dir_"), F.col("specifier").alias("spec_")).distinct()
+    return keyed.join(tries, ["dir_", "spec_"]).select("candidate", "rank", "importer", "specifier")
 
-    found = near.select("dir_", "spec_", "found_").unionByName(by_dir)
+
+def resolve_imports(imports: DataFrame, listing: Listing, aliases: DataFrame) -> DataFrame:
+    """Imports (from_file, specifier), listing (entry, is_dir), aliases (base_dir, ord, pattern, replacement[, root]) -> adds target.
+
+    A relative specifier is joined to the importing folder; if that does not exist, sources of a mapped extension are tried, else it stays as
+    it is and dangles. Another specifier takes the first alias in order that fits, of the project whose ``root`` (else ``base_dir``) is the
+    nearest at or above the importing folder; its replacement is probed for extensions and index files. Without an alias it is an external
+    module. Distinct (folder, specifier) and (project, specifier) pairs are resolved once; all joins have keys. ``listing`` may be a function
+    that finds entries (entry) in a larger listing.
+    """
+    near, aliased = import_tries(imports, aliases)
+    once = _first_existing(aliased.drop("dir_").dropDuplicates(["root", "spec_"]), listing, folders=True)
+    by_dir = aliased.select("dir_", "root", "spec_").join(once.select("root", "spec_", "found_"), ["root", "spec_"])
+    found = _first_existing(near, listing).select("dir_", "spec_", "found_").unionByName(by_dir.select("dir_", "spec_", "found_"))
     out = imports.withColumn("dir_", dirname(F.col("from_file"))).withColumn("spec_", F.col("specifier")).join(found, ["dir_", "spec_"], "left")
     return out.withColumn("target", F.coalesce("found_", "specifier")).drop("dir_", "spec_", "found_")
 
 
-def _first_existing(rows: DataFrame, listing: DataFrame, folders: bool = False) -> DataFrame:
+def _first_existing(rows: DataFrame, listing: Listing, folders: bool = False) -> DataFrame:
     """Adds found_: the first of tries_ that is listed, else raw_. With ``folders`` a folder counts through its index file only."""
     keys = [c for c in rows.columns if c not in ("tries_",)]
     each = rows.select(*keys, F.posexplode("tries_").alias("rank_", "try_"))
-    hits = each.join(listing, F.col("try_") == F.col("entry"))
+    there = listing(each.select(F.col("try_").alias("entry")).distinct()) if callable(listing) else listing
+    hits = each.join(there, F.col("try_") == F.col("entry"))
     if folders:
         # existing folder: its index files come before the extensions, as the folder itself exists
         is_dir = F.max(F.when(F.col("rank_") == 0, F.col("is_dir"))).alias("dir0_")

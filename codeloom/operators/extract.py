@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import resolve_imports, stem
+from codeloom.functions.paths import Listing, resolve_imports, stem
 from codeloom.operators.facts import scan_facts
 from codeloom.schema import EDGE_COLUMNS, NODE_COLUMNS, node_id
 from codeloom.sources.tables import written
@@ -36,7 +39,7 @@ def extract_nodes(facts: DataFrame) -> DataFrame:
     return first.select("id", *(F.col(f"r.{c}") for c in NODE_COLUMNS if c != "id"), "r.ord")
 
 
-def import_targets(facts: DataFrame, listing: DataFrame, aliases: DataFrame) -> DataFrame:
+def import_targets(facts: DataFrame, listing: Listing, aliases: DataFrame) -> DataFrame:
     """(path, specifier, target) of every specifier that a file names."""
     named = facts.where("specifier is not null and fact in ('import', 'export_from', 'bind')").select(F.col("path").alias("from_file"), "specifier").distinct()
     return resolve_imports(named, listing, aliases).select(F.col("from_file").alias("path"), "specifier", "target")
@@ -118,7 +121,32 @@ def written_facts(files: DataFrame) -> DataFrame:
     return written(scan_facts(files), "facts")
 
 
-def parse_corpus(files: DataFrame, listing: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sources (path, content) -> nodes (with ord), edges, errors (path). Facts are written once: the scan of texts is the costly step."""
-    facts = written_facts(files)
-    return extract_nodes(facts), extract_edges(facts, import_targets(facts, listing, aliases)), facts.where("fact = 'error'").select("path")
+class Parsed:
+    """What sources hold: nodes (with ord), edges, errors (path) and imports (path, specifier, target), each made when it is asked for, from facts that are written once."""
+
+    def __init__(self, facts: DataFrame, listing: Listing, aliases: DataFrame):
+        self.facts, self._listing, self._aliases = facts, listing, aliases
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.nodes, self.edges, self.errors))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return extract_nodes(self.facts)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return written(import_targets(self.facts, self._listing, self._aliases), "imports")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return extract_edges(self.facts, self.imports)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return self.facts.where("fact = 'error'").select("path")
+
+
+def parse_corpus(files: DataFrame, listing: Listing, aliases: DataFrame) -> Parsed:
+    """Sources (path, content) -> their nodes, edges, errors and imports. Facts are written once: the scan of texts is the costly step."""
+    return Parsed(written_facts(files), listing, aliases)

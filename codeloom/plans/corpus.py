@@ -61,17 +61,17 @@ def surroundings(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Data
     return listing_with_dirs(files), aliases
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parsed(spark: SparkSession, sf_dir: str) -> extract.Parsed:
     files = corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir))
     return extract.parse_corpus(files, *surroundings(spark, files))
 
 
 def extract_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir)[0].drop("ord")
+    return parsed(spark, sf_dir).nodes.drop("ord")
 
 
 def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir)[1]
+    return parsed(spark, sf_dir).edges
 
 
 def edges_of(kind: str):
@@ -85,7 +85,7 @@ def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir)[2]
+    return parsed(spark, sf_dir).errors
 
 
 def index_project(spark: SparkSession, sf_dir: str) -> DataFrame:

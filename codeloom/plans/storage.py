@@ -7,7 +7,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import listing_with_dirs
 from codeloom.operators import extract, incremental, overview, store
 from codeloom.plans.corpus import corpus, surroundings
 from codeloom.schema import META, empty_graph
@@ -103,15 +102,24 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item, key) of the files, and their imports, in the graph once the change stream has taken in the events table; each file imports the next one."""
+    """(item, key) of the files, and their imports, in the graph once the change stream has taken in the events table, a third of its time after the other.
+
+    Each file imports the next one, whose coming and going in later batches moves the import.
+    """
     folder = f"{tables.work_dir(spark)}/stream-{uuid4().hex}"
-    tables.save_graph(empty_graph(spark), f"{folder}/graph")
-    raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream takes one file by a pattern only
-    aliases = spark.createDataFrame([], "root string, base_dir string, ord int, pattern string, replacement string")
+    tables.save_graph(empty_graph(spark), f"{folder}/graph", 8)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    part = F.least(F.lit(2), F.floor(3 * (F.unix_micros("ts") - F.unix_micros("first")) / (F.unix_micros("last") - F.unix_micros("first") + 1)))
+    dated = events.withColumn("ts", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(ends.select(*(F.col(c).cast("timestamp").alias(c) for c in ends.columns)))).withColumn("part", part)
     number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
     content = F.concat(F.lit("import './u_"), (number + 1).cast("string"), F.lit(".js';\nexport const of = '"), "path", F.lit("';"))
-    query = changes.run_change_stream(spark, change_events(spark, sf_dir, raw), f"{folder}/graph", f"{folder}/check", lambda df: df.withColumn("content", content), lambda df, there: extract.parse_corpus(df, listing_with_dirs(there), aliases), "1", GAP, DELAY)
-    query.awaitTermination()
+    aliases = spark.createDataFrame([], "root string, base_dir string, ord int, pattern string, replacement string")
+    for k in range(3):
+        dated.where(F.col("part") == k).select(*events.columns).write.mode("append").parquet(f"{folder}/events")
+        raw = spark.readStream.schema(dated.select(*events.columns).schema).parquet(f"{folder}/events")
+        query = changes.run_change_stream(spark, change_events(spark, sf_dir, raw), f"{folder}/graph", f"{folder}/check", lambda df: df.withColumn("content", content), lambda df, listing: extract.parse_corpus(df, listing, aliases), "1", GAP, DELAY)
+        query.awaitTermination()
     g = tables.load_graph(spark, f"{folder}/graph")
     imports = g.edges.where("relationship_type = 'IMPORTS'").join(g.nodes, F.col("source_id") == F.col("id"))
     return _items(files=g.files.select(F.concat_ws(" ", "path", "content_hash")), imports=imports.select(F.concat_ws(" ", "file_path", "target_id")))

@@ -9,11 +9,13 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.schema import META, SCHEMAS, Graph, empty_graph
+from codeloom.schema import INDEX_SCHEMAS, META, SCHEMAS, Graph, ImportIndex, empty_graph
+from codeloom.sources.commits import Head, commit, head
 
 #: Buckets of files in a folder of snapshots, unless its first snapshot is given another number; of them, a change rewrites those of its files.
 BUCKETS = 64
-POINTERS = "serial long, name string, n_buckets int, full boolean, buckets array<int>"
+#: The path that decides about the bucket of a row of the index.
+INDEX_KEYS = {"imports": "path", "listing": "entry", "probes": "candidate"}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -46,90 +48,87 @@ def _bucketed(graph: Graph, n: int) -> dict[str, DataFrame]:
     return {"files": graph.files.withColumn("bucket", bucket_of(F.col("path"), n)), "nodes": nodes, "edges": edges.withColumn("bucket", F.coalesce("bucket", bucket_of(F.col("source_id"), n)))}
 
 
-def _write(graph: Graph, folder: str, n: int, only: list[int] | None) -> str:
-    """Writes the tables, or the buckets ``only`` of them, to a new folder, then appends the pointer that makes these rows count."""
-    spark = graph.meta.sparkSession
-    name = f"snapshot-{uuid4().hex}"
-    for kind, rows in _bucketed(graph, n).items():
-        mine = rows if only is None else rows.where(F.col("bucket").isin(*only))
-        mine.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}/{kind}")
-    graph.meta.write.parquet(f"{folder}/{name}/meta")
-    pointers = _pointers(spark, folder)
-    serial = pointers.agg(F.max("serial")).first()[0] if pointers is not None else None
-    row = ((serial or 0) + 1, name, n, only is None, list(range(n)) if only is None else sorted(only))
-    spark.createDataFrame([row], POINTERS).coalesce(1).write.mode("append").json(f"{folder}/pointers")
-    return name
-
-
-def save_graph(graph: Graph, folder: str, n_buckets: int = BUCKETS) -> str:
-    """Write a whole new snapshot beside the older ones, then append its pointer; readers see the old snapshot until then."""
-    return _write(graph, folder, n_buckets, None)
-
+def _written(rows: DataFrame, folder: str, name: str, table: str, only: list[int] | None) -> None:
+    mine = rows if only is None else rows.where(F.col("bucket").isin(*only))
+    mine.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}/{table}")
 
-def save_buckets(graph: Graph, folder: str, buckets: list[int]) -> str:
-    """Write these buckets of files, and meta, anew; all others stay as they are. ``graph`` holds every row of the buckets."""
-    live = _live(graph.meta.sparkSession, folder)
-    return _write(graph, folder, live[0], buckets)
 
+def _with_index(index: ImportIndex, n: int) -> dict[str, DataFrame]:
+    return {table: getattr(index, table).withColumn("bucket", bucket_of(F.col(key), n)) for table, key in INDEX_KEYS.items()}
 
-def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema(POINTERS).json(f"{folder}/pointers")
 
+def save_graph(graph: Graph, folder: str, n_buckets: int = BUCKETS, index: ImportIndex | None = None, base: Head | None = None) -> Head:
+    """Write a whole new snapshot beside the older ones, then commit it; readers see the old snapshot until then.
 
-def _live(spark: SparkSession, folder: str) -> tuple[int, dict[str, list[int]], str] | None:
-    """(number of buckets, the buckets that count by snapshot, the latest snapshot): as many rows as buckets."""
-    pointers = _pointers(spark, folder)
-    if pointers is None:
-        return None
-    last = pointers.agg(F.max_by("name", "serial"), F.max_by("n_buckets", "serial"), F.max(F.when(F.col("full"), F.col("serial")))).first()
-    rows = pointers.where(F.col("serial") >= last[2]).select("serial", "name", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max_by("name", "serial").alias("name"))
-    names: dict[str, list[int]] = {}
-    for row in rows.orderBy("bucket").collect():
-        names.setdefault(row["name"], []).append(row["bucket"])
-    return last[1], names, last[0]
+    With ``base``, the entry that the graph was loaded from, any commit since then is a Conflict; without, the snapshot counts whatever was there.
+    """
+    spark, name = graph.meta.sparkSession, f"snapshot-{uuid4().hex}"
+    parts = _bucketed(graph, n_buckets) | (_with_index(index, n_buckets) if index else {})
+    for table, rows in parts.items():
+        _written(rows, folder, name, table, None)
+    graph.meta.write.parquet(f"{folder}/{name}/meta")
+    return commit(spark, folder, name, {table: list(range(n_buckets)) for table in parts} | {"meta": [0]}, base, n_buckets)
+
+
+def save_buckets(graph: Graph, folder: str, buckets: list[int], index: dict[str, tuple[DataFrame, list[int]]] | None = None, base: Head | None = None) -> Head:
+    """Write these buckets of files anew, and meta if it has changed; all others stay as they are. ``graph`` holds every row of the buckets.
+
+    ``index``: of tables of the import index, the rows of some buckets and these buckets. ``base`` is the entry that all this was read from (the last
+    one by default); if a later one wrote a bucket of these, it is a Conflict.
+    """
+    spark, name = graph.meta.sparkSession, f"snapshot-{uuid4().hex}"
+    base = base or head(spark, folder)
+    wrote = {}
+    for table, rows in _bucketed(graph, base.n_buckets).items():
+        _written(rows, folder, name, table, buckets)
+        wrote[table] = sorted(buckets)
+    for table, (rows, own) in (index or {}).items():
+        if own:
+            _written(rows.withColumn("bucket", bucket_of(F.col(INDEX_KEYS[table]), base.n_buckets)), folder, name, table, own)
+            wrote[table] = sorted(own)
+    old = load_table(spark, folder, "meta", at=base)
+    if sorted(map(tuple, old.collect())) != sorted(map(tuple, graph.meta.collect())):  # a few rows
+        graph.meta.write.parquet(f"{folder}/{name}/meta")
+        wrote["meta"] = [0]
+    return commit(spark, folder, name, wrote, base)
+
+
+def load_table(spark: SparkSession, folder: str, table: str, buckets: list[int] | None = None, at: Head | None = None) -> DataFrame:
+    """The latest rows of a table, or of these buckets of it."""
+    at, schema = at or head(spark, folder), (SCHEMAS | INDEX_SCHEMAS)[table]
+    rows = spark.createDataFrame([], schema)
+    for name, own in (at.buckets(table) if at else {}).items():
+        if table == "meta":
+            return spark.read.schema(schema).parquet(f"{folder}/{name}/meta")
+        mine = [b for b in own if buckets is None or b in buckets]
+        if mine:
+            part = spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}/{table}")
+            rows = rows.unionByName(part.where(F.col("bucket").isin(*mine)).drop("bucket"))
+    return rows
+
+
+def load_graph(spark: SparkSession, folder: str, buckets: list[int] | None = None, at: Head | None = None) -> Graph:
+    """The latest rows of every bucket, or of these buckets only; an empty graph where there is no snapshot."""
+    at = at or head(spark, folder)
+    return Graph(**{table: load_table(spark, folder, table, buckets, at) for table in SCHEMAS}) if at else empty_graph(spark)
 
 
-def load_graph(spark: SparkSession, folder: str, buckets: list[int] | None = None) -> Graph:
-    """The latest rows of every bucket, or of these buckets only; an empty graph where there is no snapshot."""
-    live = _live(spark, folder)
-    if live is None:
-        return empty_graph(spark)
-    _, names, last = live
-    tables = {"meta": spark.read.schema(META).parquet(f"{folder}/{last}/meta")}
-    for kind, schema in SCHEMAS.items():
-        if kind == "meta":
-            continue
-        rows = spark.createDataFrame([], schema)
-        for name, own in names.items():
-            mine = [b for b in own if buckets is None or b in buckets]
-            if mine:
-                part = spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}/{kind}")
-                rows = rows.unionByName(part.where(F.col("bucket").isin(*mine)).drop("bucket"))
-        tables[kind] = rows
-    return Graph(**tables)
-
-
-def buckets_of(paths: DataFrame, folder: str) -> list[int]:
-    """The buckets of files (path) in a folder that has a snapshot: no more than it has buckets."""
-    n = _live(paths.sparkSession, folder)[0]
+def buckets_of(paths: DataFrame, folder: str, at: Head | None = None) -> list[int]:
+    """The buckets of paths (path) in a folder that has a snapshot: no more than it has buckets."""
+    n = (at or head(paths.sparkSession, folder)).n_buckets
     return [r[0] for r in paths.select(bucket_of(F.col("path"), n).alias("bucket")).distinct().orderBy("bucket").collect()]
 
 
 def prune_snapshots(spark: SparkSession, folder: str) -> int:
-    """Remove the snapshots of which no bucket counts any more, and say how many; for when no reader of an older snapshot is left."""
-    live = _live(spark, folder)
-    if live is None:
+    """Remove the snapshots of which no bucket counts any more, and say how many; for when no reader or writer from an older entry is left."""
+    last = head(spark, folder)
+    if last is None:
         return 0
-    kept = set(live[1]) | {live[2]}
-    gone = [r["name"] for r in _pointers(spark, folder).select("name").distinct().collect() if r["name"] not in kept]
-    removed = 0
-    for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return removed
+    kept = {name for names in last.live.values() for name in names}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [x.getPath() for x in system.listStatus(path) if x.getPath().getName().startswith("snapshot-") and x.getPath().getName() not in kept]
+    return sum(system.delete(x, True) for x in gone)
 
 
 def upsert_meta(meta: DataFrame, values: dict[str, object]) -> DataFrame:

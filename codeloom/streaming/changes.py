@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.functions.paths import import_probes
+from codeloom.operators.import_index import came_or_went, counted_listing, listing_after, retargeted, tried_imports
 from codeloom.operators.incremental import VERSION_KEY, index_project
 from codeloom.operators.neighbors import importers_of
 from codeloom.operators.store import clear_graph, delete_files
-from codeloom.schema import Graph
-from codeloom.sources.tables import buckets_of, get_meta, load_graph, save_buckets, save_graph, written
+from codeloom.schema import INDEX_SCHEMAS, Graph, ImportIndex
+from codeloom.sources.commits import Head, transact
+from codeloom.sources.tables import BUCKETS, buckets_of, get_meta, load_graph, load_table, save_buckets, save_graph, written
 
 RIPPLE_CAP = 20
 
@@ -60,36 +63,88 @@ def apply_changes(graph: Graph, batch: DataFrame, extract: Callable, version: st
 
     Unlinked files go with their rows; others are indexed if their hash differs, and those of ``force`` whatever their hash.
     """
+    return _applied(graph, batch, extract, version, now_ms)[0]
+
+
+def _applied(graph: Graph, batch: DataFrame, extract: Callable, version: str, now_ms: int) -> tuple[Graph, DataFrame]:
     graph = delete_files(graph, batch.where("op = 'unlink'").select("path"))
     force = F.coalesce("force", F.lit(False)) if "force" in batch.columns else F.lit(False)
     scan = batch.where("op <> 'unlink'").select("path", "content", F.col("content").isNull().alias("error"), force.alias("force"))
-    return index_project(graph, scan, extract, version, now_ms)[0]
+    return index_project(graph, scan, extract, version, now_ms)
 
 
-def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", **trigger) -> StreamingQuery:
-    """Debounced events re-index the graph in ``graph_dir``: each batch writes the buckets of its files; a restart resumes from ``checkpoint``.
+def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", aliases: DataFrame | None = None, **trigger) -> StreamingQuery:
+    """Debounced events re-index the graph in ``graph_dir``: each batch reads and writes the buckets that it concerns; a restart resumes from ``checkpoint``.
 
-    ``read_content``: (path, op, force) -> adds content. ``extract``: (sources, files) -> nodes, edges, errors, where files (path) are those
-    that are there after the batch. Importers of changed files, up to the cap, are extracted again though their own text is the same, so
-    that their imports are resolved against these files. Of the rest of the graph only paths and imports are read. A graph of another parser
-    version is cleared first.
+    ``read_content``: (path, op, force) -> adds content. ``extract``: (sources, listing) -> nodes, edges, errors and imports, as ``parse_corpus``
+    gives them; the listing finds the paths that are there after the batch. Files whose imports lead elsewhere since a target came or went are extracted
+    again though their own text is the same, however many they are; ``aliases`` are those that ``extract`` uses. A graph of another
+    parser version is cleared first. A batch whose buckets another writer has committed meanwhile starts anew.
     """
+    rules = spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string") if aliases is None else aliases
 
     def step(batch: DataFrame, epoch: int) -> None:
-        own = batch.groupBy("path").agg(F.max_by("op", "last_ts").alias("op"), F.max("last_ts").alias("last_ts"))
-        if own.isEmpty():
-            return
-        graph = load_graph(spark, graph_dir)
-        if get_meta(graph.meta, VERSION_KEY) != version:
-            save_graph(clear_graph(graph), graph_dir)
-            graph = load_graph(spark, graph_dir)
-        changed = own.where("op <> 'unlink'").select("path")
-        more = ripple_targets(graph, changed).select(F.col("importer").alias("path")).join(own, "path", "left_anti").select("path", F.lit("change").alias("op"), F.lit(True).alias("force"))
-        now = own.agg(F.unix_millis(F.max("last_ts"))).first()[0]
-        there = graph.files.select("path").join(own, "path", "left_anti").unionByName(changed).distinct()
-        asked = written(own.select("path", "op", F.lit(False).alias("force")).unionByName(more), "changes")
-        touched = buckets_of(asked, graph_dir)
-        after = apply_changes(load_graph(spark, graph_dir, touched), read_content(asked), lambda sources: extract(sources, there), version, now)
-        save_buckets(after, graph_dir, touched)
+        own = written(batch.groupBy("path").agg(F.max_by("op", "last_ts").alias("op"), F.max("last_ts").alias("last_ts")), "batch")
+        now_ms = own.agg(F.unix_millis(F.max("last_ts"))).first()[0]
+        if now_ms is not None:
+            transact(spark, graph_dir, lambda at: take_in(spark, own.select("path", "op"), graph_dir, read_content, extract, version, rules, now_ms, at))
 
     return debounce(events, gap, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def take_in(spark: SparkSession, own: DataFrame, graph_dir: str, read_content: Callable, extract: Callable, version: str, aliases: DataFrame, now_ms: int, at: Head | None) -> Head:
+    """One batch (path, op), a row per path, on the graph as of entry ``at``; see ``run_change_stream``."""
+    nothing = {table: spark.createDataFrame([], schema) for table, schema in INDEX_SCHEMAS.items()}
+    if at is None or get_meta(load_table(spark, graph_dir, "meta", at=at), VERSION_KEY) != version:
+        graph = load_graph(spark, graph_dir, at=at)
+        at = save_graph(clear_graph(graph), graph_dir, at.n_buckets if at else BUCKETS, ImportIndex(**nothing), at)
+    if not at.buckets("listing"):
+        raise ValueError("a graph that is changed by a stream is saved with its index of imports (built_index)")
+    stored = lambda table, buckets: load_table(spark, graph_dir, table, buckets, at)
+    where = lambda paths, column: buckets_of(paths.select(F.col(column).alias("path")), graph_dir, at)
+
+    # paths that come and go, and the folders above them
+    known = stored("listing", where(own, "path")).where("not is_dir").select(F.col("entry").alias("path"))
+    came = own.where("op <> 'unlink'").join(known, "path", "left_anti")
+    went = own.where("op = 'unlink'").join(known, "path", "left_semi")
+    counts = written(counted_listing(came).unionByName(counted_listing(went, -1)), "listing-changes")
+    listed = where(counts, "entry")
+    before = stored("listing", listed)
+    moved = written(came_or_went(before, counts), "came-or-went")
+
+    def listing(entries: DataFrame) -> DataFrame:
+        return listing_after(stored("listing", where(entries, "entry")), counts).select("entry", "is_dir")
+
+    # imports that try these paths, and of them those that lead elsewhere now
+    asked = own.withColumn("force", F.lit(False))
+    if probed := where(moved, "entry"):
+        tried = written(tried_imports(stored("probes", probed), moved), "tried")
+        if importers := where(tried, "path"):
+            forced = retargeted(tried, stored("imports", importers), listing, aliases).withColumn("force", F.lit(True))
+            both = own.join(forced, "path", "full")
+            asked = written(both.select("path", F.coalesce("op", F.lit("change")).alias("op"), F.coalesce("force", F.lit(False)).alias("force")), "changes")
+    touched = where(asked, "path")
+    parsed: list = []
+
+    def run(sources: DataFrame):
+        parsed.append(extract(sources, listing))
+        return parsed[-1]
+
+    after, statuses = _applied(load_graph(spark, graph_dir, touched, at), read_content(asked), run, version, now_ms)
+
+    # the index of the files that were extracted or are gone
+    updated = statuses.where("status = 'updated'").select("path")
+    anew = written(updated.unionByName(asked.where("op = 'unlink'").select("path")).distinct(), "replaced")
+    old = stored("imports", touched)
+    new = written(parsed[0].imports.join(updated, "path", "left_semi").select("path", "specifier", "target").distinct(), "new-imports")
+    lost = old.join(anew, "path", "left_semi").join(new, ["path", "specifier"], "left_anti")
+    found = new.join(old, ["path", "specifier"], "left_anti")
+    tries = lambda rows: import_probes(rows.select(F.col("path").alias("from_file"), "specifier"), aliases)
+    changed = written(tries(lost).withColumn("lost", F.lit(True)).unionByName(tries(found).withColumn("lost", F.lit(False))), "probe-changes")
+    probed, less, more = where(changed, "candidate"), changed.where("lost"), changed.where("not lost").drop("lost")
+    index = {
+        "imports": (old.join(anew, "path", "left_anti").unionByName(new), touched),
+        "listing": (listing_after(before, counts), listed),
+        "probes": (stored("probes", probed).join(less, ["candidate", "importer", "specifier"], "left_anti").unionByName(more), probed),
+    }
+    return save_buckets(after, graph_dir, touched, index, at)

@@ -211,7 +211,7 @@ def test_change_stream_re_indexes(spark, tmp_path):
     rows = [("/s/a.ts", "add", "2024-01-01 00:00:00", 1), ("/s/b.ts", "add", "2024-01-01 00:00:01", 2), ("/z.ts", "unlink", "2025-01-01 00:00:00", 9)]
     spark.createDataFrame(rows, "path string, op string, t string, event_id long").selectExpr("path", "op", "cast(t as timestamp) event_ts", "event_id").write.parquet(f"{tmp_path}/events")
     aliases = spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string")
-    run = lambda df, there: extract.parse_corpus(df, paths.listing_with_dirs(there), aliases)
+    run = lambda df, listing: extract.parse_corpus(df, listing, aliases)
     for _ in range(2):
         events = spark.readStream.schema("path string, op string, event_ts timestamp, event_id long").parquet(f"{tmp_path}/events")
         q = changes.run_change_stream(spark, events, folder, f"{tmp_path}/check", lambda df: df.join(texts, "path", "left"), run, "1", "10 seconds")
