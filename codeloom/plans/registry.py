@@ -211,30 +211,58 @@ def importers_of(g: Graph) -> DataFrame:
 
 # --- traversals ----------------------------------------------------------------------------------------------
 
-WALK = PRELUDE.replace("WITH", "WITH RECURSIVE", 1) + """, seeds AS (SELECT id AS seed_id FROM pa WHERE k % 100 = 0 UNION ALL SELECT id FROM su WHERE k % 100 = 0),
+RECURSIVE = PRELUDE.replace("WITH", "WITH RECURSIVE", 1)
+KEYS = "SELECT id, k FROM pa UNION ALL SELECT id, k FROM su UNION ALL SELECT id, k FROM cu UNION ALL SELECT id, k FROM od UNION ALL SELECT id, k FROM na"
+#: Shortest ways over distinct pairs of ends: no path is kept, as the least length of a walk is that of a simple path.
+REACH = """, e AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM {edges} WHERE source_id <> target_id),
+reach(seed_id, id, depth) AS (SELECT seed_id, seed_id, 0 FROM seeds UNION SELECT seed_id, source_id, depth + 1 FROM reach JOIN e ON target_id = id WHERE depth < {depth})
+SELECT seed_id, {nodes}, min(depth) AS depth FROM reach w JOIN nodes n ON n.id = w.id WHERE w.id <> seed_id GROUP BY ALL"""
+ALL_KINDS = RECURSIVE + f", seeds AS (SELECT id AS seed_id FROM ({KEYS}) WHERE k % 100 = 0)"
+WALK = RECURSIVE + """, seeds AS (SELECT id AS seed_id FROM pa WHERE k % 100 = 0 UNION ALL SELECT id FROM su WHERE k % 100 = 0),
 e AS MATERIALIZED (SELECT * FROM edges),
 walk(seed_id, id, depth, path, via, type) AS (SELECT seed_id, seed_id, 0, [seed_id], NULL::VARCHAR, NULL::VARCHAR FROM seeds
-UNION ALL SELECT seed_id, source_id, depth + 1, list_append(path, source_id), id, relationship_type FROM walk JOIN e ON target_id = id WHERE depth < 3 AND NOT list_contains(path, source_id))
+UNION ALL SELECT seed_id, source_id, depth + 1, list_append(path, source_id), id, relationship_type FROM walk JOIN e ON target_id = id WHERE depth < {depth} AND NOT list_contains(path, source_id))
 """
 WHY = "SELECT w.seed_id, w.id AS from_id, s.name AS from_name, s.kind AS from_kind, w.type AS relationship_type, w.via AS to_id, d.name AS to_name, d.kind AS to_kind, w.depth FROM walk w JOIN nodes s ON s.id = w.id JOIN nodes d ON d.id = w.via WHERE w.depth > 0"
+#: Edges of which an import of a file leads to each node of that file.
+BRIDGED = ", bridged AS (SELECT * FROM edges UNION ALL SELECT source_id, n.id, relationship_type FROM edges JOIN nodes n ON n.file_path = target_id WHERE relationship_type = 'IMPORTS')"
+NODE_LIST = ", ".join("n." + c for c in NODE_COLUMNS)
 
 
 def hundredths(g: Graph) -> DataFrame:
-    """The stated query set of the traversals, which walk the whole graph: parts and suppliers whose key is divisible by 100."""
+    """The stated query set of the path queries, which walk the whole graph: parts and suppliers whose key is divisible by 100."""
     return g.nodes.where("kind IN ('function', 'interface') AND (start_line - 1) % 100 = 0").select(F.col("id").alias("seed_id"))
 
 
-@on_graph(f" SELECT w.seed_id, {', '.join('n.' + c for c in NODE_COLUMNS)}, min(w.depth) AS depth FROM walk w JOIN nodes n ON n.id = w.id WHERE w.id <> w.seed_id GROUP BY ALL", WALK)
+def all_hundredths(g: Graph) -> DataFrame:
+    """The stated query set of impact: nodes of every kind whose key is divisible by 100."""
+    line, number = F.col("start_line"), F.regexp_extract("name", "([0-9]+)$", 1).cast("long")
+    key = F.when(F.col("kind").isin("function", "interface"), line - 1).when(F.col("kind") == "class", F.floor((line - 2) / 10)).otherwise(number)
+    return g.nodes.where(key % 100 == 0).select(F.col("id").alias("seed_id"))
+
+
+@on_graph(REACH.format(edges="edges", depth=5, nodes=NODE_LIST), ALL_KINDS)
 def explain_impact(g: Graph) -> DataFrame:
-    return traverse.explain_impact(g, hundredths(g), 3)
+    return traverse.explain_impact(g, all_hundredths(g), 5)
+
 
+@on_graph(BRIDGED + REACH.format(edges="bridged", depth=3, nodes=NODE_LIST), WALK.split("\ne AS", 1)[0].rstrip(","))
+def explain_impact_bridged(g: Graph) -> DataFrame:
+    """The derived graph's brand files are reached by imports of nations alone."""
+    return traverse.explain_impact(g, hundredths(g), 3, bridge_imports=True)
 
-@on_graph(" " + WHY, WALK)
+
+@on_graph(" " + WHY, WALK.format(depth=3))
 def why_is_this_used(g: Graph) -> DataFrame:
     return traverse.why_is_this_used(g, hundredths(g), 3)
 
 
-@on_graph(f" SELECT seeds.seed_id, (SELECT count(DISTINCT w.id) FROM walk w JOIN nodes n ON n.id = w.id WHERE w.seed_id = seeds.seed_id AND w.id <> w.seed_id) AS n_affected, (SELECT count(*) FROM ({WHY}) y WHERE y.seed_id = seeds.seed_id) AS n_path_rows FROM seeds", WALK)
+@on_graph(" " + WHY, WALK.format(depth=2).replace("e AS MATERIALIZED (SELECT * FROM edges)", BRIDGED.lstrip(", ") + ", e AS MATERIALIZED (SELECT * FROM bridged)"))
+def why_is_this_used_bridged(g: Graph) -> DataFrame:
+    return traverse.why_is_this_used(g, hundredths(g), 2, bridge_imports=True)
+
+
+@on_graph(f" SELECT seeds.seed_id, (SELECT count(DISTINCT w.id) FROM walk w JOIN nodes n ON n.id = w.id WHERE w.seed_id = seeds.seed_id AND w.id <> w.seed_id) AS n_affected, (SELECT count(*) FROM ({WHY}) y WHERE y.seed_id = seeds.seed_id) AS n_path_rows FROM seeds", WALK.format(depth=3))
 def impact_summary(g: Graph) -> DataFrame:
     seeds = hundredths(g)
     return traverse.impact_summary(seeds, *traverse.impact_with_paths(g, seeds, 3))

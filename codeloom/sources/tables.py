@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(rows: DataFrame, name: str, by: list[str], keys: list[str], sums: list[Column]) -> DataFrame:
+    """(keys, sums over the rows that have them) in the shared work folder, in buckets by ``by``: joins on these columns shuffle the other side only."""
+    spark, own = rows.sparkSession, f"{name.replace('-', '_')}_{uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, *by).groupBy(*keys).agg(*sums).write.format("parquet").bucketBy(n, *by).option("path", f"{work_dir(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
+
+
 def bucket_of(path: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
 
