@@ -111,23 +111,32 @@ def import_tries(imports: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Dat
     return near, named.join(projects, "dir_").join(aliased, ["root", "spec_"])
 
 
-def import_probes(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Imports (from_file, specifier) -> (candidate, rank, importer, specifier): every path whose coming or going may change where an import leads."""
+def with_tries(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Imports (from_file, specifier) -> adds tries: every path whose coming or going may change where the import leads, in order; none for a module."""
     near, aliased = import_tries(imports, aliases)
-    columns = ["dir_", "spec_", F.posexplode("tries_").alias("rank", "candidate")]
-    tries = near.select(*columns).unionByName(aliased.select(*columns))
-    keyed = imports.select(F.col("from_file").alias("importer"), "specifier", dirname(F.col("from_file")).alias("dir_"), F.col("specifier").alias("spec_")).distinct()
-    return keyed.join(tries, ["dir_", "spec_"]).select("candidate", "rank", "importer", "specifier")
+    tries = near.select("dir_", "spec_", F.col("tries_").alias("tries")).unionByName(aliased.select("dir_", "spec_", F.col("tries_").alias("tries")))
+    keyed = imports.withColumn("dir_", dirname(F.col("from_file"))).withColumn("spec_", F.col("specifier"))
+    return keyed.join(tries, ["dir_", "spec_"], "left").drop("dir_", "spec_").withColumn("tries", F.coalesce("tries", F.array().cast("array<string>")))
 
 
-def resolve_imports(imports: DataFrame, listing: Listing, aliases: DataFrame) -> DataFrame:
+def first_existing(imports: DataFrame, listing: DataFrame) -> DataFrame:
+    """Imports (from_file, specifier, tries, ...) and existing paths (entry, is_dir) -> adds target, as ``resolve_imports`` finds it."""
+    each = imports.select("from_file", "specifier", F.posexplode("tries").alias("rank", "try")).join(listing, F.col("try") == F.col("entry"))
+    late = F.col("rank") >= 3
+    hits = each.groupBy("from_file", "specifier").agg(F.min_by("try", "rank").alias("any"), F.max(F.when(F.col("rank") == 0, F.col("is_dir"))).alias("folder"), F.min_by(F.when(late, F.col("try")), F.when(late, F.col("rank"))).alias("index"))
+    raw = F.coalesce(F.get("tries", 0), F.col("specifier"))
+    through_index = ~F.col("specifier").startswith(".") & F.coalesce("folder", F.lit(False))
+    out = imports.join(hits, ["from_file", "specifier"], "left")
+    return out.withColumn("target", F.when(through_index, F.coalesce("index", raw)).otherwise(F.coalesce("any", raw))).drop("any", "folder", "index")
+
+
+def resolve_imports(imports: DataFrame, listing: DataFrame, aliases: DataFrame) -> DataFrame:
     """Imports (from_file, specifier), listing (entry, is_dir), aliases (base_dir, ord, pattern, replacement[, root]) -> adds target.
 
     A relative specifier is joined to the importing folder; if that does not exist, sources of a mapped extension are tried, else it stays as
     it is and dangles. Another specifier takes the first alias in order that fits, of the project whose ``root`` (else ``base_dir``) is the
     nearest at or above the importing folder; its replacement is probed for extensions and index files. Without an alias it is an external
-    module. Distinct (folder, specifier) and (project, specifier) pairs are resolved once; all joins have keys. ``listing`` may be a function
-    that finds entries (entry) in a larger listing.
+    module. Distinct (folder, specifier) and (project, specifier) pairs are resolved once; all joins have keys.
     """
     near, aliased = import_tries(imports, aliases)
     once = _first_existing(aliased.drop("dir_").dropDuplicates(["root", "spec_"]), listing, folders=True)
@@ -137,12 +146,11 @@ def resolve_imports(imports: DataFrame, listing: Listing, aliases: DataFrame) ->
     return out.withColumn("target", F.coalesce("found_", "specifier")).drop("dir_", "spec_", "found_")
 
 
-def _first_existing(rows: DataFrame, listing: Listing, folders: bool = False) -> DataFrame:
+def _first_existing(rows: DataFrame, listing: DataFrame, folders: bool = False) -> DataFrame:
     """Adds found_: the first of tries_ that is listed, else raw_. With ``folders`` a folder counts through its index file only."""
     keys = [c for c in rows.columns if c not in ("tries_",)]
     each = rows.select(*keys, F.posexplode("tries_").alias("rank_", "try_"))
-    there = listing(each.select(F.col("try_").alias("entry")).distinct()) if callable(listing) else listing
-    hits = each.join(there, F.col("try_") == F.col("entry"))
+    hits = each.join(listing, F.col("try_") == F.col("entry"))
     if folders:
         # existing folder: its index files come before the extensions, as the folder itself exists
         is_dir = F.max(F.when(F.col("rank_") == 0, F.col("is_dir"))).alias("dir0_")

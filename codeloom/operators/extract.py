@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import Listing, resolve_imports, stem
+from codeloom.functions.paths import Listing, first_existing, resolve_imports, stem, with_tries
 from codeloom.operators.facts import scan_facts
 from codeloom.schema import EDGE_COLUMNS, NODE_COLUMNS, node_id
 from codeloom.sources.tables import written
@@ -40,16 +40,25 @@ def extract_nodes(facts: DataFrame) -> DataFrame:
 
 
 def import_targets(facts: DataFrame, listing: Listing, aliases: DataFrame) -> DataFrame:
-    """(path, specifier, target) of every specifier that a file names."""
+    """(path, specifier, target) of every specifier that a file names; with a function as ``listing``, tries as well."""
     named = facts.where("specifier is not null and fact in ('import', 'export_from', 'bind')").select(F.col("path").alias("from_file"), "specifier").distinct()
-    return resolve_imports(named, listing, aliases).select(F.col("from_file").alias("path"), "specifier", "target")
+    if not callable(listing):
+        return resolve_imports(named, listing, aliases).select(F.col("from_file").alias("path"), "specifier", "target")
+    asked = written(with_tries(named, aliases), "tries")
+    there = listing(asked.select(F.explode("tries").alias("entry")))
+    return first_existing(asked, there).select(F.col("from_file").alias("path"), "specifier", "target", "tries")
 
 
 def _latest_before(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows (path, name, kind, ord) -> (path, name, ord, meaning) of the latest of ``entries`` (path, name, ord, meaning) of the name ``kind`` before each."""
-    known = entries.select("path", F.col("name").alias("kind"), F.col("ord").alias("at_"), "meaning")
-    hits = rows.select("path", "name", "kind", "ord").join(known, ["path", "kind"]).where("at_ < ord")
-    return hits.groupBy("path", "name", "ord").agg(F.max_by("meaning", "at_").alias("meaning"))
+    """Rows (path, name, kind, ord) -> (path, name, ord, meaning) of the latest of ``entries`` (path, name, ord, meaning) of the name ``kind`` before each.
+
+    An as-of merge: entries and askers of a name lie in one order, and each asker sees the last entry before it.
+    """
+    asked = rows.select("path", F.col("kind").alias("key"), "ord", "name", F.lit(None).cast(entries.schema["meaning"].dataType).alias("meaning"))
+    told = entries.select("path", F.col("name").alias("key"), "ord", F.lit(None).cast("string").alias("name"), "meaning")
+    earlier = Window.partitionBy("path", "key").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    merged = asked.unionByName(told).withColumn("meaning", F.last("meaning", ignorenulls=True).over(earlier))
+    return merged.where("name is not null and meaning is not null").select("path", "name", "ord", "meaning")
 
 
 def symbol_table(facts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def written_facts(files: DataFrame) -> DataFrame:
 
 
 class Parsed:
-    """What sources hold: nodes (with ord), edges, errors (path) and imports (path, specifier, target), each made when it is asked for, from facts that are written once."""
+    """What sources hold: nodes (with ord), edges, errors (path) and imports (path, specifier, target[, tries]), each made when it is asked for, from facts that are written once."""
 
     def __init__(self, facts: DataFrame, listing: Listing, aliases: DataFrame):
         self.facts, self._listing, self._aliases = facts, listing, aliases
@@ -140,7 +149,7 @@ class Parsed:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return extract_edges(self.facts, self.imports)
+        return extract_edges(self.facts, self.imports.select("path", "specifier", "target"))
 
     @cached_property
     def errors(self) -> DataFrame:

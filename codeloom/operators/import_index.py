@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import Listing, import_probes, resolve_imports
+from codeloom.functions.paths import first_existing, with_tries
 from codeloom.schema import ImportIndex
 
 
@@ -35,10 +35,16 @@ def came_or_went(listing: DataFrame, changes: DataFrame) -> DataFrame:
     return both.where((F.col("n") > 0) != (F.col("n") + F.col("d") > 0)).select("entry")
 
 
+def probes_of(imports: DataFrame) -> DataFrame:
+    """Imports (path, specifier, tries) by what they try: (candidate, rank, importer, specifier)."""
+    return imports.select(F.posexplode("tries").alias("rank", "candidate"), F.col("path").alias("importer"), "specifier").select("candidate", "rank", "importer", "specifier")
+
+
 def built_index(paths: DataFrame, imports: DataFrame, aliases: DataFrame) -> ImportIndex:
     """The index of files (path) that are there and of their imports (path, specifier, target)."""
-    asked = imports.select(F.col("path").alias("from_file"), "specifier").distinct()
-    return ImportIndex(imports.select("path", "specifier", "target").distinct(), counted_listing(paths), import_probes(asked, aliases))
+    asked = with_tries(imports.select(F.col("path").alias("from_file"), "specifier", "target").distinct(), aliases).withColumnRenamed("from_file", "path")
+    known = asked.select("path", "specifier", "target", "tries")
+    return ImportIndex(known, counted_listing(paths), probes_of(known))
 
 
 def tried_imports(probes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -47,8 +53,7 @@ def tried_imports(probes: DataFrame, entries: DataFrame) -> DataFrame:
     return hits.select(F.col("importer").alias("path"), "specifier").distinct()
 
 
-def retargeted(tried: DataFrame, imports: DataFrame, listing: Listing, aliases: DataFrame) -> DataFrame:
-    """(path) of the files with an import, of those tried, that leads elsewhere than ``imports`` says by the listing as it is now."""
-    known = imports.join(tried, ["path", "specifier"], "left_semi").select(F.col("path").alias("from_file"), "specifier", F.col("target").alias("old_"))
-    return resolve_imports(known, listing, aliases).where("target <> old_").select(F.col("from_file").alias("path")).distinct()
-
+def retargeted(imports: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path) of the files with an import (path, specifier, target, tries) that leads elsewhere than to its target by the listing as it is now."""
+    known = imports.select(F.col("path").alias("from_file"), "specifier", F.col("target").alias("old"), "tries")
+    return first_existing(known, listing).where("target <> old").select(F.col("from_file").alias("path")).distinct()

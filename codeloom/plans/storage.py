@@ -43,6 +43,17 @@ def meta_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert_meta(meta, {"c_1": "changed", "globs": ["**/*.ts", "*.js"], "version": "2"})
 
 
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(folder, content_hash) of source files, one per supplier, that Spark writes to seven folders, of which two are ignored or do not fit."""
+    root = f"{tables.work_dir(spark)}/tree-{uuid4().hex}"
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("export const s_"), k.cast("string"), F.lit(' = "'), "s_name", F.lit('";'))
+    rows = table(spark, sf_dir, "supplier").select(text.alias("value"), F.concat(F.when(k % 7 == 5, "x").otherwise("d"), (k % 7).cast("string")).alias("at"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("at").text(root)
+    found = files.read_source_tree(spark, root, ["at=d*/*.txt"], ["**/at=d3/**"])
+    return incremental.content_hash(found).select(F.regexp_extract("path", "/at=([^/]*)/", 1).alias("folder"), "content_hash")
+
+
 def path_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of a project per part, with comments; those of every fifth hold a URL, which ends them as a comment would."""
     p = F.col("p_partkey")
@@ -136,6 +147,7 @@ UNION ALL SELECT 'edges', source_id || target_id || relationship_type FROM edges
 UNION ALL SELECT * FROM (VALUES ('c_1', 'changed'), ('globs', '["**/*.ts", "*.js"]'), ('version', '2'))""",
     "path_aliases": """WITH p AS (SELECT p_partkey AS p, 'p_' || p_partkey AS project, '/r/b_' || (p_partkey % 7) AS base_dir FROM part WHERE p_partkey % 5 <> 0)
 SELECT project, '/r' AS root, base_dir, 0 AS ord, '@z' || p || '/*' AS pattern, 'x/*' AS replacement FROM p UNION ALL SELECT project, '/r', base_dir, 2, '@a', 'y_' || p FROM p""",
+    "source_tree": """SELECT 'd' || (s_suppkey % 7) AS folder, sha256('export const s_' || s_suppkey || ' = "' || s_name || '";' || chr(10)) AS content_hash FROM supplier WHERE s_suppkey % 7 NOT IN (3, 5)""",
     "put_files": SNAPSHOTS + """SELECT path, CASE WHEN path LIKE '%7.txt' THEN 'late' ELSE sha256(content) END AS content_hash, CASE WHEN path LIKE '%7.txt' THEN 2 ELSE 1 END::BIGINT AS indexed_at FROM scan
 UNION ALL SELECT path, content_hash, 0 FROM old WHERE path NOT IN (SELECT path FROM scan)""",
     "version_gate": PRELUDE + "".join(f"{'UNION ALL ' if k else ''}SELECT '{v}' AS version, '{t}' AS item, {n} AS n " for k, (v, t, n) in enumerate([("1", t, f"(SELECT count(*) FROM {t})") for t in ("files", "nodes", "edges")] + [("1", "meta", 1), ("2", "files", 0), ("2", "nodes", 0), ("2", "edges", 0), ("2", "meta", 1)])),
@@ -156,7 +168,7 @@ UNION ALL SELECT 'imports', path || ' /src/u_' || nxt || CASE WHEN '/src/u_' ||
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (graph_snapshot, meta_values, path_aliases, put_files, version_gate, codebase_overview, apply_changes, change_stream)}
+    return {f.__name__: f for f in (graph_snapshot, meta_values, source_tree, path_aliases, put_files, version_gate, codebase_overview, apply_changes, change_stream)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,8 +12,8 @@ NODES = "id string, name string, kind string, file_path string, start_line int,
 EDGES = "source_id string, target_id string, relationship_type string"
 META = "key string, value string"
 SCHEMAS = {"files": FILES, "nodes": NODES, "edges": EDGES, "meta": META}
-# what change streams keep besides: specifiers of files and where they lead, counted existing paths, and the paths that each specifier tries in order
-INDEX_SCHEMAS = {"imports": "path string, specifier string, target string", "listing": "entry string, is_dir boolean, n long", "probes": "candidate string, rank int, importer string, specifier string"}
+# what change streams keep besides: specifiers of files, where they lead and what they try in order, counted existing paths, and what is tried by path
+INDEX_SCHEMAS = {"imports": "path string, specifier string, target string, tries array<string>", "listing": "entry string, is_dir boolean, n long", "probes": "candidate string, rank int, importer string, specifier string"}
 
 # The closed domains of two columns.
 KINDS = ("function", "class", "interface", "type_alias", "enum", "namespace", "method", "constructor", "arrow_function", "variable")

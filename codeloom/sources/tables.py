@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,9 +57,13 @@ def _bucketed(graph: Graph, n: int) -> dict[str, DataFrame]:
     return {"files": graph.files.withColumn("bucket", bucket_of(F.col("path"), n)), "nodes": nodes, "edges": edges.withColumn("bucket", F.coalesce("bucket", bucket_of(F.col("source_id"), n)))}
 
 
-def _written(rows: DataFrame, folder: str, name: str, table: str, only: list[int] | None) -> None:
+def _written(rows: DataFrame, folder: str, name: str, table: str, only: list[int] | None) -> list[int]:
+    """Writes the buckets ``only`` of a table, or all; those that hold rows."""
     mine = rows if only is None else rows.where(F.col("bucket").isin(*only))
     mine.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}/{table}")
+    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{table}")
+    names = [x.getPath().getName() for x in path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(int(x.removeprefix("bucket=")) for x in names if x.startswith("bucket="))
 
 
 def _with_index(index: ImportIndex, n: int) -> dict[str, DataFrame]:
@@ -72,10 +77,9 @@ def save_graph(graph: Graph, folder: str, n_buckets: int = BUCKETS, index: Impor
     """
     spark, name = graph.meta.sparkSession, f"snapshot-{uuid4().hex}"
     parts = _bucketed(graph, n_buckets) | (_with_index(index, n_buckets) if index else {})
-    for table, rows in parts.items():
-        _written(rows, folder, name, table, None)
+    full = {table: _written(rows, folder, name, table, None) for table, rows in parts.items()}
     graph.meta.write.parquet(f"{folder}/{name}/meta")
-    return commit(spark, folder, name, {table: list(range(n_buckets)) for table in parts} | {"meta": [0]}, base, n_buckets)
+    return commit(spark, folder, name, {table: list(range(n_buckets)) for table in parts} | {"meta": [0]}, full | {"meta": [0]}, base, n_buckets)
 
 
 def save_buckets(graph: Graph, folder: str, buckets: list[int], index: dict[str, tuple[DataFrame, list[int]]] | None = None, base: Head | None = None) -> Head:
@@ -86,33 +90,29 @@ def save_buckets(graph: Graph, folder: str, buckets: list[int], index: dict[str,
     """
     spark, name = graph.meta.sparkSession, f"snapshot-{uuid4().hex}"
     base = base or head(spark, folder)
-    wrote = {}
-    for table, rows in _bucketed(graph, base.n_buckets).items():
-        _written(rows, folder, name, table, buckets)
-        wrote[table] = sorted(buckets)
+    parts = {table: (rows, sorted(buckets)) for table, rows in _bucketed(graph, base.n_buckets).items()}
     for table, (rows, own) in (index or {}).items():
         if own:
-            _written(rows.withColumn("bucket", bucket_of(F.col(INDEX_KEYS[table]), base.n_buckets)), folder, name, table, own)
-            wrote[table] = sorted(own)
+            parts[table] = (rows.withColumn("bucket", bucket_of(F.col(INDEX_KEYS[table]), base.n_buckets)), sorted(own))
+    with ThreadPoolExecutor(len(parts)) as pool:  # small jobs of their own: side by side
+        full = dict(zip(parts, pool.map(lambda table: _written(parts[table][0], folder, name, table, parts[table][1]), parts)))
+    wrote = {table: own for table, (_, own) in parts.items()}
     old = load_table(spark, folder, "meta", at=base)
     if sorted(map(tuple, old.collect())) != sorted(map(tuple, graph.meta.collect())):  # a few rows
         graph.meta.write.parquet(f"{folder}/{name}/meta")
-        wrote["meta"] = [0]
-    return commit(spark, folder, name, wrote, base)
+        wrote["meta"] = full["meta"] = [0]
+    return commit(spark, folder, name, wrote, full, base)
 
 
 def load_table(spark: SparkSession, folder: str, table: str, buckets: list[int] | None = None, at: Head | None = None) -> DataFrame:
     """The latest rows of a table, or of these buckets of it."""
     at, schema = at or head(spark, folder), (SCHEMAS | INDEX_SCHEMAS)[table]
-    rows = spark.createDataFrame([], schema)
-    for name, own in (at.buckets(table) if at else {}).items():
-        if table == "meta":
-            return spark.read.schema(schema).parquet(f"{folder}/{name}/meta")
-        mine = [b for b in own if buckets is None or b in buckets]
-        if mine:
-            part = spark.read.schema(f"{schema}, bucket int").parquet(f"{folder}/{name}/{table}")
-            rows = rows.unionByName(part.where(F.col("bucket").isin(*mine)).drop("bucket"))
-    return rows
+    live = at.buckets(table) if at else {}
+    if table == "meta":
+        paths = [f"{folder}/{name}/meta" for name in live]
+    else:
+        paths = [f"{folder}/{name}/{table}/bucket={b}" for name, own in live.items() for b in own if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def load_graph(spark: SparkSession, folder: str, buckets: list[int] | None = None, at: Head | None = None) -> Graph:

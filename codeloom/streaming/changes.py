@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codeloom.functions.paths import import_probes
-from codeloom.operators.import_index import came_or_went, counted_listing, listing_after, retargeted, tried_imports
+from codeloom.operators.import_index import came_or_went, counted_listing, listing_after, probes_of, retargeted, tried_imports
 from codeloom.operators.incremental import VERSION_KEY, index_project
 from codeloom.operators.neighbors import importers_of
 from codeloom.operators.store import clear_graph, delete_files
@@ -73,32 +72,31 @@ def _applied(graph: Graph, batch: DataFrame, extract: Callable, version: str, no
     return index_project(graph, scan, extract, version, now_ms)
 
 
-def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", aliases: DataFrame | None = None, **trigger) -> StreamingQuery:
+def run_change_stream(spark: SparkSession, events: DataFrame, graph_dir: str, checkpoint: str, read_content: Callable[[DataFrame], DataFrame], extract: Callable, version: str, gap: str = "500 milliseconds", delay: str = "1 minute", **trigger) -> StreamingQuery:
     """Debounced events re-index the graph in ``graph_dir``: each batch reads and writes the buckets that it concerns; a restart resumes from ``checkpoint``.
 
     ``read_content``: (path, op, force) -> adds content. ``extract``: (sources, listing) -> nodes, edges, errors and imports, as ``parse_corpus``
     gives them; the listing finds the paths that are there after the batch. Files whose imports lead elsewhere since a target came or went are extracted
-    again though their own text is the same, however many they are; ``aliases`` are those that ``extract`` uses. A graph of another
-    parser version is cleared first. A batch whose buckets another writer has committed meanwhile starts anew.
+    again though their own text is the same, however many they are. A graph of another parser version is cleared first. A batch whose
+    buckets another writer has committed meanwhile starts anew.
     """
-    rules = spark.createDataFrame([], "base_dir string, ord int, pattern string, replacement string") if aliases is None else aliases
 
     def step(batch: DataFrame, epoch: int) -> None:
         own = written(batch.groupBy("path").agg(F.max_by("op", "last_ts").alias("op"), F.max("last_ts").alias("last_ts")), "batch")
         now_ms = own.agg(F.unix_millis(F.max("last_ts"))).first()[0]
         if now_ms is not None:
-            transact(spark, graph_dir, lambda at: take_in(spark, own.select("path", "op"), graph_dir, read_content, extract, version, rules, now_ms, at))
+            transact(spark, graph_dir, lambda at: take_in(spark, own.select("path", "op"), graph_dir, read_content, extract, version, now_ms, at))
 
     return debounce(events, gap, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def take_in(spark: SparkSession, own: DataFrame, graph_dir: str, read_content: Callable, extract: Callable, version: str, aliases: DataFrame, now_ms: int, at: Head | None) -> Head:
+def take_in(spark: SparkSession, own: DataFrame, graph_dir: str, read_content: Callable, extract: Callable, version: str, now_ms: int, at: Head | None) -> Head:
     """One batch (path, op), a row per path, on the graph as of entry ``at``; see ``run_change_stream``."""
     nothing = {table: spark.createDataFrame([], schema) for table, schema in INDEX_SCHEMAS.items()}
     if at is None or get_meta(load_table(spark, graph_dir, "meta", at=at), VERSION_KEY) != version:
         graph = load_graph(spark, graph_dir, at=at)
         at = save_graph(clear_graph(graph), graph_dir, at.n_buckets if at else BUCKETS, ImportIndex(**nothing), at)
-    if not at.buckets("listing"):
+    if at.buckets("files") and not at.buckets("listing"):
         raise ValueError("a graph that is changed by a stream is saved with its index of imports (built_index)")
     stored = lambda table, buckets: load_table(spark, graph_dir, table, buckets, at)
     where = lambda paths, column: buckets_of(paths.select(F.col(column).alias("path")), graph_dir, at)
@@ -120,7 +118,9 @@ def take_in(spark: SparkSession, own: DataFrame, graph_dir: str, read_content: C
     if probed := where(moved, "entry"):
         tried = written(tried_imports(stored("probes", probed), moved), "tried")
         if importers := where(tried, "path"):
-            forced = retargeted(tried, stored("imports", importers), listing, aliases).withColumn("force", F.lit(True))
+            affected = written(stored("imports", importers).join(tried, ["path", "specifier"], "left_semi"), "affected")
+            there = listing(affected.select(F.explode("tries").alias("entry")))
+            forced = retargeted(affected, there).withColumn("force", F.lit(True))
             both = own.join(forced, "path", "full")
             asked = written(both.select("path", F.coalesce("op", F.lit("change")).alias("op"), F.coalesce("force", F.lit(False)).alias("force")), "changes")
     touched = where(asked, "path")
@@ -134,14 +134,13 @@ def take_in(spark: SparkSession, own: DataFrame, graph_dir: str, read_content: C
 
     # the index of the files that were extracted or are gone
     updated = statuses.where("status = 'updated'").select("path")
-    anew = written(updated.unionByName(asked.where("op = 'unlink'").select("path")).distinct(), "replaced")
-    old = stored("imports", touched)
-    new = written(parsed[0].imports.join(updated, "path", "left_semi").select("path", "specifier", "target").distinct(), "new-imports")
-    lost = old.join(anew, "path", "left_semi").join(new, ["path", "specifier"], "left_anti")
-    found = new.join(old, ["path", "specifier"], "left_anti")
-    tries = lambda rows: import_probes(rows.select(F.col("path").alias("from_file"), "specifier"), aliases)
-    changed = written(tries(lost).withColumn("lost", F.lit(True)).unionByName(tries(found).withColumn("lost", F.lit(False))), "probe-changes")
-    probed, less, more = where(changed, "candidate"), changed.where("lost"), changed.where("not lost").drop("lost")
+    anew = written(updated.withColumn("here", F.lit(True)).unionByName(asked.where("op = 'unlink'").select("path", F.lit(False).alias("here"))), "replaced")
+    old, new = stored("imports", touched), parsed[0].imports.join(anew.where("here"), "path", "left_semi").select("path", "specifier", "target", "tries")
+    lost = old.join(anew, "path", "left_semi").join(new, ["path", "specifier"], "left_anti").withColumn("lost", F.lit(True))
+    found = new.join(old, ["path", "specifier"], "left_anti").withColumn("lost", F.lit(False))
+    changed = written(lost.unionByName(found), "changed-imports")
+    less, more = probes_of(changed.where("lost")), probes_of(changed.where("not lost"))
+    probed = where(probes_of(changed), "candidate")
     index = {
         "imports": (old.join(anew, "path", "left_anti").unionByName(new), touched),
         "listing": (listing_after(before, counts), listed),

@@ -143,6 +143,14 @@ def test_symbol_tables_fold_in_order(spark):
     assert got == {"A": ("A", "/s/x.ts"), "C": ("B", "/s/x.ts"), "early": ("early", here), "Late": ("Late", here), "a": ("A", "/s/x.ts"), "late": ("Late", here), "A2": ("A2", here), "f": ("f", here), "g": ("g", here), "p": ("A", "/s/x.ts"), "r": ("Late", here)}
 
 
+def test_many_bindings_of_one_name(spark):
+    n = 100_000
+    facts_ = spark.range(n).selectExpr("'/g.ts' path", "if(id % 2 = 0, 'bind', 'param') fact", "if(id % 2 = 0, 'A', concat('p', id)) name", "if(id % 2 = 0, concat('B', id), 'A') kind", "if(id % 2 = 0, './x.js', null) specifier", "cast(id as int) ord")
+    targets = spark.createDataFrame([("/g.ts", "./x.js", "/x.ts")], "path string, specifier string, target string")
+    got = extract.symbol_table(facts_, targets)
+    assert got.count() == n // 2 + 1 and got.where("local_name <> 'A' and resolved_name <> concat('B', cast(substring(local_name, 2) as int) - 1)").count() == 0
+
+
 def test_paths_stop_before_a_level_too_large(spark):
     g = graph(spark, [node("A"), *(node(f"n{k}") for k in range(30))], [(f"n{k}", "A", "CALLS") for k in range(30)])
     with pytest.raises(RuntimeError, match="up to 30 paths"):
