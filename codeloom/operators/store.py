@@ -30,11 +30,15 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 def delete_files(graph: Graph, paths: DataFrame) -> Graph:
     """Remove files (path), their nodes, and the edges whose source is one of those; edges that point to them stay and dangle."""
     gone = paths.select(F.col("path").alias("path_")).distinct()
-    lost = graph.nodes.join(gone, F.col("file_path") == F.col("path_"), "left_semi").select(F.col("id").alias("id_"))
+    if "source_file" in graph.edges.columns:  # as by_file lays them
+        edges = graph.edges.join(gone, F.col("source_file") == F.col("path_"), "left_anti")
+    else:
+        lost = graph.nodes.join(gone, F.col("file_path") == F.col("path_"), "left_semi").select(F.col("id").alias("id_"))
+        edges = graph.edges.join(lost, F.col("source_id") == F.col("id_"), "left_anti")
     return graph.with_tables(
         files=graph.files.join(gone, F.col("path") == F.col("path_"), "left_anti"),
         nodes=graph.nodes.join(gone, F.col("file_path") == F.col("path_"), "left_anti"),
-        edges=graph.edges.join(lost, F.col("source_id") == F.col("id_"), "left_anti"),
+        edges=edges,
     )
 
 

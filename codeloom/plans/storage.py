@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import extract, incremental, overview, store
+from codeloom.operators import extract, incremental, neighbors, overview, store
 from codeloom.plans.corpus import corpus, surroundings
 from codeloom.schema import META, empty_graph
 from codeloom.sources import files, tables
@@ -37,6 +37,16 @@ def graph_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(files=last.files.select("path"), nodes=last.nodes.select("id"), edges=last.edges.select(F.concat("source_id", "target_id", "relationship_type")))
 
 
+def file_views_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, key) over the graph laid out by file: cross-file edges, importers, and what is left once the nations' files that begin with 1 are gone."""
+    g = tables.by_file(derived_graph(spark, sf_dir))
+    cross = neighbors.file_edges(g.nodes, g.edges, g.files, include_internal=False)
+    importers = neighbors.importers_of(g.nodes, g.edges, g.files)
+    left = store.delete_files(g, g.files.where("path LIKE '/src/nation_1%'").select("path"))
+    keys = lambda *columns: F.concat_ws(" ", *columns)
+    return _items(cross=cross.select(keys("file_path", "source_id", "target_id", "relationship_type")), importers=importers.select(keys("path", "importer")), left=left.edges.select(keys("source_id", "target_id", "relationship_type")))
+
+
 def meta_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A meta row per customer, of which one is replaced and two are new."""
     meta = table(spark, sf_dir, "customer").select(F.concat(F.lit("c_"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("value"))
@@ -143,6 +153,9 @@ SQL = {
     "graph_snapshot": PRELUDE + """, left_ AS (SELECT * FROM nodes WHERE file_path NOT LIKE '/src/nation\\_1%' ESCAPE '\\')
 SELECT 'files' AS item, path AS key FROM files WHERE path NOT LIKE '/src/nation\\_1%' ESCAPE '\\' UNION ALL SELECT 'nodes', id FROM left_
 UNION ALL SELECT 'edges', source_id || target_id || relationship_type FROM edges WHERE source_id IN (SELECT id FROM left_)""",
+    "file_views_by_file": PRELUDE + """SELECT 'cross' AS item, concat_ws(' ', a.file_path, source_id, target_id, relationship_type) AS key FROM edges e JOIN nodes a ON a.id = source_id LEFT JOIN nodes b ON b.id = target_id WHERE b.id IS NULL OR b.file_path <> a.file_path
+UNION ALL SELECT DISTINCT 'importers', target_id || ' ' || file_path FROM edges JOIN nodes ON id = source_id WHERE relationship_type = 'IMPORTS' AND target_id IN (SELECT path FROM files)
+UNION ALL SELECT 'left', concat_ws(' ', source_id, target_id, relationship_type) FROM edges JOIN nodes ON id = source_id WHERE file_path NOT LIKE '/src/nation\\_1%' ESCAPE '\\'""",
     "meta_values": """SELECT 'c_' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey <> 1
 UNION ALL SELECT * FROM (VALUES ('c_1', 'changed'), ('globs', '["**/*.ts", "*.js"]'), ('version', '2'))""",
     "path_aliases": """WITH p AS (SELECT p_partkey AS p, 'p_' || p_partkey AS project, '/r/b_' || (p_partkey % 7) AS base_dir FROM part WHERE p_partkey % 5 <> 0)
@@ -168,7 +181,7 @@ UNION ALL SELECT 'imports', path || ' /src/u_' || nxt || CASE WHEN '/src/u_' ||
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (graph_snapshot, meta_values, source_tree, path_aliases, put_files, version_gate, codebase_overview, apply_changes, change_stream)}
+    return {f.__name__: f for f in (graph_snapshot, file_views_by_file, meta_values, source_tree, path_aliases, put_files, version_gate, codebase_overview, apply_changes, change_stream)}
 
 
 def oracle_sql() -> dict[str, str]:

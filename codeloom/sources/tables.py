@@ -45,6 +45,24 @@ def bucketed(rows: DataFrame, name: str, by: list[str], keys: list[str], sums: l
     return spark.table(own)
 
 
+def by_file(graph: Graph) -> Graph:
+    """The graph for reading, in tables bucketed by file: edges get source_file, the file of their source (its id where that is no node).
+
+    Per-file views, deletions and importers then join edges on source_file where they lie, without a shuffle of edges or nodes. Cross-file views join on two columns;
+    they keep edges in place with ``spark.sql.requireAllClusterKeysForCoPartition`` off.
+    """
+    spark, n = graph.meta.sparkSession, int(graph.meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homes = graph.nodes.groupBy(F.col("id").alias("source_id")).agg(F.min("file_path").alias("source_file"))
+    edges = graph.edges.join(homes, "source_id", "left").withColumn("source_file", F.coalesce("source_file", "source_id"))
+
+    def laid(rows: DataFrame, column: str) -> DataFrame:
+        name = f"by_{column}_{uuid4().hex}"
+        rows.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", f"{work_dir(spark)}/{name}").saveAsTable(name)
+        return spark.table(name)
+
+    return graph.with_tables(files=laid(graph.files, "path"), nodes=laid(graph.nodes, "file_path"), edges=laid(edges, "source_file"))
+
+
 def bucket_of(path: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
 

@@ -81,6 +81,27 @@ def test_neighbours_files_and_overview(spark):
     assert overview.entry_points(many).count() == 20
 
 
+def test_views_by_file_leave_edges_where_they_lie(spark):
+    g = graph(spark, [node("A"), node("B"), node("C", "/b.ts")], [("A", "B", "CALLS"), ("C", "A", "CALLS"), ("C", "/a.ts", "IMPORTS"), ("A", "gone", "CALLS"), ("lost", "A", "CALLS")])
+    laid = tables.by_file(g)
+    files_ = laid.files.hint("merge")
+    columns = ["source_id", "target_id", "relationship_type"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for internal in (True, False):
+        assert rows(neighbors.file_edges(laid.nodes, laid.edges, laid.files, internal)) == rows(neighbors.file_edges(g.nodes, g.edges, g.files, internal))
+    assert rows(neighbors.importers_of(laid.nodes, laid.edges, laid.files)) == [("/a.ts", "/b.ts")]
+    gone = g.files.where("path = '/b.ts'").select("path")
+    assert rows(store.delete_files(laid, gone).edges.select(*columns)) == rows(store.delete_files(g, gone).edges)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (neighbors.file_edges(laid.nodes, laid.edges, files_), neighbors.file_edges(laid.nodes, laid.edges, files_, False), store.delete_files(laid, files_.where("path > '/b'").select("path")).edges):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_store_cascade_and_integrity(spark):
     g = graph(spark, [node("A"), node("B", "/b.ts")], [("A", "gone", "CALLS"), ("B", "A", "CALLS")])
     out = store.delete_files(g, spark.createDataFrame([("/a.ts",)], "path string"))
