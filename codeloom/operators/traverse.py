@@ -51,10 +51,11 @@ class Hops:
 def hops(edges: DataFrame, hub_block: int = HUB_BLOCK) -> Hops:
     """Ids become 64-bit hashes whose seed is moved on until no two ids of the edges share one; self-loops are left out."""
     ends = edges.where("source_id <> target_id")
+    kind = F.col("relationship_type") if "relationship_type" in edges.columns else F.lit("").alias("relationship_type")
     other = lambda c: F.xxhash64(c, F.lit(-1))
     for seed in range(8):
         key = lambda c, seed=seed: F.xxhash64(F.lit(seed), c)
-        raw = written(ends.select(key(F.col("target_id")).alias("t"), key(F.col("source_id")).alias("s"), "relationship_type", other(F.col("target_id")).alias("t2"), other(F.col("source_id")).alias("s2")), "keys")
+        raw = written(ends.select(key(F.col("target_id")).alias("t"), key(F.col("source_id")).alias("s"), kind, other(F.col("target_id")).alias("t2"), other(F.col("source_id")).alias("s2")), "keys")
         both = raw.select(F.inline(F.array(F.struct(F.col("t").alias("k"), F.col("t2").alias("a")), F.struct(F.col("s").alias("k"), F.col("s2").alias("a")))))
         if both.groupBy("k").agg(F.min("a").alias("a"), F.max("a").alias("b")).where("a <> b").isEmpty():
             break
