@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.schema import NODE_COLUMNS
+from codeloom.sources.tables import written
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts that names are dealt into for prefixes without any letter of their own, and matches that a message lists.
-SALTS, LISTED = 16, 20
+#: Names in sorted order that a prefix meets at once, and matches that a message lists.
+NAME_BLOCK, LISTED = 1024, 20
 
 
 def folded(text: Column) -> Column:
@@ -26,28 +27,46 @@ def like_prefix(argument: Column) -> Column:
 def find_symbol(nodes: DataFrame, requests: DataFrame, exact: bool = True) -> DataFrame:
     """Requests (request, name, kind or null) -> the matching nodes with their request.
 
-    ``exact``: equal names. Else the name begins with the argument, A-Z of either case, ``_`` and ``%`` being wildcards. All lookups are
-    equi-joins: of a prefix, on its letters between leading ``_`` and the next wildcard. A prefix without such letters meets every name,
-    dealt into SALTS parts.
+    ``exact``: equal names. Else the name begins with the argument, A-Z of either case, ``_`` and ``%`` being wildcards: see ``prefix_matches``.
     """
     kind_fits = F.col("kind_").isNull() | (F.col("kind") == F.col("kind_"))
     asked = requests.select("request", F.col("name").alias("name_"), F.col("kind").alias("kind_"))
-    if exact:
-        found = nodes.join(asked, F.col("name") == F.col("name_")).where(kind_fits)
-        return found.select("request", *NODE_COLUMNS)
-    literal = F.regexp_extract("name_", "^_*([^_%]*)", 1)
-    keyed = asked.where("name_ is not null").select("*", F.length(F.regexp_extract("name_", "^(_*)", 1)).alias("from_"), F.length(literal).alias("size_"), folded(literal).alias("key_"))
-    salts = F.when(F.col("size_") == 0, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    keyed = keyed.withColumn("salt_", F.explode(salts))
-    # one join for all: a name offers what it has at each (place, length) that is asked for, a few pairs of small numbers
-    spans = [(r["from_"], r["size_"]) for r in keyed.select("from_", "size_").distinct().orderBy("from_", "size_").collect()]
-    if not spans:
-        return nodes.limit(0).select(F.lit("").alias("request"), *NODE_COLUMNS)
-    every = F.array(*(F.struct(F.lit(begin).alias("from_"), F.lit(size).alias("size_")) for begin, size in spans))
-    offers = nodes.withColumn("span_", F.explode(F.filter(every, lambda x: x["from_"] + x["size_"] <= F.length("name")))).select(*NODE_COLUMNS, "span_.from_", "span_.size_")
-    offers = offers.withColumn("key_", folded(F.substring("name", F.col("from_") + 1, F.col("size_")))).withColumn("salt_", F.when(F.col("size_") == 0, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
-    found = offers.join(keyed, ["from_", "size_", "key_", "salt_"])
-    return found.where(kind_fits & F.like(folded(F.col("name")), like_prefix(folded(F.col("name_"))))).select("request", *NODE_COLUMNS)
+    if not exact:
+        asked = asked.join(prefix_matches(nodes.select("id", "name"), asked.select(F.col("name_").alias("pattern"))), F.col("name_") == F.col("pattern"))
+        return asked.join(nodes, "id").where(kind_fits).select("request", *NODE_COLUMNS)
+    return nodes.join(asked, F.col("name") == F.col("name_")).where(kind_fits).select("request", *NODE_COLUMNS)
+
+
+def prefix_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Names (id, name) and patterns (pattern) -> (pattern, id) of the names that begin with what a distinct pattern stands for.
+
+    Names are sorted once, with both ends of each pattern's literal letters among them, so a pattern is an interval of places; it meets the
+    blocks of names that it covers, and the whole pattern decides. Name rows grow with the number of leading ``_`` that patterns differ in, not
+    with the patterns' lengths; a pattern without letters covers all names, as it has to.
+    """
+    spark = names.sparkSession
+    asked = written(patterns.where("pattern is not null").distinct().select("pattern", F.length(F.regexp_extract("pattern", "^(_*)", 1)).alias("skip"), folded(F.regexp_extract("pattern", "^_*([^_%]*)", 1)).cast("binary").alias("literal")), "patterns")
+    skips = [r["skip"] for r in asked.select("skip").distinct().orderBy("skip").collect()]  # no more than the longest pattern has characters
+    order, none = ["skip", "key", "side", "id"], F.lit(None).cast("string")
+    tails = names.where("name is not null").withColumn("skip", F.explode(F.array(*map(F.lit, skips)).cast("array<int>"))).where("skip <= length(name)")
+    events = tails.select("skip", folded(F.expr("substring(name, skip + 1, length(name))")).cast("binary").alias("key"), F.lit(1).alias("side"), "id", "name", none.alias("pattern"))
+    for side, key in ((0, F.col("literal")), (-1, F.concat("literal", F.lit(b"\xff")))):  # no text holds the byte 0xFF
+        events = events.unionByName(asked.select("skip", key.alias("key"), F.lit(side).alias("side"), none.alias("id"), none.alias("name"), "pattern"))
+    dealt = events.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "sorted-names")
+    n, before, total = (F.col("side") == 1).cast("long"), [], 0
+    for row in dealt.groupBy("part").agg(F.sum(n).alias("n")).orderBy("part").collect():  # a row per range
+        before.append((row["part"], total))
+        total += row["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    # the number of names before each row, over all ranges
+    place = F.sum(n).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - n + F.col("before")
+    placed = written(dealt.join(starts, "part").select("id", "name", "pattern", "side", place.alias("place")), "placed-names")
+    ends = placed.where("side < 1").groupBy("pattern").agg(F.max(F.when(F.col("side") == 0, F.col("place"))).alias("low"), F.max(F.when(F.col("side") == -1, F.col("place"))).alias("high"))
+    covered = ends.where("low < high").withColumn("block", F.explode(F.expr(f"sequence(low div {NAME_BLOCK}, (high - 1) div {NAME_BLOCK})")))
+    blocks = placed.where("side = 1").select("id", "name", "place", F.expr(f"place div {NAME_BLOCK}").alias("block"))
+    met = covered.join(blocks, "block").where("low <= place and place < high")
+    return met.where(F.like(folded(F.col("name")), like_prefix(folded(F.col("pattern"))))).select("pattern", "id")
 
 
 def node_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:

@@ -65,6 +65,22 @@ def test_lookup_and_resolution(spark):
     assert {r["request"]: (r["first"], r["last"], r["snippet"]) for r in lookup.snippets(text, ranges).collect()} == {"a": (1, 3, "1\n2\n3"), "b": (9, 3, ""), "c": (1, 1, "")}
 
 
+def test_prefixes_are_intervals_of_sorted_names(spark, monkeypatch):
+    import random
+    import re
+
+    monkeypatch.setattr(lookup, "NAME_BLOCK", 4)
+    r = random.Random(7)
+    names = [*{"".join(r.choices("abAB_é\U0010ffff", k=r.randint(0, 5))) for _ in range(150)}, *["same"] * 40, None]
+    g = spark.createDataFrame([(f"i{k}", x) for k, x in enumerate(names)], "id string, name string")
+    patterns = [*{"".join(r.choices("abA_%é\\", k=r.randint(0, 4))) for _ in range(60)}, "sa", "SAME", "same!", "", "\U0010ffff", None]
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    fits = lambda p, t: re.match("".join({"_": "(?s:.)", "%": "(?s:.*)"}.get(c, re.escape(c)) for c in low(p)), low(t))
+    expected = sorted((p, f"i{k}") for p in set(patterns) - {None} for k, t in enumerate(names) if t is not None and fits(p, t))
+    got = lookup.prefix_matches(g.repartition(3), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    assert sorted(map(tuple, got.collect())) == expected
+
+
 def test_neighbours_files_and_overview(spark):
     g = graph(spark, [node("A"), node("B"), node("C", "/b.ts")], [("A", "B", "CALLS"), ("C", "A", "IMPORTS"), ("A", "gone", "CALLS"), ("A", "A", "CALLS")])
     count = lambda d, types=(): neighbors.neighbor_edges(g.edges, seeds(spark, "A"), d, types).count()
