@@ -12,9 +12,8 @@ from codeloom.streaming import changes
 RULES = [("/p", "/p", 0, "@l/*", "lib/*"), ("/p", "/p", 1, "tool", "bin/tool")]
 BATCHES = [
     {"/p/b.ts": "import './a.js';\nimport { x } from '@l/x';\nexport { t } from 'tool';", "/p/c.ts": "import { a } from './a.js';\nexport function f() { return a(); }", "/q/d.ts": "import '@l/x'; import './e';"},
-    {"/p/a.ts": "export function a() {}", "/p/lib/x/index.ts": "export const x = 1;"},  # targets of b and c appear
-    {"/p/a.js": "export function a() {}", "/p/lib/x.ts": "export const x = 2;", "/p/c.ts": "export const none = 1;"},  # better ranked; c imports no more
-    {"/p/a.js": None, "/p/lib/x/index.ts": None, "/p/bin/tool/index.tsx": "export const t = 1;", "/q/e/z.ts": "export const z = 1;"},  # a folder appears
+    {"/p/a.ts": "export function a() {}", "/p/lib/x/index.ts": "export const x = 1;", "/p/a.js": "export function a() {}"},  # targets of b and c appear
+    {"/p/lib/x.ts": "export const x = 2;", "/p/c.ts": "export const none = 1;", "/p/a.js": None, "/p/lib/x/index.ts": None, "/p/bin/tool/index.tsx": "export const t = 1;", "/q/e/z.ts": "export const z = 1;"},  # a folder appears
     {"/p/a.ts": None, "/p/lib/x.ts": None, "/q/d.ts": None, "/p/bad.ts": "function ( {"},  # all targets are gone
 ]
 
