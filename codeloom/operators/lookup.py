@@ -12,6 +12,8 @@ from codeloom.sources.tables import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Names in sorted order that a prefix meets at once, and matches that a message lists.
 NAME_BLOCK, LISTED = 1024, 20
+#: Lines for each mark of a line index; ranges of lines (some 100 bytes each) up to which they are broadcast to the files.
+LINES_PER_MARK, BROADCAST_RANGES = 64, 200_000
 
 
 def folded(text: Column) -> Column:
@@ -98,30 +100,55 @@ def resolve_node(nodes: DataFrame, requests: DataFrame, listed: int = LISTED) ->
     return out.select("request", status.alias("status"), F.when(status == "ok", F.col("id")).alias("id"), n.alias("n_matches"), text.alias("message"))
 
 
-def snippets(files: DataFrame, ranges: DataFrame) -> DataFrame:
+def line_index(files: DataFrame, every: int = LINES_PER_MARK) -> DataFrame:
+    """Files (path, content) -> (path, n_lines, every, marks): the byte at which every ``every``-th line starts, then the length with a last newline.
+
+    To be stored beside the files: it holds 8 bytes for ``every`` lines and serves any number of snippets. Lines are cut at newlines only; null is
+    empty, one line. Contents are valid UTF-8 and stay where they are; only the bytes of each block of lines are shuffled, to be summed up by file.
+    """
+    lines = files.select("path", F.split(F.coalesce("content", F.lit("")), "\n").alias("lines_"))
+    size = lambda at: F.aggregate(F.slice("lines_", at, F.lit(every)), F.lit(0).cast("long"), lambda sum_, line: sum_ + F.octet_length(line) + 1)
+    n = F.size("lines_")
+    blocks = lines.select("path", n.alias("n_"), F.posexplode(F.transform(F.sequence(F.lit(1), n, F.lit(every)), size)).alias("block_", "bytes_"))
+    before = Window.partitionBy("path").orderBy("block_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = blocks.withColumn("end_", F.sum("bytes_").over(before)).groupBy("path").agg(F.first("n_").alias("n_lines"), F.array_sort(F.collect_list("end_")).alias("ends_"))
+    return ends.select("path", "n_lines", F.lit(every).alias("every"), F.concat(F.array(F.lit(0).cast("long")), "ends_").alias("marks"))
+
+
+def snippets(files: DataFrame, ranges: DataFrame, index: DataFrame | None = None, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """Files (path, content) and ranges (request, path, start_line, end_line, padding) -> (request, path, first, last, snippet).
 
     Lines are cut at newlines only; first and last are the 1-based lines after padding, clamped to the file. A start beyond the file
-    gives an empty snippet and a last line below the first. Files become rows of lines, and each range joins the lines it asks for, so
-    a file that many ranges name is spread over the lines. Ranges that repeat a request and path are taken once.
+    gives an empty snippet and a last line below the first. Ranges that repeat a request and path are taken once; those of missing files give no row.
+
+    ``index`` is the ``line_index`` of the files, made here for the files asked for where there is none. It turns a range into bytes, and a snippet is
+    cut out of its file by these: lines are never rows. Up to ``broadcast_ranges`` different ranges go to the files, whose contents stay where they
+    are; more are joined by path, which moves the contents once, unless they are bucketed by it. Equal ranges of a file are cut once.
     """
-    asked = files.join(ranges.select("path").distinct(), "path", "left_semi").select("path", F.split("content", "\n").alias("lines_"))
-    sizes = asked.select("path", F.size("lines_").alias("n_"))
-    lines = asked.select("path", F.posexplode("lines_").alias("line_", "text_"))
+    if index is None:
+        paths = written(ranges.select("path").distinct(), "paths")
+        index = line_index(files.join(F.broadcast(paths), "path", "left_semi") if paths.count() <= broadcast_ranges else files)
     first = F.greatest(F.lit(0), F.col("start_line") - 1 - F.col("padding")) + 1
-    last = F.least(F.col("n_") - 1, F.col("end_line") - 1 + F.col("padding")) + 1
-    clamped = ranges.join(sizes, "path").select("request", "path", first.cast("int").alias("first"), last.cast("int").alias("last")).distinct()
-    wanted = clamped.where("first <= last").select("request", "path", "first", F.explode(F.sequence(F.col("first") - 1, F.col("last") - 1)).alias("line_"))
-    cut = wanted.join(lines, ["path", "line_"]).groupBy("request", "path", "first").agg(F.array_sort(F.collect_list(F.struct("line_", "text_"))).alias("l_"))
-    text = cut.select("request", "path", "first", F.array_join("l_.text_", "\n").alias("text_"))
-    return clamped.join(text, ["request", "path", "first"], "left").select("request", "path", "first", "last", F.coalesce("text_", F.lit("")).alias("snippet"))
-
-
-def find_symbol_with_snippet(nodes: DataFrame, files: DataFrame, requests: DataFrame, exact: bool = True, padding: int = 0) -> DataFrame:
-    """``find_symbol`` with each symbol's source text; null where the file is missing."""
+    last = F.least(F.col("n_lines") - 1, F.col("end_line") - 1 + F.col("padding")) + 1
+    every = F.col("every").cast("int")
+    block = lambda line: F.floor((F.col(line) - 1) / every).cast("int")
+    clamped = ranges.join(index, "path").withColumn("first", first.cast("int")).withColumn("last", last.cast("int"))
+    start, stop = F.get("marks", block("first")), F.get("marks", block("last") + 1)
+    found = F.col("first") <= F.col("last")
+    placed = written(clamped.select("request", "path", "first", "last", F.when(found, start).alias("from_"), F.when(found, stop - start - 1).alias("size_"), ((F.col("first") - 1) % every + 1).alias("skip_")).distinct(), "ranges")
+    spots = placed.where("from_ is not null").select("path", "first", "last", "from_", "size_", "skip_").distinct()
+    spots = F.broadcast(spots) if placed.count() <= broadcast_ranges else spots
+    part = F.substring(F.coalesce("content", F.lit("")).cast("binary"), (F.col("from_") + 1).cast("int"), F.col("size_").cast("int")).cast("string")
+    text = F.array_join(F.slice(F.split(part, "\n"), F.col("skip_"), F.col("last") - F.col("first") + 1), "\n")
+    cut = files.join(spots, "path").select("path", "first", "last", text.alias("text_"))
+    return placed.join(cut, ["path", "first", "last"], "left").select("request", "path", "first", "last", F.coalesce("text_", F.lit("")).alias("snippet"))
+
+
+def find_symbol_with_snippet(nodes: DataFrame, files: DataFrame, requests: DataFrame, exact: bool = True, padding: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """``find_symbol`` with each symbol's source text; null where the file is missing. ``index`` is the ``line_index`` of the files, if there is one."""
     found = find_symbol(nodes, requests, exact)
     ranges = found.select(F.col("id").alias("request"), F.col("file_path").alias("path"), "start_line", "end_line", F.lit(padding).alias("padding")).distinct()
-    text = snippets(files, ranges).select(F.col("request").alias("id"), "snippet")
+    text = snippets(files, ranges, index).select(F.col("request").alias("id"), "snippet")
     return found.join(text, "id", "left").select("request", *NODE_COLUMNS, "snippet")
 
 
