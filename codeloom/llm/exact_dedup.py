@@ -24,6 +24,8 @@ from codeloom.llm.common import same, shipped, texts, written
 
 #: Bytes that a node costs besides its label.
 NODE_BYTES = 200
+#: Bytes that each row costs that shares a text.
+VALUE_BYTES = 150
 #: Rows of one length and hash above which these are joined in a salted round before they go to their owner.
 HOT_ROWS = 64
 #: Memory of a task's trie, labels and nodes, before it flushes (map side) or spills (owners).
@@ -45,28 +47,36 @@ class Node:
     label: bytes
     kids: dict[int, Node] = field(default_factory=dict)
     value: object = None  # set on terminals
+    weight: int = 0  # bytes that the value counts
     spill: object = None  # file with what lies below
 
 
 class PatriciaTrie:
-    """Byte strings to values; ``merge`` joins the values of equal strings. ``limit`` bytes of memory, then subtrees spill."""
+    """Byte strings to values; ``merge`` joins the values of equal strings. ``limit`` bytes of memory, then subtrees spill.
 
-    def __init__(self, merge: Callable[[object, object], object], limit: int = TRIE_BYTES, spilling: bool = True):
-        self.root, self.merge, self.limit, self.spilling, self.bytes = Node(b""), merge, limit, spilling, 0
+    Each string that is added counts its label, node and ``value_bytes``. What stays in memory whatever the limit: the strings up to the first fork,
+    so one string, with its values, and 256 single bytes.
+    """
+
+    def __init__(self, merge: Callable[[object, object], object], limit: int = TRIE_BYTES, spilling: bool = True, value_bytes: int = VALUE_BYTES):
+        self.root, self.merge, self.limit, self.spilling, self.value_bytes, self.bytes = Node(b""), merge, limit, spilling, value_bytes, 0
 
-    def add(self, key: bytes, value: object) -> None:
-        node, at = self.root, 0
+    def add(self, key: bytes, value: object, weight: int | None = None) -> None:
+        """``weight``: what the value counts, if it was joined from several already."""
+        node, at, weight = self.root, 0, weight or self.value_bytes
         while True:
             if node.spill is not None:
-                pickle.dump((key[at:], value), node.spill)
+                pickle.dump((key[at:], value, weight), node.spill)
                 return
             if at == len(key):
                 node.value = value if node.value is None else self.merge(node.value, value)
+                node.weight += weight
+                self._grow(weight)
                 return
             kid = node.kids.get(key[at])
             if kid is None:
-                node.kids[key[at]] = Node(key[at:], value=value)
-                self._grow(len(key) - at)
+                node.kids[key[at]] = Node(key[at:], value=value, weight=weight)
+                self._grow(len(key) - at + NODE_BYTES + weight)
                 return
             if not key.startswith(kid.label, at):
                 size = common_prefix(kid.label, key[at:])
@@ -76,8 +86,8 @@ class PatriciaTrie:
                 self.bytes += NODE_BYTES  # no spill before the string has its place
             node, at = kid, at + len(kid.label)
 
-    def _grow(self, label: int) -> None:
-        self.bytes += label + NODE_BYTES
+    def _grow(self, size: int) -> None:
+        self.bytes += size
         if self.spilling and self.bytes > self.limit:
             self._spill()
 
@@ -90,40 +100,50 @@ class PatriciaTrie:
             stack += [(kid, path + kid.label) for kid in node.kids.values()]
 
     def _spill(self) -> None:
-        """Move the largest subtree below the first fork to a file (in the task's own temp folder; gone when it is closed)."""
+        """Move the largest subtrees below the first fork, single strings too, to files until half of the limit is free.
+
+        A file (in the task's own temp folder; gone when it is closed) holds the strings of one next byte, so fewer than the trie does.
+        """
         top = self.root
         while top.value is None and len(top.kids) == 1 and next(iter(top.kids.values())).spill is None:
             top = next(iter(top.kids.values()))
-        inner = [kid for kid in top.kids.values() if kid.spill is None and kid.kids]
-        if not inner:
-            self.limit *= 2  # a few single strings fill the limit: there is no subtree to move
-            return
-        size = lambda kid: sum(len(x.label) + NODE_BYTES for x, _ in self._walk(kid) if x.spill is None)
-        largest = max(inner, key=size)
+        sizes = {byte: sum(len(x.label) + NODE_BYTES + x.weight for x, _ in self._walk(kid)) for byte, kid in top.kids.items() if kid.spill is None}
+        for byte in sorted(sizes, key=sizes.get, reverse=True):
+            if self.bytes <= self.limit // 2:
+                break
+            self._move(top.kids[byte])
+            self.bytes -= sizes[byte] - 1 - NODE_BYTES
+
+    def _move(self, kid: Node) -> None:
+        """A subtree to a file, but for the first byte of its label."""
         out = tempfile.TemporaryFile()
-        self.bytes -= size(largest) - len(largest.label) - NODE_BYTES
-        for node, path in self._walk(largest):
+        rest = kid.label[1:]
+        for node, path in self._walk(kid):
             if node.spill is not None:
                 node.spill.seek(0)
-                for rest, value in stored(node.spill):
-                    pickle.dump((path + rest, value), out)
+                for below, *held in stored(node.spill):
+                    pickle.dump((rest + path + below, *held), out)
                 node.spill.close()
             elif node.value is not None:
-                pickle.dump((path, node.value), out)
-        largest.kids, largest.value, largest.spill = {}, None, out
+                pickle.dump((rest + path, node.value, node.weight), out)
+        kid.label, kid.kids, kid.value, kid.weight, kid.spill = kid.label[:1], {}, None, 0, out
 
     def items(self) -> Iterator[tuple[bytes, object]]:
         """Each string once with its value; spilled subtrees one after the other, each in a trie of its own."""
-        for node, path in self._walk(self.root):
-            if node.spill is not None:
-                node.spill.seek(0)
-                below = PatriciaTrie(self.merge, self.limit)
-                for rest, value in stored(node.spill):
-                    below.add(rest, value)
-                node.spill.close()
-                yield from ((path + rest, value) for rest, value in below.items())
-            elif node.value is not None:
-                yield path, node.value
+        pending: list[tuple[bytes, PatriciaTrie | object]] = [(b"", self)]
+        while pending:
+            above, trie = pending.pop()
+            if not isinstance(trie, PatriciaTrie):
+                file, trie = trie, PatriciaTrie(self.merge, self.limit, self.spilling, self.value_bytes)
+                file.seek(0)
+                for held in stored(file):
+                    trie.add(*held)
+                file.close()
+            for node, path in trie._walk(trie.root):
+                if node.spill is not None:
+                    pending.append((above + path, node.spill))
+                elif node.value is not None:
+                    yield above + path, node.value
 
     def values(self) -> Iterator[object]:
         return (value for _, value in self.items())
@@ -137,7 +157,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def stored(file) -> Iterator[tuple[bytes, object]]:
+def stored(file) -> Iterator[tuple[bytes, object, int]]:
     while True:
         try:
             yield pickle.load(file)
@@ -188,7 +208,6 @@ def _gathered(docs: DataFrame, limit: int) -> DataFrame:
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             for doc_id, uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
                 trie.add(normalised(text), [(doc_id, uid)])
-                trie.bytes += 150
                 if trie.bytes > limit:
                     yield from flush()
                     trie = PatriciaTrie(trie.merge, limit, spilling=False)
