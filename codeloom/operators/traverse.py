@@ -12,12 +12,23 @@ from codeloom.schema import NODE_COLUMNS, Graph
 from codeloom.sources.tables import bucketed, written
 
 
+# Bounds and default of a traversal's depth.
+LEAST_DEPTH, MOST_DEPTH, DEFAULT_DEPTH = 1, 10, 5
+
+
 def check_depth(max_depth: int) -> int:
-    if not 1 <= max_depth <= 10:
-        raise ValueError("max_depth lies between 1 and 10")
+    if not LEAST_DEPTH <= max_depth <= MOST_DEPTH:
+        raise ValueError(f"max_depth lies between {LEAST_DEPTH} and {MOST_DEPTH}")
     return max_depth
 
 
+def checked_depths(requests: DataFrame) -> DataFrame:
+    """Requests (request, max_depth or null) -> (request, max_depth, status): the default depth for null; out_of_range and null outside the bounds, else ok."""
+    depth = F.coalesce("max_depth", F.lit(DEFAULT_DEPTH))
+    fits = depth.between(LEAST_DEPTH, MOST_DEPTH)
+    return requests.select("request", F.when(fits, depth).alias("max_depth"), F.when(fits, "ok").otherwise("out_of_range").alias("status"))
+
+
 #: Callers of one target in a task: the adjacency of a target with more of them, a hub, is dealt into blocks of about so many.
 HUB_BLOCK = 20_000
 #: Hubs up to which their numbers of blocks are broadcast.

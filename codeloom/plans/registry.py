@@ -419,6 +419,12 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_imports(imports, listing_with_dirs(there), aliases)
 
 
+@query("SELECT k AS request, CASE WHEN d IS NULL THEN 5 WHEN d BETWEEN 1 AND 10 THEN d END AS max_depth, CASE WHEN d IS NULL OR d BETWEEN 1 AND 10 THEN 'ok' ELSE 'out_of_range' END AS status FROM (SELECT p_partkey AS k, CASE WHEN p_size % 14 < 13 THEN p_size % 14 - 1 END AS d FROM part)", "")
+def checked_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.col("p_size").cast("int") % 14
+    return traverse.checked_depths(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), F.when(asked < 13, asked - 1).alias("max_depth")))
+
+
 # --- change events -------------------------------------------------------------------------------------------
 
 EVENTS = "WITH ev AS (SELECT event_id, '/src/u_' || user_id || '.ts' AS path, CASE event_type WHEN 'error' THEN 'unlink' WHEN 'signup' THEN 'add' ELSE 'change' END AS op, ts AS event_ts FROM events)"
