@@ -12,8 +12,9 @@ from codeloom.sources.tables import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Names in sorted order that a prefix meets at once, and matches that a message lists.
 NAME_BLOCK, LISTED = 1024, 20
-#: Lines for each mark of a line index; ranges of lines (some 100 bytes each) up to which they are broadcast to the files.
-LINES_PER_MARK, BROADCAST_RANGES = 64, 200_000
+#: Lines for each mark of a line index; ranges of lines (some 100 bytes each) up to which they are broadcast to the files, and the files
+#: that there must be for each of them.
+LINES_PER_MARK, BROADCAST_RANGES, FILES_PER_RANGE = 64, 200_000, 16
 
 
 def folded(text: Column) -> Column:
@@ -122,12 +123,15 @@ def snippets(files: DataFrame, ranges: DataFrame, index: DataFrame | None = None
     gives an empty snippet and a last line below the first. Ranges that repeat a request and path are taken once; those of missing files give no row.
 
     ``index`` is the ``line_index`` of the files, made here for the files asked for where there is none. It turns a range into bytes, and a snippet is
-    cut out of its file by these: lines are never rows. Up to ``broadcast_ranges`` different ranges go to the files, whose contents stay where they
-    are; more are joined by path, which moves the contents once, unless they are bucketed by it. Equal ranges of a file are cut once.
+    cut out of its file by these: lines are never rows. If few files are asked for (``broadcast_ranges`` different ranges at most, and
+    FILES_PER_RANGE files for each), the ranges go to the files, whose contents stay where they are. Else both are joined by path, which moves the
+    contents once, unless they are bucketed by it: a request for most files costs the same share of the input at every size. Equal ranges of a
+    file are cut once.
     """
+    few = min(broadcast_ranges, files.count() // FILES_PER_RANGE)
     if index is None:
         paths = written(ranges.select("path").distinct(), "paths")
-        index = line_index(files.join(F.broadcast(paths), "path", "left_semi") if paths.count() <= broadcast_ranges else files)
+        index = line_index(files.join(F.broadcast(paths), "path", "left_semi") if paths.count() <= few else files)
     first = F.greatest(F.lit(0), F.col("start_line") - 1 - F.col("padding")) + 1
     last = F.least(F.col("n_lines") - 1, F.col("end_line") - 1 + F.col("padding")) + 1
     every = F.col("every").cast("int")
@@ -137,7 +141,7 @@ def snippets(files: DataFrame, ranges: DataFrame, index: DataFrame | None = None
     found = F.col("first") <= F.col("last")
     placed = written(clamped.select("request", "path", "first", "last", F.when(found, start).alias("from_"), F.when(found, stop - start - 1).alias("size_"), ((F.col("first") - 1) % every + 1).alias("skip_")).distinct(), "ranges")
     spots = placed.where("from_ is not null").select("path", "first", "last", "from_", "size_", "skip_").distinct()
-    spots = F.broadcast(spots) if placed.count() <= broadcast_ranges else spots
+    spots = F.broadcast(spots) if placed.count() <= few else spots.hint("merge")
     part = F.substring(F.coalesce("content", F.lit("")).cast("binary"), (F.col("from_") + 1).cast("int"), F.col("size_").cast("int")).cast("string")
     text = F.array_join(F.slice(F.split(part, "\n"), F.col("skip_"), F.col("last") - F.col("first") + 1), "\n")
     cut = files.join(spots, "path").select("path", "first", "last", text.alias("text_"))

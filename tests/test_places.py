@@ -33,16 +33,19 @@ def test_snippets_equal_those_of_split_texts(spark):
     for args in ({}, {"index": index}, {"index": lookup.line_index(files, 3), "broadcast_ranges": 0}, {"broadcast_ranges": 0}):
         got = {r["request"]: (r["first"], r["last"], r["snippet"]) for r in lookup.snippets(files, ranges.unionByName(ranges), **args).collect()}
         assert got == want
+    many = files.unionByName(spark.range(16 * len(rows)).select(F.format_string("/other%d.ts", "id").alias("path"), F.lit("x").alias("content")))
+    assert {r["request"]: (r["first"], r["last"], r["snippet"]) for r in lookup.snippets(many, ranges).collect()} == want
     marks = {r["path"]: (r["n_lines"], len(r["marks"]), r["marks"][-1]) for r in index.collect()}
     assert marks["/7.ts"] == (500, 9, len(texts["/7.ts"].encode()) + 1) and marks["/null.ts"] == (1, 2, 1)
     assert lookup.snippets(files.where("false"), ranges).count() == 0 and lookup.snippets(files, ranges.where("false")).count() == 0
 
 
 def test_snippets_move_no_contents(spark):
-    files = spark.createDataFrame([("/a.ts", "1\n2\n3")], "path string, content string")
-    ranges = spark.createDataFrame([(1, "/a.ts", 1, 2, 0)], RANGES)
-    plan = lookup.snippets(files, ranges)._jdf.queryExecution().optimizedPlan().toString()
-    assert "ResolvedHint (strategy=broadcast)" in plan or "rightHint=(strategy=broadcast)" in plan
+    files = spark.range(lookup.FILES_PER_RANGE).select(F.format_string("/%d.ts", "id").alias("path"), F.lit("1\n2\n3").alias("content"))
+    one, two = spark.createDataFrame([(1, "/1.ts", 1, 2, 0)], RANGES), spark.createDataFrame([(1, "/1.ts", 1, 2, 0), (2, "/2.ts", 1, 2, 0)], RANGES)
+    hints = lambda ranges: lookup.snippets(files, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in hints(one)
+    assert "rightHint=(strategy=merge)" in hints(two)  # more than a range for FILES_PER_RANGE files: contents move once, by path
     exchanged = [line for line in lookup.line_index(files)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanged) == 1  # bytes of blocks by path; their sums stay there
 
