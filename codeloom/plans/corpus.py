@@ -56,13 +56,30 @@ def more_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.concat(F.lit("/c/s_"), s, F.lit(".ts")).alias("path"), F.concat_ws("\n", *map(text, lines)).alias("content"))
 
 
+def module_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a module source for each supplier m, .mts or .cts, that imports another by its .mjs or .cjs name and exports all of a part."""
+    n, n_parts = table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count()
+    m, t, c = F.col("s_suppkey"), (F.col("s_suppkey") * 3 + 1) % n, (F.col("s_suppkey") * 13 + 4) % n_parts
+    either = lambda key, even, odd: F.when(key % 2 == 0, even).otherwise(odd)
+    lines = [
+        F.concat(F.lit("import { v_"), t.cast("string"), F.lit(" } from './m_"), t.cast("string"), either(t, ".mjs';", ".cjs';")),
+        F.concat(F.lit("export * from './p_"), c.cast("string"), F.lit(".js';")),
+        F.concat(F.lit("export const v_"), m.cast("string"), F.lit(" = 1;")),
+    ]
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("/c/m_"), m.cast("string"), either(m, ".mts", ".cts")).alias("path"), F.concat_ws("\n", *lines).alias("content"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir)).unionByName(module_sources(spark, sf_dir))
+
+
 def surroundings(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     aliases = spark.createDataFrame([("/", "/", 0, "@lib/*", "./c/*")], "root string, base_dir string, ord int, pattern string, replacement string")
     return listing_with_dirs(files), aliases
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> extract.Parsed:
-    files = corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir))
+    files = sources(spark, sf_dir)
     return extract.parse_corpus(files, *surroundings(spark, files))
 
 
@@ -79,7 +96,7 @@ def edges_of(kind: str):
 
 
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark, sf_dir).unionByName(more_sources(spark, sf_dir))
+    files = sources(spark, sf_dir)
     rows = extract.written_facts(files)
     return extract.symbol_table(rows, extract.import_targets(rows, *surroundings(spark, files)))
 
@@ -111,7 +128,10 @@ i AS (SELECT *, sha256(f || ':p_' || p || ':namespace') AS file, sha256(f || ':T
   sha256(fa || ':f_' || a || ':function') AS ifn, sha256(fb || ':T_' || b || ':interface') AS it FROM x),
 y AS (SELECT s_suppkey AS s, (s_suppkey * 3 + 1) % (SELECT count(*) FROM part) AS a, (s_suppkey * 5 + 2) % (SELECT count(*) FROM part) AS b FROM supplier),
 z AS (SELECT *, '/c/s_' || s || '.ts' AS f, '/c/p_' || a || '.ts' AS fa, '/c/p_' || b || '.ts' AS fb FROM y),
-j AS (SELECT *, sha256(f || ':s_' || s || ':namespace') AS file, sha256(f || ':Mode_' || s || ':enum') AS mode, sha256(f || ':Alias_' || s || ':type_alias') AS al, sha256(f || ':inner_' || s || ':function') AS inn, sha256(f || ':main_' || s || ':function') AS main_, sha256(f || ':made:variable') AS made FROM z)
+j AS (SELECT *, sha256(f || ':s_' || s || ':namespace') AS file, sha256(f || ':Mode_' || s || ':enum') AS mode, sha256(f || ':Alias_' || s || ':type_alias') AS al, sha256(f || ':inner_' || s || ':function') AS inn, sha256(f || ':main_' || s || ':function') AS main_, sha256(f || ':made:variable') AS made FROM z),
+v AS (SELECT s_suppkey AS m, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) AS t, (s_suppkey * 13 + 4) % (SELECT count(*) FROM part) AS c FROM supplier),
+w AS (SELECT *, '/c/m_' || m || CASE WHEN m % 2 = 0 THEN '.mts' ELSE '.cts' END AS f, '/c/m_' || t || CASE WHEN t % 2 = 0 THEN '.mts' ELSE '.cts' END AS ft, '/c/p_' || c || '.ts' AS fc FROM v),
+u AS (SELECT *, sha256(f || ':m_' || m || ':namespace') AS file, sha256(f || ':v_' || m || ':variable') AS val FROM w)
 """
 NODES = BASE + """
 SELECT file AS id, 'p_' || p AS name, 'namespace' AS kind, f AS file_path, 1 AS start_line, 13 AS end_line, 0 AS exported FROM i
@@ -121,9 +141,10 @@ UNION ALL SELECT fn, 'f_' || p, 'function', f, 9, 9, 1 FROM i UNION ALL SELECT g
 UNION ALL SELECT lazy, 'lazy_' || p, 'arrow_function', f, 12, 12, 1 FROM i WHERE p % 7 = 0 UNION ALL SELECT sha256(f || ':q:variable'), 'q', 'variable', f, 13, 13, 0 FROM i
 UNION ALL SELECT file, 's_' || s, 'namespace', f, 1, 8, 0 FROM j UNION ALL SELECT mode, 'Mode_' || s, 'enum', f, 3, 3, 0 FROM j UNION ALL SELECT al, 'Alias_' || s, 'type_alias', f, 4, 4, 1 FROM j
 UNION ALL SELECT made, 'made', 'variable', f, 5, 5, 1 FROM j UNION ALL SELECT inn, 'inner_' || s, 'function', f, 6, 6, 1 FROM j UNION ALL SELECT main_, 'main_' || s, 'function', f, 8, 8, 1 FROM j
+UNION ALL SELECT file, 'm_' || m, 'namespace', f, 1, 3, 0 FROM u UNION ALL SELECT val, 'v_' || m, 'variable', f, 3, 3, 1 FROM u
 """
 EDGES = {
-    "IMPORTS": "SELECT file AS source_id, fa AS target_id FROM i UNION SELECT file, fb FROM i UNION SELECT file, fa FROM j UNION SELECT file, fb FROM j",
+    "IMPORTS": "SELECT file AS source_id, fa AS target_id FROM i UNION SELECT file, fb FROM i UNION SELECT file, fa FROM j UNION SELECT file, fb FROM j UNION SELECT file, ft FROM u UNION SELECT file, fc FROM u",
     "EXPORTS": "SELECT file AS source_id, sha256(fa || ':f_' || a || ':unknown') AS target_id FROM i WHERE p % 5 = 0",
     "CONTAINS": "SELECT k AS source_id, unnest([co, run, step]) AS target_id FROM i",
     "EXTENDS": "SELECT k AS source_id, sha256(fa || ':K_' || a || ':class') AS target_id FROM i",
@@ -136,7 +157,8 @@ SYMBOLS = BASE + """
 , s AS (SELECT f AS path, 1 AS o, 'imported' AS local_name, 'f_' || a AS resolved_name, fa AS source_file FROM i UNION ALL SELECT f, 1, 'Base', 'K_' || a, fa FROM i UNION ALL SELECT f, 1, 'T_' || b, 'T_' || b, fb FROM i
 UNION ALL SELECT f, 2, unnest(['T_' || p, 'K_' || p, 'f_' || p, 'g_' || p, 'q']), unnest(['T_' || p, 'K_' || p, 'f_' || p, 'g_' || p, 'q']), f FROM i UNION ALL SELECT f, 2, 'lazy_' || p, 'lazy_' || p, f FROM i WHERE p % 7 = 0
 UNION ALL SELECT f, 3, 'svc', 'K_' || p, f FROM i
-UNION ALL SELECT f, 1, unnest(['K_' || a, 'made', 'm']), 'K_' || a, fa FROM j UNION ALL SELECT f, 1, 'tools', '*', fb FROM j UNION ALL SELECT f, 2, unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), f FROM j)
+UNION ALL SELECT f, 1, unnest(['K_' || a, 'made', 'm']), 'K_' || a, fa FROM j UNION ALL SELECT f, 1, 'tools', '*', fb FROM j UNION ALL SELECT f, 2, unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), unnest(['Mode_' || s, 'Alias_' || s, 'inner_' || s]), f FROM j
+UNION ALL SELECT f, 1, 'v_' || t, 'v_' || t, ft FROM u UNION ALL SELECT f, 2, 'v_' || m, 'v_' || m, f FROM u)
 SELECT path, local_name, arg_max(resolved_name, o) AS resolved_name, arg_max(source_file, o) AS source_file FROM s GROUP BY 1, 2
 """
 INDEXED = """
