@@ -1,5 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash groups and MinHash bands give candidates, the shingle sets decide.
 
+Sets whose SimHash fingerprints a bit-sliced comparison connects at RADIUS or fewer bits are one bucket of candidates (see ``simhash``). Few of the pairs
+of similarity 0.8 lie so near, so the bands of MinHash find the others.
 A text's set of shingle hashes has BANDS keys of BAND_ROWS least values each; texts of similarity s share a key with probability
 1 - (1 - s^BAND_ROWS)^BANDS, 0.9996 at 0.8. The number of keys grows with the texts and not with their pairs, as the candidates
 of a wide SimHash radius would. Only sets that share a key with another are read again, and compared in full.
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import shipped, texts, without_rows, written
 from codeloom.llm.components import connected_components
-from codeloom.llm.simhash import HASH_BLOCK, shingle_hashes
+from codeloom.llm.simhash import HASH_BLOCK, majority_bits, shingle_hashes
+from codeloom.llm.simhash import near_links as print_links
 
 WORDS, LEAST = 5, 0.8
+#: Differing bits up to which fingerprints link.
+RADIUS = 3
 BANDS, BAND_ROWS = 20, 5
 #: Sets above which a bucket is compared in tiles of at most about twice this many sets.
 TILE_ROWS = 4096
@@ -50,15 +55,16 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, mark_: hash of the text, set: hash of the shingle set, bands: its keys; none for a text without words)."""
+    """(doc_id, text) -> (doc_id, mark_: hash of the text, set: hash of the shingle set, bands: its keys, none for a text without words, fp: its SimHash fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, bands, held, n = [], [], [], 0
+            prints, bands, fps, held, n = [], [], [], [], 0
 
             def flush() -> None:
                 keys = iter(band_keys(full).view(np.int64).tolist() if (full := [x for x in held if len(x)]) else [])
                 bands.extend(next(keys) if len(x) else [] for x in held)
+                fps.extend(majority_bits(np.concatenate([np.zeros(0, np.uint64), *held]), np.array([len(x) for x in held], np.int64)).view(np.int64).tolist())
 
             for text in texts(batch.column(1)):
                 held.append(shingle_set(text, words))
@@ -68,10 +74,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     flush()
                     held, n = [], 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "mark_", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["doc_id", "mark_", "set", "bands", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return shipped(docs).select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, mark_ long, set long, bands array<long>")
+    return shipped(docs).select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, mark_ long, set long, bands array<long>, fp long")
 
 
 def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -154,6 +160,14 @@ def near_links(docs: DataFrame, sets: DataFrame, words: int, least: float, tile_
     return shipped(ready).mapInArrow(run, "a long, b long").distinct()
 
 
+def with_print_groups(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``sets`` (set, first, bands, fp) -> (set, first, bands): adds a key of the group of fingerprints that links of at most ``radius`` bits connect."""
+    prints = sets.where("size(bands) > 0").select("fp").distinct()
+    roots = connected_components(print_links(prints.select("fp", F.col("fp").alias("id")), radius)).withColumnRenamed("id", "fp")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    return sets.join(roots, "fp", "left").select("set", "first", F.when(F.size("bands") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands")).alias("bands"))
+
+
 def without_near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Of each group of near copies the row with the least doc_id, all columns kept; rows without doc_id stay.
 
@@ -164,8 +178,9 @@ def without_near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAS
     """
     own = written(signatures(docs, words), "signatures")
     named = own.where("doc_id is not null")
-    sets = written(named.groupBy("set").agg(F.min(F.struct("doc_id", "mark_")).alias("first"), F.first("bands").alias("bands")), "shingle-sets")
-    roots = connected_components(near_links(docs, sets, words, least, tile_rows)).withColumnRenamed("id", "set")
+    sets = written(named.groupBy("set").agg(F.min(F.struct("doc_id", "mark_")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "shingle-sets")
+    candidates = written(with_print_groups(sets), "candidate-sets")
+    roots = connected_components(near_links(docs, candidates, words, least, tile_rows)).withColumnRenamed("id", "set")
     groups = sets.join(roots, "set", "left").select("set", "first", F.coalesce("root", "set").alias("group"))
     kept = groups.groupBy("group").agg(F.min("first").alias("kept"))
     by_set = written(groups.join(kept, "group").select("set", "kept"), "kept-copies")

@@ -83,3 +83,22 @@ def test_set_links_connect_what_brute_force_connects():
             return [top(k) for k in range(len(sets))]
 
         assert roots(near_copies.set_links(sets, 0.8)) == roots(near)
+
+
+def test_fingerprint_groups_give_candidates(spark):
+    r = random.Random(6)
+    base = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(900)) for _ in range(6)]
+    texts = {k: t for k, t in enumerate([*base, *(t + " end" for t in base), "", None])}
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    bare = near_copies.signatures(frame, 5).selectExpr("set", "named_struct('doc_id', doc_id, 'mark_', mark_) as first", "transform(bands, x -> cast(doc_id as long)) as bands", "fp")
+    got = {row["first"]["doc_id"]: row for row in near_copies.with_print_groups(bare).collect()}
+    prints = {k: plain_print(texts[k]) for k in range(12)}
+    assert any(bin(prints[k] ^ prints[k + 6]).count("1") in (1, 2, 3) for k in range(6)) and not got[12]["bands"] and not got[13]["bands"]
+    for a, b in combinations(range(12), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= near_copies.RADIUS:
+            assert got[a]["bands"][-1] == got[b]["bands"][-1]
+
+
+def plain_print(text):
+    hashes = [int(x) for x in near_copies.shingle_set(text, 5)]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
