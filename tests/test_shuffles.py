@@ -41,6 +41,16 @@ def test_impact_with_paths_makes_its_pairs_once(spark, monkeypatch):
     assert affected.count() == 2 and paths.count() == 2 and len(made) == 1
 
 
+def test_impact_as_sql_sends_its_level_to_written_edges(spark):
+    g = graph(spark, [node(n) for n in "ABCD"], [("B", "A", "CALLS"), ("B", "A", "REFERENCES"), ("C", "B", "CALLS"), ("A", "C", "CALLS"), ("A", "A", "CALLS"), ("D", "C", "CALLS")])
+    traverse.impact_views(g)
+    assert g.edges.inputFiles() == [] and spark.table("edges").inputFiles()
+    found = spark.sql(traverse.impact_sql("A", 2))
+    assert sorted((r["id"], r["depth"]) for r in found.collect()) == [("B", 1), ("C", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [target_id" not in plan and "Aggregate [source_id" not in plan and "strategy=broadcast" in plan
+
+
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
 def test_derived_edges_know_their_file_and_are_not_joined_on_ids(spark):
     g = derived_graph(spark, SMALL)
