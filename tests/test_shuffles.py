@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import neighbors, store, traverse
+from codeloom.plans import storage
 from codeloom.schema import EDGES, packed, unpacked
+from codeloom.sources.tables import work_dir
 from codeloom.sources.testgraph import derived_graph
 from tests.test_graph import graph, node, seeds
 
@@ -58,3 +60,14 @@ def test_derived_edges_know_their_file_and_are_not_joined_on_ids(spark):
     assert all(homes[r["source_id"]] == r["source_file"] for r in g.edges.collect())
     plan = neighbors.file_edges(g.nodes, g.edges, g.files)._jdf.queryExecution().optimizedPlan().toString()
     assert "(source_id" not in plan and "= source_id" not in plan
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
+def test_files_of_a_source_tree_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(storage, "FILES_PER_TASK", 2, raising=False)
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("tree-*"))
+    assert storage.source_tree(spark, SMALL).count() == 8
+    (root,) = set(folder.glob("tree-*")) - before
+    files = [f.name for f in root.rglob("part-*.txt")]
+    assert len(files) == 10 and len({name.split("-")[1] for name in files}) > 1
