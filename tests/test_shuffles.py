@@ -6,8 +6,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import neighbors, store, traverse
-from codeloom.plans import storage
+from codeloom.functions.paths import dirname, listing_with_dirs
+from codeloom.operators import extract, neighbors, store, traverse
+from codeloom.plans import corpus, storage
 from codeloom.schema import EDGES, packed, unpacked
 from codeloom.sources.tables import work_dir
 from codeloom.sources.testgraph import derived_graph
@@ -71,3 +72,32 @@ def test_files_of_a_source_tree_are_written_by_many_tasks(spark, monkeypatch):
     (root,) = set(folder.glob("tree-*")) - before
     files = [f.name for f in root.rglob("part-*.txt")]
     assert len(files) == 10 and len({name.split("-")[1] for name in files}) > 1
+
+
+def test_edges_of_one_relationship_leave_out_what_others_need(spark, monkeypatch):
+    texts = {"/c/a.ts": "import { B } from './b.js';\nexport class A extends B { run(x: B): B { return this.go(x); } go(x: B) { return x; } }\nexport { B as C } from './b.js';", "/c/b.ts": "export class B {}"}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    aliases = spark.createDataFrame([], "root string, base_dir string, ord int, pattern string, replacement string")
+    parsed = extract.parse_corpus(files, listing_with_dirs(files), aliases)
+    whole = sorted(map(tuple, parsed.edges.collect()))
+    kinds = sorted({kind for *_, kind in whole})
+    assert kinds == ["CALLS", "CONTAINS", "EXPORTS", "EXTENDS", "IMPORTS", "REFERENCES"]
+    assert sorted(tuple(row) for kind in kinds for row in parsed.edges_of([kind]).collect()) == whole
+    monkeypatch.setattr(extract, "import_targets", None)
+    monkeypatch.setattr(extract, "symbol_table", None)
+    alone = extract.parse_corpus(files, listing_with_dirs(files), aliases).edges_of(["CONTAINS"])
+    assert sorted(map(tuple, alone.collect())) == [row for row in whole if row[2] == "CONTAINS"]
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
+def test_sources_are_dealt_evenly_whatever_the_tables_splits(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SOURCES_PER_TASK", 4, raising=False)
+    for made, most in ((corpus.more_sources, 4), (corpus.module_sources, 4), (corpus.corpus, 5)):
+        sizes = [r["count"] for r in made(spark, SMALL).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= most + 1
+
+
+def test_folder_of_a_path(spark):
+    paths = ["/a/b.ts", "/a", "/", "a", "", "a/b", "/a/b/", "//x", "/é/ü.ts", "/a/b\n"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", dirname(F.col("p")).alias("d")).collect()
+    assert [r["d"] for r in rows] == ["/" if p.startswith("/") and p.count("/") == 1 else p.rpartition("/")[0] if "/" in p else p for p in paths]
