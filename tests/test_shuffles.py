@@ -10,6 +10,7 @@ from codeloom.functions.paths import dirname, listing_with_dirs
 from codeloom.operators import extract, neighbors, store, traverse
 from codeloom.plans import corpus, storage
 from codeloom.schema import EDGES, packed, unpacked
+from codeloom.sources import tables
 from codeloom.sources.tables import work_dir
 from codeloom.sources.testgraph import derived_graph
 from tests.test_graph import graph, node, seeds
@@ -101,3 +102,11 @@ def test_folder_of_a_path(spark):
     paths = ["/a/b.ts", "/a", "/", "a", "", "a/b", "/a/b/", "//x", "/é/ü.ts", "/a/b\n"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", dirname(F.col("p")).alias("d")).collect()
     assert [r["d"] for r in rows] == ["/" if p.startswith("/") and p.count("/") == 1 else p.rpartition("/")[0] if "/" in p else p for p in paths]
+
+
+def test_stored_rows_that_no_new_one_equals_are_not_shuffled(spark):
+    g = graph(spark, [node(n) for n in "ABC"], [("A", "B", "CALLS"), ("B", "C", "CALLS")])
+    new = spark.createDataFrame([("A", "B", "CALLS"), ("C", "A", "CALLS"), ("C", "A", "CALLS")], EDGES)
+    out = store.add_edges(g.edges, new)
+    assert sorted(map(tuple, out.collect())) == [("A", "B", "CALLS"), ("B", "C", "CALLS"), ("C", "A", "CALLS")]
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
