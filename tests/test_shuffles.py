@@ -104,6 +104,24 @@ def test_folder_of_a_path(spark):
     assert [r["d"] for r in rows] == ["/" if p.startswith("/") and p.count("/") == 1 else p.rpartition("/")[0] if "/" in p else p for p in paths]
 
 
+def test_few_paths_are_sent_to_edges_which_stay_where_they_are(spark, monkeypatch):
+    g = graph(spark, [node(n, path=f"/{n}.ts") for n in "ABC"], [("A", "B", "CALLS"), ("B", "C", "CALLS")])
+    laid = g.edges.withColumn("source_file", F.concat(F.lit("/"), "source_id", F.lit(".ts")))
+    paths = spark.createDataFrame([("/A.ts",), ("/A.ts",)], "path string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, wide in ((100_000, False), (0, True)):
+            monkeypatch.setattr(tables, "BROADCAST_SIDE", most)
+            asked = neighbors.file_edges(g.nodes, laid, paths)
+            left = store.delete_files(g.with_tables(edges=laid), paths).edges
+            assert [r["target_id"] for r in asked.collect()] == ["B"] and [r["target_id"] for r in left.collect()] == ["C"]
+            for rows in (asked, left):
+                assert ("BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()) == wide
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stored_rows_that_no_new_one_equals_are_not_shuffled(spark):
     g = graph(spark, [node(n) for n in "ABC"], [("A", "B", "CALLS"), ("B", "C", "CALLS")])
     new = spark.createDataFrame([("A", "B", "CALLS"), ("C", "A", "CALLS"), ("C", "A", "CALLS")], EDGES)
