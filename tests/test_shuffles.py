@@ -104,6 +104,20 @@ def test_folder_of_a_path(spark):
     assert [r["d"] for r in rows] == ["/" if p.startswith("/") and p.count("/") == 1 else p.rpartition("/")[0] if "/" in p else p for p in paths]
 
 
+def test_counts_of_neighbours_shuffle_no_edges(spark):
+    r = random.Random(5)
+    ids = IDS[:-1]
+    edges = sorted({(r.choice(ids), r.choice(ids), r.choice(("CALLS", "IMPORTS"))) for _ in range(80)})
+    frame, asked = spark.createDataFrame(edges, EDGES), seeds(spark, "ab" * 32, "ab", "", "pkg-é", "none")
+    counts = neighbors.neighbor_counts(frame, asked)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, neighbors.neighbor_summary(neighbors.neighbor_edges(frame, asked)).collect()))
+    many = spark.range(0, 20000, 1, 2).select(F.lit("A").alias("source_id"), F.lit("B").alias("target_id"), F.lit("CALLS").alias("relationship_type"))
+    rows = neighbors.neighbor_counts(many, seeds(spark, "A", "B")).collect()
+    assert sorted(map(tuple, rows)) == [("A", 20000, 0), ("B", 0, 20000)]
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("HashAggregate")  # counted before the join
+
+
 def test_few_paths_are_sent_to_edges_which_stay_where_they_are(spark, monkeypatch):
     g = graph(spark, [node(n, path=f"/{n}.ts") for n in "ABC"], [("A", "B", "CALLS"), ("B", "C", "CALLS")])
     laid = g.edges.withColumn("source_file", F.concat(F.lit("/"), "source_id", F.lit(".ts")))
