@@ -127,8 +127,8 @@ def test_few_paths_are_sent_to_edges_which_stay_where_they_are(spark, monkeypatc
     try:
         for most, wide in ((100_000, False), (0, True)):
             monkeypatch.setattr(tables, "BROADCAST_SIDE", most)
-            asked = neighbors.file_edges(g.nodes, laid, paths)
-            left = store.delete_files(g.with_tables(edges=laid), paths).edges
+            asked = neighbors.file_edges(g.nodes, laid, paths, send_few=True)
+            left = store.delete_files(g.with_tables(edges=laid), paths, send_few=True).edges
             assert [r["target_id"] for r in asked.collect()] == ["B"] and [r["target_id"] for r in left.collect()] == ["C"]
             for rows in (asked, left):
                 assert ("BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()) == wide
@@ -142,3 +142,19 @@ def test_stored_rows_that_no_new_one_equals_are_not_shuffled(spark):
     out = store.add_edges(g.edges, new)
     assert sorted(map(tuple, out.collect())) == [("A", "B", "CALLS"), ("B", "C", "CALLS"), ("C", "A", "CALLS")]
     assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_hops_of_a_traversal_are_those_within_its_reach(spark):
+    names = [f"n{k}" for k in range(60)]
+    r = random.Random(6)
+    edges = sorted({(r.choice(names), r.choice(names[:40]), r.choice(("CALLS", "REFERENCES"))) for _ in range(150)} | {("n1", "/n2.ts", "IMPORTS"), ("n50", "/n1.ts", "IMPORTS")})
+    g = graph(spark, [node(n, path=f"/{n}.ts") for n in names], edges)
+    into = lambda at: [e for e in edges if e[1] in at and e[0] != e[1]]
+    for bridged, query in ((False, traverse.why_is_this_used), (True, traverse.explain_impact)):
+        here = {"n2", "/n2.ts"} if bridged else {"n2"}
+        here |= {x for s, *_ in into(here) for x in ((s, f"/{s}.ts") if bridged else (s,))}
+        found, homes = traverse.near_hops(g, seeds(spark, "n2"), 2, bridged)
+        types = sum(len(row["types"]) for row in found.types().collect())
+        assert len(into(here)) <= types < len(edges) and (homes is not None) == bridged
+        got, want = (query(g, seeds(spark, "n2"), 2, bridge_imports=bridged, found=f) for f in (None, traverse.hops(g.edges)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
