@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import dirname, listing_with_dirs
+from codeloom.functions.paths import _filter_bits, dirname, filter_blocks, listing_with_dirs, maybe_listed, path_filter
 from codeloom.operators import extract, neighbors, store, traverse
 from codeloom.plans import corpus, storage
 from codeloom.schema import EDGES, packed, unpacked
@@ -158,3 +158,20 @@ def test_hops_of_a_traversal_are_those_within_its_reach(spark):
         assert len(into(here)) <= types < len(edges) and (homes is not None) == bridged
         got, want = (query(g, seeds(spark, "n2"), 2, bridge_imports=bridged, found=f) for f in (None, traverse.hops(g.edges)))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_full_filter_is_broadcast_by_blocks_of_words(spark):
+    listing = spark.range(50_000).select(F.concat(F.lit("/s/f"), F.col("id").cast("string")).alias("entry"))
+    tried = spark.range(60_000).select(F.concat(F.lit("/s/f"), F.col("id").cast("string")).alias("try"))
+    for n_words in (1, 63, 64, 65, 1 << 12):
+        words = path_filter(listing, n_words)
+        own = {r["word"]: r["bits"] for r in words.collect()}
+        kept = maybe_listed(tried, "try", words, n_words)
+        word, bits = _filter_bits(F.col("try"), n_words)
+        want = sorted(r["try"] for r in tried.select("try", word.alias("w"), bits.alias("b")).collect() if own.get(r["w"], 0) & r["b"] == r["b"])
+        assert sorted(r["try"] for r in kept.collect()) == want and len(want) >= 50_000
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "block_bits" in plan and filter_blocks(words).count() == -(-n_words // 64)
+    some = path_filter(listing.limit(40), 1 << 12)  # words that nothing uses are left out
+    assert maybe_listed(tried, "try", some, 1 << 12).count() < 100
+    assert sum(len(r["block_bits"]) for r in filter_blocks(some).collect()) == some.count() <= 40
