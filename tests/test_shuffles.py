@@ -6,10 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import _filter_bits, dirname, filter_blocks, listing_with_dirs, maybe_listed, path_filter
-from codeloom.operators import extract, neighbors, store, traverse
+from codeloom.functions.paths import _filter_bits, dirname, filter_blocks, listing_with_dirs, maybe_listed, normalize_path, path_filter
+from codeloom.operators import extract, incremental, neighbors, store, traverse
 from codeloom.plans import corpus, storage
-from codeloom.schema import EDGES, packed, unpacked
+from codeloom.schema import EDGE_COLUMNS, EDGES, empty_graph, packed, unpacked
 from codeloom.sources import tables
 from codeloom.sources.tables import work_dir
 from codeloom.sources.testgraph import derived_graph
@@ -175,3 +175,34 @@ def test_a_full_filter_is_broadcast_by_blocks_of_words(spark):
     some = path_filter(listing.limit(40), 1 << 12)  # words that nothing uses are left out
     assert maybe_listed(tried, "try", some, 1 << 12).count() < 100
     assert sum(len(r["block_bits"]) for r in filter_blocks(some).collect()) == some.count() <= 40
+
+
+def test_an_index_makes_edges_when_they_are_asked_for_and_joins_nothing_with_an_empty_graph(spark, monkeypatch):
+    texts = {"/c/a.ts": "import { B } from './b.js';\nexport class A extends B { run(x: B): B { return this.go(x); } go(x: B) { return x; } }\nexport { B as C } from './b.js';", "/c/b.ts": "export class B {}\nclass B {}"}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    aliases = spark.createDataFrame([], "root string, base_dir string, ord int, pattern string, replacement string")
+    parse = lambda df: extract.parse_corpus(df, listing_with_dirs(files), aliases)
+    made, plain = [], extract.symbol_table
+    monkeypatch.setattr(extract, "symbol_table", lambda *parts: made.append(1) or plain(*parts))
+    first = incremental.index_project(empty_graph(spark), files.withColumn("error", F.lit(False)), parse, "1", 1)[0]
+    want = parse(files)
+    assert sorted(map(tuple, first.nodes.collect())) == sorted(map(tuple, want.nodes.drop("ord").collect())) and not made
+    edges, homes = first.edges, {r["id"]: r["file_path"] for r in first.nodes.collect()}
+    assert made and sorted(map(tuple, edges.select(*EDGE_COLUMNS).collect())) == sorted(map(tuple, want.edges.collect()))
+    assert all(homes[r["source_id"]] == r["source_file"] for r in edges.collect())
+    for rows in (first.nodes, first.edges):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "block_bits" not in plan and "LeftAnti" not in plan
+
+
+def test_paths_are_folded_as_by_parts(spark):
+    def fold(base, relative):
+        out = []
+        for part in (relative if relative.startswith("/") else f"{base}/{relative}").split("/"):
+            out = out if part in ("", ".") else out[:-1] if part == ".." else [*out, part]
+        return "/" + "/".join(out)
+
+    r = random.Random(7)
+    pairs = [(r.choice(("/", "/c", "c/d", "", "/c/../d", "/.x")), "/".join(r.choice(("", ".", "..", "...", ".a", "b.", "é", "b\n")) for _ in range(r.randrange(1, 6)))) for _ in range(400)]
+    rows = spark.createDataFrame(pairs, "b string, r string").select("b", "r", normalize_path(F.col("b"), F.col("r")).alias("p")).collect()
+    assert [row["p"] for row in rows] == [fold(row["b"], row["r"]) for row in rows]
