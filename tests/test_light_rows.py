@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import neighbors
 from codeloom.schema import EDGES, NODES, light, node_id, whole
-from codeloom.sources import testgraph
+from codeloom.sources import tables, testgraph
 from codeloom.sources.testgraph import derived_graph
 from tests.test_shuffles import IDS
 
 SMALL = "/root/testdata/sf0.001"
 TEXTS = f"{EDGES}, source_text string, target_text string"
+FILES = f"{TEXTS}, source_file string, target_file string"
 needs_tables = pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
 
 
@@ -34,6 +36,10 @@ def test_light_rows_come_back_as_they_were(spark):
     frame = spark.createDataFrame(edges, TEXTS)
     assert rows(whole(light(frame), frame.columns)) == sorted(edges, key=repr)
     assert all(len(row["source_"]) == 1 for row in light(frame).where("source_text IS NOT NULL").collect())
+    filed = [(*e, f, g) for e in edges for f, g in (("/src/a.ts", "/src/ü.ts"), (None, "/src/a.ts"), ("", "/src"), ("/src/a.ts:A", None))]
+    frame = spark.createDataFrame(filed, FILES)
+    assert rows(whole(light(frame), frame.columns)) == sorted(filed, key=repr)
+    assert {row["source_text"] for row in light(frame).where("source_file = '/src/a.ts' AND source_text LIKE '%A%'").collect()} == {"A:class"}
     plain = frame.select("source_id", "target_id", "relationship_type")
     assert rows(whole(light(plain), plain.columns)) == rows(plain)
     parts = [("/src/a.ts", "A", "class"), ("/src/a.ts", "A", None), (None, None, None), ("/src/a.ts:A", "", "class")]
@@ -82,3 +88,39 @@ def test_lines_without_a_part_still_refer_to_their_supplier(spark, tmp_path):
     assert rows(used) == sorted([(order, "/src/suppliers.ts:S5:interface", "REFERENCES"), (order, "/src/nation_0.ts:part_3:function", "CALLS")], key=repr)
     cross = neighbors.file_edges(g.nodes, g.edges, g.files, False, send_few=True).select("target_id")
     assert digest("/src/nation_0.ts:part_3:function") not in {r["target_id"] for r in cross.collect()}  # a part in the file of its caller
+
+
+@needs_tables
+def test_a_graph_by_file_holds_texts_and_is_read_without_a_shuffle(spark):
+    g = derived_graph(spark, SMALL)
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for name, value in zip(before, ("-1", "10000")):
+        spark.conf.set(name, value)
+    try:
+        laid = tables.by_file(g)
+        assert rows(laid.edges) == rows(g.edges) and rows(laid.nodes) == rows(g.nodes) and rows(laid.files) == rows(g.files)
+        cross = neighbors.file_edges(laid.nodes, laid.edges, laid.files.hint("merge"), False)
+        assert "Exchange" not in cross._jdf.queryExecution().executedPlan().toString()
+        assert rows(cross) == rows(neighbors.file_edges(g.nodes, g.edges.drop("target_file"), g.files, False))
+        (stored,) = {str(Path(f).parent) for f in laid.edges.inputFiles()}
+        kept = spark.read.parquet(stored)
+        assert kept.where("source_ = X'03'").count() == kept.count() and "source_id" not in kept.columns
+        homes = kept.select("source_file", F.input_file_name().alias("at")).groupBy("source_file").agg(F.countDistinct("at").alias("n"))
+        assert homes.agg(F.max("n")).first()[0] > 1  # a large file's edges are written by several tasks
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    blocks = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
+    before, setting = blocks(), spark.conf.get(tables.FREE_SHUFFLES)
+    sums = spark.range(1000).groupBy(F.col("id") % 7).count()
+    sums.write.format("noop").mode("overwrite").save()
+    assert blocks() - before
+    before = blocks()
+    made = tables.written(sums, "sums")
+    deadline = time.time() + 20
+    while blocks() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not blocks() - before and made.count() == 7 and spark.conf.get(tables.FREE_SHUFFLES) == setting
