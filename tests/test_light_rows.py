@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import neighbors
+from codeloom.operators import neighbors, store
+from codeloom.plans import registry
 from codeloom.schema import EDGES, NODES, light, node_id, whole
 from codeloom.sources import tables, testgraph
 from codeloom.sources.testgraph import derived_graph
@@ -112,6 +113,35 @@ def test_a_graph_by_file_holds_texts_and_is_read_without_a_shuffle(spark):
             spark.conf.set(name, value)
 
 
+def test_spelt_edges_are_told_apart_by_their_texts(spark):
+    r = random.Random(9)
+    ends = [(digest(t), t) for t in ("/a.ts:A:class", "/a.ts:b:method", "/b.ts:C:class", "")] + [(x, None) for x in ("/a.ts", "pkg-é", "", None)]
+    pick = lambda: (r.choice(ends), r.choice(ends), r.choice(("CALLS", "IMPORTS", None)))
+    row = lambda e: (e[0][0], e[1][0], e[2], e[0][1], e[1][1])
+    edges, new = sorted({pick() for _ in range(60)}, key=repr), [pick() for _ in range(120)]
+    frame, more = (spark.createDataFrame(list(map(row, part)), TEXTS) for part in (edges, new))
+    got = store.add_edges(frame, more, spelt=True)
+    want = sorted({row(e)[:3] for e in [*edges, *new]}, key=repr)
+    assert rows(got) == want and len(want) > len(edges)
+    assert rows(store.add_edges(frame, more.where("relationship_type = 'CALLS'"), spelt=True)) == sorted({row(e)[:3] for e in edges} | {row(e)[:3] for e in new if e[2] == "CALLS"}, key=repr)
+    homed = [df.withColumn("source_file", F.coalesce(F.split("source_text", ":")[0], F.lit("?"))) for df in (frame, more)]
+    assert rows(store.add_edges(*homed, spelt=True)) == sorted({(*row(e)[:3], "?" if e[0][1] is None else e[0][1].split(":")[0]) for e in [*edges, *new]}, key=repr)
+    plan = store.add_edges(frame, more, spelt=True)._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan and plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 2  # one for types, one for edges
+
+
+@needs_tables
+def test_added_edges_of_the_query_move_no_ids(spark):
+    out = registry.queries()["add_edges"](spark, SMALL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionByExpression" in line or "Join LeftAnti" in line]
+    assert len(moved) == 1 and "hash_" not in plan
+    g = derived_graph(spark, SMALL)
+    calls = g.edges.where("relationship_type = 'CALLS'").select("source_id", "target_id", "relationship_type")
+    turned = calls.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relationship_type")
+    assert rows(out) == rows(store.add_edges(g.edges.select(*calls.columns), turned.unionByName(calls)))
+
+
 def test_shuffles_of_a_written_table_are_removed(spark):
     blocks = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
     before, setting = blocks(), spark.conf.get(tables.FREE_SHUFFLES)
