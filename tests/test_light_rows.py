@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import neighbors, store
 from codeloom.plans import registry
-from codeloom.schema import EDGES, NODES, light, node_id, whole
+from codeloom.schema import EDGE_COLUMNS, EDGES, NODES, empty_graph, light, node_id, whole
 from codeloom.sources import tables, testgraph
 from codeloom.sources.testgraph import derived_graph
 from tests.test_shuffles import IDS
@@ -142,6 +142,44 @@ def test_added_edges_of_the_query_move_no_ids(spark):
     assert rows(out) == rows(store.add_edges(g.edges.select(*calls.columns), turned.unionByName(calls)))
 
 
+@needs_tables
+def test_snapshots_hold_texts_and_give_edges_with_their_files(spark, tmp_path):
+    g, folder = derived_graph(spark, SMALL), f"file://{tmp_path}/graph"
+    tables.save_graph(g, folder, 4)
+    kept = spark.read.parquet(f"{folder}/snapshot-*/edges/*")
+    assert "source_id" not in kept.columns and kept.where("length(source_) + length(target_) = 2").count() == kept.where("target_text IS NOT NULL").count() > 0
+    assert spark.read.parquet(f"{folder}/snapshot-*/nodes/*").where("id_ = X'02'").count() == g.nodes.count()
+    plain, stored = tables.load_graph(spark, folder), tables.load_graph(spark, folder, with_homes=True)
+    assert tuple(plain.edges.columns) == EDGE_COLUMNS and rows(plain.edges) == rows(g.edges.select(*EDGE_COLUMNS)) and rows(plain.nodes) == rows(g.nodes)
+    more = [*EDGE_COLUMNS, "source_file", "source_text", "target_text"]
+    assert rows(stored.edges.select(*more)) == rows(g.edges.select(*more))
+    gone = g.files.where("path LIKE '/src/nation_1%'").select("path")
+    left = store.delete_files(stored, gone, send_few=True)
+    assert "(source_id" not in left.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(left.edges.select(*EDGE_COLUMNS)) == rows(store.delete_files(plain, gone).edges)
+    tables.save_graph(left, folder, 4)
+    assert rows(tables.load_graph(spark, folder).edges) == rows(left.edges.select(*EDGE_COLUMNS))
+
+
+def test_snapshots_of_any_ids_and_of_before_are_read(spark, tmp_path, monkeypatch):
+    nodes = [(id_, "n", "class", f"/{k % 3}.ts", 1, 2, 0) for k, id_ in enumerate([*IDS[:-1], digest("/0.ts:n:class")])]
+    edges = [(a[0], b[0], "CALLS") for a in nodes for b in nodes] + [("lost", "/0.ts", "IMPORTS")]
+    parts = {"nodes": spark.createDataFrame(nodes, NODES), "edges": spark.createDataFrame(edges, EDGES)}
+    g = empty_graph(spark).with_tables(**parts, files=spark.createDataFrame([(f"/{k}.ts", "", 0) for k in range(3)], "path string, content_hash string, indexed_at long"))
+    for name, before in (("old", True), ("new", False)):
+        folder = f"file://{tmp_path}/{name}"
+        with monkeypatch.context() as patch:
+            if before:  # ids as they are, and no files of edges to rely on
+                patch.setattr(tables, "light", lambda rows: rows)
+                patch.setattr(tables, "LIGHT_SNAPSHOT", "snapshot-")
+            tables.save_graph(g, folder, 4)
+        found = tables.load_graph(spark, folder, with_homes=True)
+        assert rows(found.edges.select(*EDGE_COLUMNS)) == sorted(edges, key=repr) and rows(found.nodes) == sorted(nodes, key=repr)
+        assert ("source_file" in found.edges.columns) != before
+        gone = spark.createDataFrame([("/1.ts",), ("lost",)], "path string")
+        assert rows(store.delete_files(found, gone).edges.select(*EDGE_COLUMNS)) == rows(store.delete_files(g, gone).edges)
+
+
 def test_shuffles_of_a_written_table_are_removed(spark):
     blocks = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
     before, setting = blocks(), spark.conf.get(tables.FREE_SHUFFLES)
